@@ -6,8 +6,9 @@ fewer than five distinct words always stay.
 
 Words are ordered by rarity (counts over all documents, in a table of fixed size; equal counts by hash), so that
 similar lines share a word among the first |x| - ceil(0.8 |x|) + 1 of each.  Lines that share such a word are
-candidates if length, position and a 64-bit parity signature allow the similarity; all three tests are lossless.
-Candidates are verified on their whole sets.
+candidates if length, position and a 64-bit parity signature allow the similarity; all tests are lossless.  A pair
+that shares one of its first two words is a candidate there only.  Candidates are verified on their whole sets, with
+words as 32-bit hashes.
 
 Null or empty texts have no lines to remove.  Repeated doc_ids: their rows count as one document with the lines of
 each.  Rows without a doc_id stay as they are and match nothing.  Equal lines differ by (doc_id, line number); where
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from shotline.llm import setjoin, shared, words
 
 COUNTERS = 1 << 17
-ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8")])
+ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8"), ("head", "<u4", (2,))])
 #: Lines under one word that a task takes at most; words with more are dealt out as pairs of blocks.
 NODE_LINES = 100_000
 
@@ -75,7 +76,7 @@ def word_counts(docs: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _prefixes(x: Lines, counts: np.ndarray, t: float, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(x: Lines, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Entries of a batch's distinct lines, and a node's estimated lines for each entry."""
     _, one = np.unique(x.set, return_index=True)
     mine = np.zeros(len(x.set), dtype=bool)
@@ -83,27 +84,36 @@ def _prefixes(x: Lines, counts: np.ndarray, t: float, nodes: int) -> tuple[np.nd
     bits = np.zeros(len(x.set), dtype=np.uint64)
     np.bitwise_xor.at(bits, x.index, np.uint64(1) << (words.mix(x.hash) >> np.uint64(58)))
     n = counts[(x.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((x.hash, n, x.index))
+    order = words.order_by_row(x.index, np.minimum(n, (1 << 22) - 1).astype(np.uint64) << np.uint64(42), x.hash)
+    node = ((x.hash >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[order]
     pos = np.arange(len(order)) - x.first[x.index]
+    head = np.stack([node[x.first + np.minimum(k, x.size - 1)] for k in (0, 1)], axis=1)
     prefix = (x.size - np.ceil(t * x.size - 1e-9) + 1)[x.index]
-    own = order[(pos < prefix) & mine[x.index]]
-    pos = pos[(pos < prefix) & mine[x.index]]
+    own = np.flatnonzero((pos < prefix) & mine[x.index])
+    i, pos = x.index[own], pos[own]
     out = np.zeros(len(own), dtype=ENTRY)
-    i = x.index[own]
-    out["node"] = x.hash[own] >> np.uint64(32)
+    out["node"], out["set"], out["bits"] = node[own], x.set[i], bits[i]
     out["size"], out["pos"] = np.minimum(x.size[i], 65535), np.minimum(pos, 65535)
-    out["set"], out["bits"] = x.set[i], bits[i]
-    return out, n[own]
+    out["head"] = np.where(np.arange(2) < pos[:, None], head[i], 0)
+    return out, n[order][own]
 
 
 def _allowed(e: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Whether two entries of a node may be lines of similarity t: length, position and signature tests."""
-    a, b = e["size"][i].astype(np.float64), e["size"][j].astype(np.float64)
-    need = np.ceil(t / (1 + t) * (a + b) - 1e-6)
-    left = 1 + np.minimum(e["pos"][i], e["pos"][j]) + np.minimum(a - e["pos"][i], b - e["pos"][j]) - 1
-    differ = setjoin.POPCOUNT(e["bits"][i] ^ e["bits"][j])
-    huge = (e["size"][i] == 65535) | (e["size"][j] == 65535)
-    return huge | ((np.minimum(a, b) >= t * np.maximum(a, b) - 1e-6) & (left >= need) & (differ <= a + b - 2 * need + 1e-6))
+    """Whether two entries of a node, i not the larger, may be lines of similarity t that share no word before it.
+
+    Tests: position (of the smaller within its indexed prefix, and what is left of both), signature, earlier words.
+    """
+    a, b = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
+    left, right = e["pos"][i].astype(np.int64), e["pos"][j].astype(np.int64)
+    need = np.ceil(t / (1 + t) * (a + b) - 1e-6).astype(np.int64)
+    ok = (left <= a - np.ceil(2 * t / (1 + t) * a - 1e-6)) & (np.minimum(a - left, b - right) >= need)
+    i, j, huge = i[ok], j[ok], b[ok] == 65535
+    differ = setjoin.POPCOUNT(e["bits"][i] ^ e["bits"][j]).astype(np.int64)
+    x, y = e["head"][i], e["head"][j]
+    again = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)).any(axis=(1, 2))
+    out = ok.copy()
+    out[ok] = ~again & (huge | (differ <= a[ok] + b[ok] - 2 * need[ok]))
+    return out | (b == 65535)
 
 
 def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
@@ -115,7 +125,7 @@ def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
 
     def entries(parted: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, x in _each(parted, least):
-            e, n = _prefixes(x, sent.value, t, parts)
+            e, n = _prefixes(x, sent.value, t)
             part = words.mix(e["node"].astype(np.uint64)) % np.uint64(parts)
             hot = n > NODE_LINES * 8  # a class of words counts more than any word in it
             yield part[~hot], e[~hot]
@@ -166,10 +176,15 @@ def _sets(docs: DataFrame, needed: np.ndarray, least: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(needed)
 
     def run(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, x in _each(parted, least):
             one, at = np.unique(x.set, return_index=True)
             at = at[setjoin.maybe_in(sent.value, one)]
-            yield pa.record_batch({"set": shared.u64(x.set[at]), "tokens": pa.array([x.hash[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at], pa.binary())})
+            if len(seen) < 500_000:  # spares the shuffle most repetitions
+                at = np.array([i for i in at.tolist() if x.set[i] not in seen], dtype=np.int64)
+                seen.update(x.set[at].tolist())
+            short = x.hash.astype(np.uint32)
+            yield pa.record_batch({"set": shared.u64(x.set[at]), "tokens": pa.array([short[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at], pa.binary())})
 
     return docs.mapInArrow(run, "set long, tokens binary")
 
@@ -177,11 +192,13 @@ def _sets(docs: DataFrame, needed: np.ndarray, least: int) -> DataFrame:
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 5) -> DataFrame:
     """(doc long, line int) of every line that an earlier similar line makes superfluous; lines count from 0."""
     docs = shared.with_id(docs, key, text).filter(F.col("id").isNotNull())
-    groups = shared.checkpoint(setjoin.dealt(candidates(docs, similarity, least)))
-    every = line_rows(docs, least)
-    firsts = shared.checkpoint(every.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")))
+    groups = shared.materialize(candidates(docs, similarity, least))
+    every = shared.materialize(line_rows(docs, least))
+    firsts = every.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    ours = groups.select("set").distinct()
+    first = firsts.join(ours, "set", "left_semi").select("set", "first.doc", "first.line")
     sets = _sets(docs, setjoin.presence_filter(groups, "set"), least).groupBy("set").agg(F.first("tokens").alias("tokens"))
-    rows = groups.join(sets, "set").join(firsts.select("set", "first.doc", "first.line"), "set")
+    rows = setjoin.dealt(groups).join(sets.join(first, "set"), "set")
 
     def judge(data: dict[str, np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
         order = np.lexsort((data["line"], data["doc"]))
@@ -191,7 +208,7 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             late[lo:hi] = np.tril(same, lo - 1).any(axis=1)
         return pa.record_batch({"set": pa.array(data["set"][order[late]])})
 
-    late = setjoin.compare(rows, shared.partitions(docs, 16), judge, "set long").distinct().withColumn("late", F.lit(True))
+    late = setjoin.compare(rows, shared.partitions(docs, 16), judge, "set long", "<u4").distinct().withColumn("late", F.lit(True))
     gone = firsts.join(late, "set", "left").filter("n > 1 or late").select("set", "first", "late")
     found = every.join(gone, "set").filter(F.col("late").isNotNull() | (F.struct("doc", "line") > F.col("first")))
     return found.select("doc", "line").distinct()

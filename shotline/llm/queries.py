@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotline.llm import decontam, jaccard, lines, mixing, quality, toxicity
+from shotline.llm import decontam, jaccard, lines, lm, maxscore, mixing, quality, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +23,32 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataF
     return quality.score(docs.select(*keep, F.col("text").cast("string").alias("__text")), model, "__text", "__score")
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maxscore.quantised(_table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(rows, rows.filter("id % 50 = 0"), 5).withColumnRenamed("id", "vec_id")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
     predicted = (F.col("__score") >= 0.3).cast("int")
     return scored.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), predicted.alias("predicted"))
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories: toxic; toxic and of good quality; toxic and of bad quality.  Learns from rows that op4 learns from too."""
     labels = _table(spark, sf_dir, "labels").filter(quality.remainder("doc_id", 5) != 0)
@@ -56,6 +72,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     x.__name__: x
-    for x in (op2_jaccard_join, op4_quality_classifier, op6_toxicity, op7_decontamination, op8_line_dedup, op9_mixing, pipeline)
+    for x in (op1_maxscore, op2_jaccard_join, op3_lm_scoring, op4_quality_classifier, op5_url_filter, op6_toxicity, op7_decontamination, op8_line_dedup, op9_mixing, op10_warc, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+')"
@@ -95,4 +115,26 @@ SQL: dict[str, str] = {
         n AS (SELECT doc_id, d.source, count(*) FILTER (WHERE cdf <= u) AS n FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY doc_id, d.source)
         SELECT doc_id, source, x::INTEGER AS copy, n::INTEGER AS n_copies, md5('17:' || doc_id::VARCHAR || ':' || x::VARCHAR) AS shuffle_key
         FROM (SELECT *, unnest(range(1, n + 1)) AS x FROM n)""",
+    "op1_maxscore": """
+        WITH v AS (SELECT vec_id AS id, max(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false) GROUP BY vec_id),
+        s AS (SELECT q.id AS query_id, r.id AS vec_id, list_inner_product(q.v, r.v)::BIGINT AS score FROM v q JOIN v r ON q.id <> r.id WHERE q.id % 50 = 0),
+        t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5""",
+    "op5_url_filter": """
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (SELECT *, '.' || host AS dotted FROM p),
+        f AS (SELECT *, CASE WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                             WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                             WHEN ends_with(dotted, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                             WHEN ends_with(dotted, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                             WHEN ends_with(dotted, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM r)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
+        k AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AS again FROM l)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM k""",
 }

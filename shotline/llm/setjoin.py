@@ -77,8 +77,8 @@ def dealt(groups: DataFrame, key: Column | None = None) -> DataFrame:
     return each.select("comp", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "set")
 
 
-def compare(rows: DataFrame, parts: int, judge: Callable[[dict[str, np.ndarray], list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Run judge on each (comp, a, b) of rows, which have a binary column tokens of sorted 64-bit tokens.
+def compare(rows: DataFrame, parts: int, judge: Callable[[dict[str, np.ndarray], list[np.ndarray]], pa.RecordBatch], schema: str, dtype: str = "<u8") -> DataFrame:
+    """Run judge on each (comp, a, b) of rows, which have a binary column tokens of distinct tokens.
 
     judge gets the group's other columns and its sets.
     """
@@ -99,7 +99,7 @@ def compare(rows: DataFrame, parts: int, judge: Callable[[dict[str, np.ndarray],
         for at, to in zip(first, np.append(first[1:], len(order)), strict=True):
             if to - at > 1:
                 own = order[at:to]
-                out = judge({x: v[own] for x, v in data.items()}, [np.frombuffer(blob[int(i)].as_py(), dtype="<u8") for i in own])
+                out = judge({x: v[own] for x, v in data.items()}, [np.frombuffer(blob[int(i)].as_py(), dtype=dtype) for i in own])
                 if out.num_rows:
                     yield out
 

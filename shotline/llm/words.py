@@ -147,7 +147,7 @@ def batches(texts: pa.Array) -> Iterator[Batch]:
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of width words, by row: hashes and their rows, sorted by (row, hash).
+    """Distinct shingles of width words, by row: hashes and their rows, sorted by row, then hash (its top 44 bits).
 
     A row with fewer words, but one at least, has all its words as its only shingle.
     """
@@ -171,11 +171,22 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tu
     return distinct(out, own)
 
 
+def order_by_row(row: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Stable order by row, then by the top bits of each value (44 bits of one, 22 of each of two)."""
+    if len(row) and int(row.max()) >= 1 << 20:
+        return np.lexsort((*reversed(values), row))
+    bits = 44 // len(values)
+    key = row.astype(_U)
+    for v in values:
+        key = (key << _U(bits)) | (v >> _U(64 - bits))
+    return np.argsort(key, kind="stable" if len(values) > 1 else None)
+
+
 def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hash), sorted by row, then hash."""
+    """Distinct (row, hash), sorted by row, then by the top 44 bits of the hash."""
     if not len(hashes):
         return hashes, row
-    order = np.lexsort((hashes, row))
+    order = order_by_row(row, hashes)
     hashes, row = hashes[order], row[order]
     keep = np.ones(len(hashes), dtype=bool)
     keep[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
