@@ -1 +1,130 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL that says the same as the queries."""
+
+from __future__ import annotations
+
+_F = """f AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS v, label, 'V' || lpad(label::VARCHAR, 3, '0') || '.mp4' AS source_file,
+    (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 4 AS frame_idx, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5 AS scene_id,
+    (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 4 / 25.0::DOUBLE AS timestamp, (vec_id % 11) / 10.0::DOUBLE AS sharpness FROM embeddings),
+    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 50 = 0)"""
+
+
+def _top(name: str, queries: str, frames: str, k: int, q: str = "q.v", v: str = "f.v") -> str:
+    """A CTE of the k best frames of each query."""
+    return f"""{name} AS (SELECT query_id, point_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank
+        FROM (SELECT q.query_id, f.point_id, round(list_cosine_similarity({q}, {v}), 9) AS score FROM {queries} q CROSS JOIN {frames} f)) WHERE rank <= {k})"""
+
+
+_H = f"WITH {_F}, {_top('h', 'q', 'f', 20)}"
+_OUT = "SELECT query_id, point_id, round(score, 6) AS score, rank FROM"
+_TOK = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2))"
+_FIRST = r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:3], ' ')"
+_T = rf"""tq AS (SELECT doc_id AS query_id, {_TOK.format(_FIRST)} AS t FROM documents WHERE doc_id % 100 = 0),
+    tx AS (SELECT doc_id AS point_id, text, {_TOK.format("text")} AS t FROM documents),
+    tm AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY point_id)::INTEGER AS rank FROM tq JOIN tx ON len(tq.t) > 0 AND list_has_all(tx.t, tq.t)),
+    tk AS (SELECT *, 1.0::DOUBLE / rank AS score FROM tm WHERE rank <= 20)"""
+_S = """s AS (SELECT user_id::VARCHAR AS source_file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, (event_id % 10) / 10.0::DOUBLE AS prob, value, event_id FROM events),
+    z AS (SELECT source_file, frame_idx // 20 AS scene_id, frame_idx AS i, round(coalesce(value, 0), 2) AS size FROM s)"""
+_SUB = """s AS (SELECT user_id % 5 AS team, user_id % 7 AS task, 'v' || (event_id % 20)::VARCHAR AS video, ts, event_id AS id, event_type = 'purchase' AS correct, (floor(epoch(ts))::BIGINT % 300)::DOUBLE AS t FROM events)"""
+_AVS = f"""WITH {_SUB}, p AS (SELECT team, task, video, max(correct::INT) AS c, sum((NOT correct)::INT) AS i FROM s GROUP BY ALL),
+    n AS (SELECT task, count(DISTINCT video) AS n FROM s WHERE correct GROUP BY task),
+    a AS (SELECT team, task, sum(c - 0.2::DOUBLE * i) AS x FROM p GROUP BY ALL),
+    w AS (SELECT team, task, CASE WHEN n > 0 THEN 1000 * greatest(x / n, 0) ELSE 0 END AS score FROM a LEFT JOIN n USING (task))"""
+_RRF = """u AS (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 AS l FROM b),
+    r AS (SELECT query_id, point_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l * 1000 + rank) AS first, bool_or(l = 0) AS x, bool_or(l = 1) AS y FROM u GROUP BY ALL),
+    fused AS (SELECT query_id, point_id, score, x, y, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, point_id)::INTEGER AS rank FROM r)"""
+_HYBRID = f"WITH {_F}, q100 AS (SELECT * FROM q WHERE query_id % 100 = 0), {_T}, {_top('a', 'q100', 'f', 20)}, b AS (SELECT query_id, point_id, score, rank FROM tk), {_RRF}"
+_PLACED = "p AS (SELECT h.*, source_file, frame_idx, scene_id FROM h JOIN f USING (point_id))"
+_COH = """SELECT *, score + 0.3::DOUBLE * (sum(score) OVER (PARTITION BY query_id, source_file ORDER BY frame_idx RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - score) AS boosted FROM p"""
+_GROUNDED = """WITH g AS (SELECT event_id, event_id % 6 AS k, (event_id % 10) / 10.0::DOUBLE AS c, 'a' || user_id::VARCHAR AS a FROM events),
+    r AS (SELECT event_id, k = 0 AS valid, CASE WHEN k = 0 THEN a END AS answer, CASE WHEN k = 0 THEN c ELSE 0 END AS confidence,
+    CASE k WHEN 1 THEN 'malformed_response' WHEN 2 THEN 'answer_not_found' WHEN 3 THEN 'confidence_out_of_range' WHEN 4 THEN 'missing_answer' WHEN 5 THEN 'unknown_answer' END AS reason FROM g)"""
+
+SQL: dict[str, str] = {
+    "knn_exact": f"{_H} {_OUT} h",
+    "knn_filtered": f"WITH {_F}, g AS (SELECT * FROM f WHERE source_file IN ('V001.mp4', 'V003.mp4', 'V005.mp4')), {_top('h', 'q', 'g', 10)} {_OUT} h",
+    "knn_by_example": f"WITH {_F}, e AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 60 = 7), {_top('h', 'e', 'f', 5)} {_OUT} h",
+    "clip_search": f"""WITH {_F}, {_top('h', 'q', 'f', 10)},
+        b AS (SELECT query_id % 3 AS query_id, point_id, max(score) AS score, arg_min(query_id, (-score, query_id)) AS clip_ts FROM h GROUP BY query_id % 3, point_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM b)
+        SELECT query_id, point_id, round(score, 6) AS score, clip_ts, rank FROM r WHERE rank <= 10""",
+    "truncation_recall": f"""WITH {_F}, {_top('full', 'q', 'f', 10)}, """.replace("full AS", "best AS")
+    + ", ".join(_top(f"t{d}", "q", "f", 10, f"q.v[1:{d}]", f"f.v[1:{d}]") for d in (8, 16, 32))
+    + " "
+    + " UNION ALL ".join(f"SELECT {d} AS dim, round(count(*) / (SELECT count(*) FROM best), 6) AS recall FROM t{d} JOIN best USING (query_id, point_id)" for d in (8, 16, 32)),
+    "scene_variance": f"""WITH {_F}, u AS (SELECT source_file, scene_id, point_id, unnest(v) AS x, unnest(range(1, 65)) AS d FROM f),
+        d AS (SELECT source_file, scene_id, d, var_pop(x) AS var, count(*) AS n FROM u GROUP BY ALL),
+        s AS (SELECT source_file, scene_id, max(n) AS n, avg(var) AS variance FROM d GROUP BY ALL)
+        SELECT source_file, scene_id, n, round(variance, 6) AS variance, CASE WHEN variance < 0.01 THEN 1 WHEN variance < 0.05 THEN 2 ELSE least(8, greatest(1, floor(variance * 100)))::INTEGER END AS budget FROM s""",
+    "token_match": f"WITH {_T} {_OUT} tk",
+    "rrf_fusion": f"WITH {_F}, {_top('a', 'q', 'f', 20)}, {_top('b', 'q', 'f', 20, 'q.v[1:16]', 'f.v[1:16]')}, {_RRF} SELECT query_id, point_id, round(score, 6) AS score, CASE WHEN x AND y THEN 'full,short' WHEN x THEN 'full' ELSE 'short' END AS matched_via, rank FROM fused",
+    "hybrid_search": f"{_HYBRID} SELECT query_id, point_id, round(score, 6) AS score, CASE WHEN x AND y THEN 'dense,token' WHEN x THEN 'dense' ELSE 'token' END AS matched_via, rank FROM fused",
+    "interactive_search": f"""{_HYBRID}, p AS (SELECT fused.*, source_file, frame_idx, scene_id FROM fused JOIN f USING (point_id)), c AS ({_COH}),
+        d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file, scene_id ORDER BY round(boosted, 9) DESC, point_id) AS n FROM c),
+        e AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, point_id)::INTEGER AS rank FROM d WHERE n = 1)
+        SELECT query_id, point_id, source_file, scene_id, round(boosted, 6) AS score, rank FROM e WHERE rank <= 10""",
+    "coherence_boost": f"""{_H}, {_PLACED}, c AS ({_COH})
+        SELECT query_id, point_id, round(score, 6) AS score, round(boosted, 6) AS boosted, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, point_id)::INTEGER AS rank FROM c""",
+    "scene_diversify": f"""{_H}, {_PLACED}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file, scene_id ORDER BY score DESC, point_id) AS n FROM p),
+        e AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM d WHERE n = 1)
+        SELECT query_id, point_id, source_file, scene_id, round(score, 6) AS score, rank FROM e WHERE rank <= 10""",
+    "head_tail_rerank": f"""WITH {_F}, {_top('h', 'q', 'f', 30)}, n AS (SELECT query_id, point_id, rank AS old_rank, (point_id * 7 % 13) / 13.0::DOUBLE AS s FROM h)
+        SELECT query_id, point_id, old_rank, row_number() OVER (PARTITION BY query_id ORDER BY old_rank > 20, CASE WHEN old_rank > 20 THEN 0 ELSE round(s, 9) END DESC, old_rank)::INTEGER AS rank FROM n""",
+    "in_video_refine": f"""WITH {_F}, {_top('t', 'q', 'f', 10)}, h AS (SELECT query_id, point_id, 1.0::DOUBLE / (60 + rank) AS score, source_file FROM t JOIN f USING (point_id)),
+        b AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, source_file) AS n FROM h GROUP BY query_id, source_file),
+        c AS (SELECT b.query_id, f.point_id, f.source_file, round(list_cosine_similarity(q.v, f.v), 9) AS cos FROM b JOIN q USING (query_id) JOIN f ON f.source_file = b.source_file WHERE b.n <= 3 AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = b.query_id AND h.point_id = f.point_id)),
+        m AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY cos DESC, point_id) AS n FROM c),
+        u AS (SELECT query_id, point_id, score FROM h UNION ALL SELECT query_id, point_id, cos / 61 FROM m WHERE n <= 2)
+        SELECT query_id, point_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id)::INTEGER AS rank FROM u""",
+    "ambiguity": f"""{_H}, {_PLACED}, t AS (SELECT query_id, count(DISTINCT source_file) / count(*) AS video_ratio, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2 FROM p WHERE rank <= 10 GROUP BY query_id),
+        m AS (SELECT *, CASE WHEN s1 > 0 AND s2 IS NOT NULL THEN 1 - least(greatest((s1 - s2) / s1, 0), 1) ELSE 0 END AS margin FROM t)
+        SELECT query_id, round(video_ratio, 6) AS video_ratio, round(margin, 6) AS margin, round(0.5::DOUBLE * video_ratio + 0.5::DOUBLE * margin, 6) AS ambiguity, round(0.5::DOUBLE * video_ratio + 0.5::DOUBLE * margin, 9) >= 0.7 AS ask FROM m""",
+    "shot_islands": f"""WITH {_S}, a AS (SELECT *, prob > 0.5 AND NOT lag(prob > 0.5) OVER (PARTITION BY source_file ORDER BY frame_idx) AS rise FROM s),
+        b AS (SELECT *, sum(coalesce(rise, false)::INT) OVER (PARTITION BY source_file ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)::INTEGER AS shot FROM a)
+        SELECT source_file, shot, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame FROM b GROUP BY ALL""",
+    "sharpness_scaled": f"""WITH {_S}, c AS (SELECT source_file, scene_id, quantile_cont(size, 0.1) AS lo, quantile_cont(size, 0.9) AS hi FROM z GROUP BY ALL)
+        SELECT source_file, scene_id, i, round(CASE WHEN hi > lo THEN least(greatest((size - lo) / (hi - lo), 0), 1) ELSE 0.5 END, 6) AS sharpness FROM z JOIN c USING (source_file, scene_id)""",
+    "speech_attach": """WITH a AS (SELECT user_id, props, floor(epoch(ts))::BIGINT::DOUBLE AS t FROM events WHERE event_type = 'view'),
+        c AS (SELECT event_id AS point_id, user_id, floor(epoch(ts))::BIGINT::DOUBLE AS t FROM events WHERE event_type = 'click')
+        SELECT point_id, c.user_id::VARCHAR AS source_file, coalesce(string_agg(a.props, ' ' ORDER BY a.t, a.props), '') AS speech, count(a.t) AS n_segments
+        FROM c LEFT JOIN a ON a.user_id = c.user_id AND a.t - 3600 <= c.t AND c.t <= a.t + 2 + 3600 GROUP BY ALL""",
+    "nearest_frame": f"""WITH {_S}, k AS (SELECT source_file, frame_idx AS native_idx, 'k' || event_id::VARCHAR AS name FROM s WHERE event_id % 7 = 0),
+        j AS (SELECT s.source_file, s.frame_idx, name, abs(frame_idx - native_idx) AS d, row_number() OVER (PARTITION BY s.source_file, s.frame_idx ORDER BY abs(frame_idx - native_idx), native_idx) AS n FROM s JOIN k ON k.source_file = s.source_file AND abs(frame_idx - native_idx) <= 5)
+        SELECT s.source_file, s.frame_idx, name AS keyframe, d AS distance FROM s LEFT JOIN j ON j.source_file = s.source_file AND j.frame_idx = s.frame_idx AND j.n = 1""",
+    "audio_segments": """WITH d AS (SELECT user_id::VARCHAR AS source_file, round(sum(value), 2) AS duration FROM events GROUP BY user_id),
+        e AS (SELECT source_file, duration, unnest(range(0, ceil(duration / 10)::BIGINT)) AS i FROM d WHERE duration > 0)
+        SELECT source_file, round(i * 10.0::DOUBLE, 6) AS start, round(least((i + 1) * 10.0::DOUBLE, duration), 6) AS "end" FROM e""",
+    "transcript": """WITH n AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS x FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        t AS (SELECT conv_id, turn, concat_ws(chr(10), CASE WHEN coalesce(text, '') <> '' THEN 'User: ' || text END, CASE WHEN r = 'assistant' AND coalesce(x, '') <> '' THEN 'System: ' || x END) AS t FROM n WHERE role = 'user')
+        SELECT conv_id AS session_id, string_agg(t, chr(10) ORDER BY turn) AS transcript, count(*) AS n_turns FROM t WHERE t <> '' GROUP BY conv_id""",
+    "grounded_answers": f"{_GROUNDED} SELECT event_id, valid, answer, round(confidence, 6) AS confidence, reason FROM r",
+    "grounding_reasons": f"{_GROUNDED} SELECT coalesce(reason, 'valid') AS reason, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM r GROUP BY ALL",
+    "score_parse": "SELECT event_id, CASE WHEN event_id % 15 <= 10 THEN round((event_id % 15) / 10.0::DOUBLE, 6) END AS score FROM events",
+    "retrieval_metrics": f"""{_H}, m AS (SELECT h.query_id, min(h.rank) AS first FROM h JOIN q USING (query_id) JOIN f USING (point_id) WHERE f.label = q.label AND h.point_id <> h.query_id GROUP BY h.query_id),
+        r AS (SELECT ((query_id % 150) / 50 + 1)::INTEGER AS type, query_id % 100 = 0 AS annotated, first FROM q LEFT JOIN m USING (query_id))
+        SELECT type, count(*) AS n, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(first, 99) <= 10)::INT), 6) AS recall_10,
+        round(avg((coalesce(first, 99) <= 20)::INT), 6) AS recall_20, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / log2(first + 1) ELSE 0 END), 6) AS ndcg_10,
+        round(avg(CASE WHEN annotated THEN coalesce(1.0::DOUBLE / first, 0) END), 6) AS mrr_annotated FROM r GROUP BY type""",
+    "latency_stats": """SELECT user_id % 3 AS type, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS p50,
+        round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) / sum(value), 6) AS per_second FROM events GROUP BY ALL""",
+    "avs_duplicates": f"""WITH {_SUB}, d AS (SELECT *, max(correct) OVER (PARTITION BY task, video ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s)
+        SELECT id, task, video FROM d WHERE seen AND id % 11 <> 0""",
+    "kis_score": f"""WITH {_SUB}, w AS (SELECT *, sum((NOT correct)::INT) OVER (PARTITION BY team, task ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS wrong, row_number() OVER (PARTITION BY team, task, correct ORDER BY t, id) AS n FROM s),
+        f AS (SELECT team, task, greatest(0, 50 + (300 - t) / 6 - 10 * wrong) AS score FROM w WHERE correct AND n = 1)
+        SELECT k.team, k.task, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT team, task FROM s) k LEFT JOIN f USING (team, task)""",
+    "avs_score": f"{_AVS} SELECT team, task, round(score, 6) AS score FROM w",
+    "contest_totals": f"{_AVS}, m AS (SELECT team, score, max(score) OVER (PARTITION BY task) AS most FROM w) SELECT team, round(sum(CASE WHEN most > 0 THEN 1000 * score / most ELSE 0 END), 6) AS total FROM m GROUP BY team",
+    "stable_ids": f"""WITH {_F}, k AS (SELECT point_id, source_file || ':shot:' || lpad(scene_id::VARCHAR, 6, '0') AS shot_key FROM f),
+        h AS (SELECT *, substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(shot_key)), 1, 32) AS h FROM k)
+        SELECT point_id, shot_key, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS shot_uuid FROM h""",
+    "text_quality_filter": """SELECT event_id FROM events WHERE length(trim(props)) >= 2 AND (event_id % 5 = 0 OR event_id % 10 <= 6) AND (event_id % 7 = 0 OR event_id % 20 <= 10) AND (event_id % 3 = 0 OR event_id % 30 <= 24)""",
+    "collection_counts": f"WITH {_F} SELECT source_file, count(*) AS n, count(DISTINCT scene_id) AS scenes FROM f GROUP BY source_file",
+    "search_text": """SELECT page_id, concat_ws(' . ', nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(url, '://([^/]+)', 1), '')) AS text_blob FROM pages""",
+    "tile_grid": """WITH e AS (SELECT vec_id, vec_id % 7 * 300 + 200 AS w, vec_id % 5 * 250 + 100 AS h FROM embeddings),
+        x AS (SELECT vec_id, h, unnest(list_distinct(list_concat(range(0, greatest(w - 640, 0) + 1, 512), [greatest(w - 640, 0)]))) AS x FROM e)
+        SELECT vec_id, x, unnest(list_distinct(list_concat(range(0, greatest(h - 640, 0) + 1, 512), [greatest(h - 640, 0)]))) AS y FROM x""",
+    "feedback_lines": """WITH b AS (SELECT user_id AS session_id, (event_id % 4)::INTEGER AS turn, event_id AS place, event_id % 200 AS point_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS sign FROM events WHERE event_type IN ('purchase', 'error')),
+        w AS (SELECT b.*, coalesce(CASE WHEN doc_id % 3 = 1 THEN nullif(left(trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')), 120), '') END, CASE WHEN doc_id % 3 <> 0 THEN 'V' || doc_id::VARCHAR END, point_id::VARCHAR) AS w FROM b LEFT JOIN documents d ON d.doc_id = b.point_id),
+        u AS (SELECT session_id, turn, sign, w, min(place) AS place FROM w GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn, sign ORDER BY place) AS n FROM u)
+        SELECT session_id, turn, sign, string_agg(w, '|' ORDER BY place) AS lines FROM r WHERE n <= 3 GROUP BY session_id, turn, sign""",
+}
