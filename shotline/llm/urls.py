@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotline.llm import shared
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits up to which a level is broadcast: 128 MB.  A longer list has to be split by host.
 MOST_BITS = 1 << 30
@@ -111,8 +113,8 @@ def _passing(hashed: DataFrame, level: Level) -> DataFrame:
 
 def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """The cascade of listed keys (column key) over all keys of the corpus (column key, distinct)."""
-    inside = _hashed(listed.select("key").distinct())
-    outside = _hashed(universe.select("key").join(listed.select("key"), "key", "left_anti"))
+    inside = shared.materialize(_hashed(listed.select("key").distinct()))
+    outside = shared.materialize(_hashed(universe.select("key").join(listed.select("key"), "key", "left_anti")))
     n, others = inside.count(), outside.count()
     if not n:
         return []
@@ -122,7 +124,7 @@ def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
         if len(out) == MOST_LEVELS:
             raise ValueError("two keys have the same hashes")
         out.append(_bloom(inside, n, rate if not out else 0.5, len(out)))
-        inside, outside = _passing(outside, out[-1]), inside
+        inside, outside = shared.materialize(_passing(outside, out[-1])), inside  # written, so that levels don't pile up in one plan
         n = inside.count()
     return out
 
