@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm import shared
+from shotline.llm import shared, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits up to which a level is broadcast: 128 MB.  A longer list has to be split by host.
@@ -58,7 +58,8 @@ def keys(host: Column, path: Column, sizes: list[int]) -> Column:
 
 def positions(one: np.ndarray, two: np.ndarray, level: Level) -> np.ndarray:
     """(keys x hashes) bit positions by double hashing."""
-    one, two = one.view(np.uint64) + np.uint64(level.seed) * two.view(np.uint64), two.view(np.uint64) | np.uint64(1)
+    salt = words.seeded(11, level.seed + 1)[-1]  # mixed anew for each level: keys that meet in one don't meet in all
+    one, two = words.mix(one.view(np.uint64) ^ salt), words.mix(two.view(np.uint64) + salt) | np.uint64(1)
     return (one[:, None] + np.arange(1, level.hashes + 1, dtype=np.uint64) * two[:, None]) % np.uint64(level.bits)
 
 
