@@ -6,9 +6,8 @@ fewer than five distinct words always stay.
 
 Words are ordered by rarity (counts over all documents, in a table of fixed size; equal counts by hash), so that
 similar lines share a word among the first |x| - ceil(0.8 |x|) + 1 of each.  Lines that share such a word are
-candidates if length, position and a 64-bit parity signature allow the similarity; all tests are lossless.  A pair
-that shares one of its first two words is a candidate there only.  Candidates are verified on their whole sets, with
-words as 32-bit hashes.
+candidates if length, position and a 128-bit parity signature allow the similarity; all tests are lossless.
+Candidates are verified on their whole sets, with words as 32-bit hashes.
 
 Null or empty texts have no lines to remove.  Repeated doc_ids: their rows count as one document with the lines of
 each.  Rows without a doc_id stay as they are and match nothing.  Equal lines differ by (doc_id, line number); where
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from shotline.llm import setjoin, shared, words
 
 COUNTERS = 1 << 17
-ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8"), ("head", "<u4", (2,))])
+ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8", (2,))])
 #: Lines under one word that a task takes at most; words with more are dealt out as pairs of blocks.
 NODE_LINES = 100_000
 
@@ -81,43 +80,62 @@ def _prefixes(x: Lines, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.nd
     _, one = np.unique(x.set, return_index=True)
     mine = np.zeros(len(x.set), dtype=bool)
     mine[one] = True
-    bits = np.zeros(len(x.set), dtype=np.uint64)
-    np.bitwise_xor.at(bits, x.index, np.uint64(1) << (words.mix(x.hash) >> np.uint64(58)))
+    bits = np.zeros((len(x.set), 2), dtype=np.uint64)
+    place = words.mix(x.hash) >> np.uint64(57)
+    np.bitwise_xor.at(bits, (x.index, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
     n = counts[(x.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = words.order_by_row(x.index, np.minimum(n, (1 << 22) - 1).astype(np.uint64) << np.uint64(42), x.hash)
     node = ((x.hash >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[order]
     pos = np.arange(len(order)) - x.first[x.index]
-    head = np.stack([node[x.first + np.minimum(k, x.size - 1)] for k in (0, 1)], axis=1)
     prefix = (x.size - np.ceil(t * x.size - 1e-9) + 1)[x.index]
     own = np.flatnonzero((pos < prefix) & mine[x.index])
     i, pos = x.index[own], pos[own]
     out = np.zeros(len(own), dtype=ENTRY)
     out["node"], out["set"], out["bits"] = node[own], x.set[i], bits[i]
     out["size"], out["pos"] = np.minimum(x.size[i], 65535), np.minimum(pos, 65535)
-    out["head"] = np.where(np.arange(2) < pos[:, None], head[i], 0)
     return out, n[order][own]
 
 
 def _allowed(e: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
     """Whether two entries of a node, i not the larger, may be lines of similarity t that share no word before it.
 
-    Tests: position (of the smaller within its indexed prefix, and what is left of both), signature, earlier words.
+    Tests: position (of the smaller within its indexed prefix, and what is left of both) and signature.
     """
     a, b = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
     left, right = e["pos"][i].astype(np.int64), e["pos"][j].astype(np.int64)
     need = np.ceil(t / (1 + t) * (a + b) - 1e-6).astype(np.int64)
     ok = (left <= a - np.ceil(2 * t / (1 + t) * a - 1e-6)) & (np.minimum(a - left, b - right) >= need)
     i, j, huge = i[ok], j[ok], b[ok] == 65535
-    differ = setjoin.POPCOUNT(e["bits"][i] ^ e["bits"][j]).astype(np.int64)
-    x, y = e["head"][i], e["head"][j]
-    again = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)).any(axis=(1, 2))
+    differ = setjoin.POPCOUNT(e["bits"][i] ^ e["bits"][j]).sum(axis=1, dtype=np.int64)
     out = ok.copy()
-    out[ok] = ~again & (huge | (differ <= a[ok] + b[ok] - 2 * need[ok]))
+    out[ok] = huge | (differ <= a[ok] + b[ok] - 2 * need[ok])
     return out | (b == 65535)
 
 
+def _roots(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest member of each entry's linked set; the paths walked are cut short."""
+    found = root[at]
+    while (up := root[found] != found).any():
+        found[up] = root[found[up]]
+    root[at] = found
+    return found
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Link entries i with entries j, in place."""
+    while len(i):
+        a, b = _roots(root, i), _roots(root, j)
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+
+
 def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
-    """Groups (comp, set) of lines that may be similar; a similar pair shares a group."""
+    """Groups (comp, set) of lines that may be similar; a similar pair shares a group.
+
+    A group is what candidate pairs link under one word.  It is named by its sets, so that lines which meet under several
+    words, without others in between, make one group.
+    """
     counts = word_counts(docs, least)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     parts = shared.partitions(docs, 64)
@@ -143,7 +161,7 @@ def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
         again = np.zeros(len(e), dtype=bool)
         again[1:] = (e["set"][1:] == e["set"][:-1]) & (e["node"][1:] == e["node"][:-1])
         e = e[~again]
-        found = np.zeros(len(e), dtype=bool)
+        root = np.arange(len(e))
         active, step = np.arange(len(e) - 1), 1
         while len(active):
             active = active[active + step < len(e)]
@@ -151,11 +169,14 @@ def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
             live = (e["node"][active] == e["node"][j]) & (e["size"][active] >= t * e["size"][j] - 1e-6)
             active, j = active[live], j[live]
             ok = _allowed(e, active, j, t)
-            found[active[ok]], found[j[ok]] = True, True
+            _unite(root, active[ok], j[ok])
             step += 1
-        e = e[found]
-        node, index = np.unique(e["node"], return_inverse=True)
-        comp = words.mix(words.row_sums(words.mix(e["set"]), index, len(node)))[index] if len(e) else e["set"]
+        root = _roots(root, np.arange(len(e)))
+        linked = np.bincount(root, minlength=len(e))[root] > 1
+        order = np.argsort(root[linked], kind="stable")
+        e, root = e[linked][order], root[linked][order]
+        own, index = np.unique(root, return_inverse=True)
+        comp = words.mix(words.row_sums(words.mix(e["set"]), index, len(own)))[index] if len(e) else e["set"]
         return pa.table({"comp": shared.u64(comp), "set": shared.u64(e["set"])})
 
     packed = docs.mapInArrow(lambda x: pack(entries(x)), "part int, blob binary")
