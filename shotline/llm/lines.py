@@ -1,12 +1,13 @@
 """Line dedup: an exact set-similarity join of lines that removes later matches.
 
 A line is a piece of a text between line feeds; its set is its distinct words (see words).  A line is removed if an
-earlier line of the corpus, by (doc_id, line number), has a Jaccard similarity of at least 0.8 with it.  Lines with
-fewer than five distinct words always stay.
+earlier line of the corpus, by (doc_id, line number), has a Jaccard similarity of at least 0.8 with it.  Lines
+without a word always stay; those with fewer than least distinct words too, but report and dedup take all.
 
 Words are ordered by rarity (counts over all documents, in a table of fixed size; equal counts by hash), so that
 similar lines share a word among the first |x| - ceil(0.8 |x|) + 1 of each.  Lines that share such a word are
-candidates if length, position and a 128-bit parity signature allow the similarity; all tests are lossless.
+candidates if length, position and a 128-bit parity signature allow the similarity; all tests are lossless.  Sets too
+small to be similar to any but an equal one (up to three words at 0.8) need no candidates: equal sets are one set.
 Candidates are verified on their whole sets, with words as 32-bit hashes.
 
 Null or empty texts have no lines to remove.  Repeated doc_ids: their rows count as one document with the lines of
@@ -130,6 +131,14 @@ def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
 
 
+def smallest(t: float) -> int:
+    """The least size of a set that a different set can be similar to: with one word more, n / (n + 1) >= t."""
+    n = 1
+    while n < t * (n + 1) - 1e-9:
+        n += 1
+    return n
+
+
 def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
     """Groups (comp, set) of lines that may be similar; a similar pair shares a group.
 
@@ -213,12 +222,13 @@ def _sets(docs: DataFrame, needed: np.ndarray, least: int) -> DataFrame:
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 5) -> DataFrame:
     """(doc long, line int) of every line that an earlier similar line makes superfluous; lines count from 0."""
     docs = shared.with_id(docs, key, text).filter(F.col("id").isNotNull())
-    groups = shared.materialize(candidates(docs, similarity, least))
+    paired = max(least, smallest(similarity)) if similarity < 1 else least
+    groups = shared.materialize(candidates(docs, similarity, paired))
     every = shared.materialize(line_rows(docs, least))
     firsts = every.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     ours = groups.select("set").distinct()
     first = firsts.join(ours, "set", "left_semi").select("set", "first.doc", "first.line")
-    sets = _sets(docs, setjoin.presence_filter(groups, "set"), least).groupBy("set").agg(F.first("tokens").alias("tokens"))
+    sets = _sets(docs, setjoin.presence_filter(groups, "set"), paired).groupBy("set").agg(F.first("tokens").alias("tokens"))
     rows = setjoin.dealt(groups).join(sets.join(first, "set"), "set")
 
     def judge(data: dict[str, np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
@@ -235,7 +245,7 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     return found.select("doc", "line").distinct()
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 5) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 1) -> DataFrame:
     """A row for each doc_id that has text: doc_id, n_lines, n_removed, removed_lines (line numbers from 0, sorted)."""
     lines = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n_lines"))
     lines = lines.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
@@ -245,7 +255,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     return out.select("doc_id", "n_lines", F.size(gone).alias("n_removed"), gone.alias("removed_lines"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 1) -> DataFrame:
     """docs with its columns, later matching lines cut out of the texts.
 
     A document that loses every line, or keeps only blank ones, goes; one that was blank before stays.

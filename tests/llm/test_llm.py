@@ -64,6 +64,25 @@ def test_line_dedup(spark, empty):
     assert {r.doc_id for r in out.collect()} >= {i for i, t, _ in rows if not t}
 
 
+def test_short_lines_are_deduplicated_too(spark):
+    texts = ["one two\n---\na b c d", "two  One\n---\na b c d e\nx", "x\nx y\nx y z", "x y z\nz y x w\nnew", "\n\none\nONE one"]
+    rows = [(i + 1, t, "p") for i, t in enumerate(texts)] + [(9, None, "p"), (None, "one two", "p")]
+    seen, want = [], {}
+    for i, t, _ in rows:
+        if i is not None:
+            want[i] = []
+            for k, line in enumerate((t or "").split("\n")):
+                s = frozenset(WORD.findall(line.lower()))
+                if any(sim(s, o) >= 0.8 for o in seen):
+                    want[i].append(k)
+                seen.append(s)
+    assert want[2] == [0, 2] and want[3] == [0] and want[4] == [0] and want[5] == [3]
+    got = {r.doc_id: r.removed_lines for r in lines.report(docs_of(spark, rows)).collect() if r.doc_id is not None}
+    assert got == want
+    left = {r.doc_id: r.text for r in lines.dedup(docs_of(spark, rows)).collect()}
+    assert left[2] == "---\nx" and left[3] == "x y\nx y z" and left[4] == "z y x w\nnew"
+
+
 def test_decontamination(spark):
     item = " ".join(f"b{i}" for i in range(30))
     edited = item.replace("b5 ", "").replace("b17 ", "new b17x ")
