@@ -3,17 +3,17 @@
 The text of a document is its words, runs of bytes other than white space, with A-Z lower-cased; each word is encoded
 with a space before it by a public byte-level BPE vocabulary (read from a file, never trained), and one end id
 follows.  One layer of masked self-attention over the classes of the ids before it predicts the class of the next id
-in two steps, first a group of classes, then a class of that group.  The most frequent ids are classes of their own;
-the rarest of all share the last class of a group and are told apart by smoothed counts over all documents to learn
-from.  A score is the sum of the log10 probabilities of all ids, the end included, which is a proper distribution over
+in two steps, first a group of classes, then a class of that group.  Every id seen in the documents to learn from is a
+class of its own, so the classes grow with the vocabulary seen; ids never seen share the last class of a group and are
+told apart by smoothed counts.  A score is the sum of the log10 probabilities of all ids, the end included, which is a proper distribution over
 id sequences.
 
 Windows of LENGTH ids overlap by CONTEXT ids: the first CONTEXT positions of a window, but for a text's first, are
 context only, so that each id is scored once.
 
-Training: a stated share of the documents to learn from, in ROUNDS parts; in each round every task starts from the
-same weights, takes Adam steps on its own part, and the weights are averaged by Spark.  Counts of ids and words cover
-all documents to learn from.
+Training: all documents to learn from, in ROUNDS parts; in each round every task starts from the same weights, takes
+Adam steps over each window of its own part once, in random order, and the weights are averaged by Spark.  So every id
+to learn from is a target once.  Counts of ids and words cover all documents to learn from, too.
 
 The baseline is the smoothed unigram model of words.  Words are counted block by block: a task sends each word of a
 block of documents once, with its count, to the word's partition, and gets the total back for its block, so that a
@@ -41,11 +41,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 IDS = 50_257
 END = 50_256
 LENGTH, CONTEXT = 32, 4
-WIDTH, GROUPS, SLOTS = 24, 32, 32
-CLASSES = GROUPS * SLOTS  # class 0 is the end's, and the start's
-ROUNDS, STEPS, BATCH, SHARE = 3, 300, 64, 8
-#: Ids of the corpus for each training task.
-IDS_A_TASK = 50_000_000
+WIDTH = 24
+ROUNDS, BATCH = 3, 64
+#: Ids of the corpus for each training task, which holds a part of ROUNDS of them at once.
+IDS_A_TASK = 6_000_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -131,38 +130,64 @@ class Words:
             a = b
 
 
+def groups_for(seen: int) -> int:
+    """Groups, and slots of each, in which seen ids and the end's have a slot of their own beside the groups' last."""
+    n = 2
+    while n * (n - 1) < seen + 1:
+        n += 1
+    return n
+
+
+CLASSES = groups_for(END) ** 2  # with all ids seen; class 0 is the end's, and the start's
+
+
 class Classes:
     """Classes of ids and the log probabilities of ids within them, from counts of ids.
 
-    Class c is slot c % SLOTS of group c // SLOTS.  Ids that are alike in spelling share a group.
+    Class c is slot c % groups of group c // groups.  Ids that are alike in spelling share a group.
     """
 
     def __init__(self, counts: np.ndarray, path: str):
         enc = encoder(path)
         spelled = [enc.decode_single_token_bytes(i) for i in range(END)]
-        own = np.argsort(-counts[:END], kind="stable")[: GROUPS * (SLOTS - 1) - 1]
-        own = np.array(sorted(own.tolist(), key=spelled.__getitem__))
+        own = np.flatnonzero(counts[:END])
+        own = np.array(sorted(own.tolist(), key=spelled.__getitem__), dtype=np.int64)
+        self.groups = n = groups_for(len(own))
         place = np.arange(1, len(own) + 1)  # place 0 is the end's
         self.of = np.zeros(IDS, dtype=np.int64)
         first = np.array([b[0] for b in spelled])
-        self.of[:END] = (first % GROUPS) * SLOTS + SLOTS - 1
-        self.of[own] = place // (SLOTS - 1) * SLOTS + place % (SLOTS - 1)
+        self.of[:END] = (first % n) * n + n - 1
+        self.of[own] = place // (n - 1) * n + place % (n - 1)
         self.of[END] = 0
         smooth = counts + 1.0
-        share = np.bincount(self.of, weights=smooth, minlength=CLASSES)
+        share = np.bincount(self.of, weights=smooth, minlength=n * n)
         self.within = np.log(smooth / share[self.of]).astype(np.float32)
-        self.share = np.maximum(share, 1e-3).reshape(GROUPS, SLOTS)
+        self.share = np.maximum(share, 1e-3).reshape(n, n)
+
+
+def shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    square = {x: (WIDTH, WIDTH) for x in "qkvo"}
+    return {"emb": (groups**2, WIDTH), "pos": (LENGTH, WIDTH), **square, "up": (WIDTH, 2 * WIDTH), "down": (2 * WIDTH, WIDTH), "group": (WIDTH, groups), "group_bias": (groups,), "slot": (groups, WIDTH, groups), "slot_bias": (groups, groups)}
+
+
+def size_of(groups: int) -> int:
+    return sum(int(np.prod(x)) for x in shapes(groups).values())
+
+
+def groups_of(size: int) -> int:
+    """The groups of a model of so many weights."""
+    n = int(np.sqrt((size - size_of(0)) / (2 * WIDTH + 1)))
+    assert size_of(n) == size
+    return n
 
 
-SHAPES = {"emb": (CLASSES, WIDTH), "pos": (LENGTH, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "up": (WIDTH, 2 * WIDTH), "down": (2 * WIDTH, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "slot": (GROUPS, WIDTH, SLOTS), "slot_bias": (GROUPS, SLOTS)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 SCALE = np.float32(WIDTH**-0.5)
 SEEN = np.tril(np.ones((LENGTH, LENGTH), dtype=np.float32))
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(groups_of(len(flat))).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
@@ -170,7 +195,7 @@ def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def initial(classes: Classes) -> np.ndarray:
-    flat = (np.random.default_rng(3).standard_normal(SIZE) * 0.15).astype(np.float32)
+    flat = (np.random.default_rng(3).standard_normal(size_of(classes.groups)) * 0.15).astype(np.float32)
     p = parts(flat)
     p["group_bias"][:] = np.log(classes.share.sum(1) / classes.share.sum())
     p["slot_bias"][:] = np.log(classes.share / classes.share.sum(1, keepdims=True))
@@ -234,9 +259,10 @@ def _softmax(g: np.ndarray, weight: np.ndarray, bias: np.ndarray, y: np.ndarray)
 
 def heads(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probabilities of classes y from activations g (positions x WIDTH); with grad, also minus their gradient by g."""
-    order = np.argsort((y // SLOTS).astype(np.int16), kind="stable")
-    g, group, slot = g[order], y[order] // SLOTS, y[order] % SLOTS
-    edge = np.searchsorted(group, np.arange(GROUPS + 1))
+    n = len(p["group_bias"])
+    order = np.argsort((y // n).astype(np.int16), kind="stable")
+    g, group, slot = g[order], y[order] // n, y[order] % n
+    edge = np.searchsorted(group, np.arange(n + 1))
     logp, ez, total = _softmax(g, p["group"], p["group_bias"], group)
     dg = None
     if grad is not None:
@@ -245,7 +271,7 @@ def heads(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray, grad: np.ndarr
         ez[np.arange(len(y)), group] -= 1
         ez /= len(y)
         d["group"][:], d["group_bias"][:], dg = g.T @ ez, ez.sum(0), ez @ p["group"].T
-    for k in range(GROUPS):
+    for k in range(n):
         own = slice(edge[k], edge[k + 1])
         if edge[k] < edge[k + 1]:
             more, ez, total = _softmax(g[own], p["slot"][k], p["slot_bias"][k], slot[own])
@@ -303,16 +329,17 @@ def score_texts(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: C
     return total
 
 
-def learn(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes, steps: int, rate: float, seed: int) -> np.ndarray:
-    """Weights after Adam steps on windows of these texts, taken in random order."""
+def learn(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes, rate: float, seed: int) -> np.ndarray:
+    """Weights after Adam steps over all windows of these texts, each taken once, in random order."""
     text, first, opens = windows(ids, begin)
-    rng = np.random.default_rng(seed)
+    order = np.random.default_rng(seed).permutation(len(text))
+    steps = -(-len(order) // BATCH)
     flat = flat.copy()
-    m, v = np.zeros(SIZE, dtype=np.float32), np.zeros(SIZE, dtype=np.float32)
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
     for step in range(1, steps + 1):
-        own = rng.integers(0, len(text), BATCH)
+        own = order[(step - 1) * BATCH : step * BATCH]
         x, target, counts = cut(ids, begin, classes, text[own], first[own], opens[own])
-        p, grad = parts(flat), np.zeros(SIZE, dtype=np.float32)
+        p, grad = parts(flat), np.zeros_like(flat)
         kept = forward(p, x)
         _, below = heads(p, kept[-1][counts], classes.of[ids[target[counts]]], grad)
         dg = np.zeros_like(kept[-1])
@@ -386,26 +413,26 @@ def _totals(pairs: DataFrame, blocks: int) -> DataFrame:
 
 
 def train(docs: DataFrame, n_ids: int, classes: Classes, path: str) -> np.ndarray:
-    """Weights learnt from a share of 1 / SHARE of the documents that aren't held out; docs: (id, text, held, block)."""
+    """Weights learnt from all documents that aren't held out; docs: (id, text, held, block)."""
     context = docs.sparkSession.sparkContext
     flat = initial(classes)
     tables = context.broadcast(classes)
     tasks = max(1, -(-n_ids // IDS_A_TASK))
     for step in range(ROUNDS):
         sent = context.broadcast(flat)
-        part = F.pmod(F.xxhash64("id", F.length("text"), F.lit(9)), F.lit(SHARE * ROUNDS)) == step
+        part = F.pmod(F.xxhash64("id", F.length("text"), F.lit(9)), F.lit(ROUNDS)) == step
 
         def run(parted: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
             texts = [b.column("text") for b in parted if b.num_rows]
             if texts:
                 found = list(Words(pa.chunked_array(texts).combine_chunks()).sequences(path))
                 ids, begin = np.concatenate([x[2] for x in found]), np.append(0, np.cumsum(np.concatenate([np.diff(x[3]) for x in found])))
-                new = learn(sent.value, ids, begin, tables.value, STEPS, 0.02 / (step + 1), step)
-                yield pa.record_batch({"i": pa.array(np.arange(SIZE, dtype=np.int32)), "w": pa.array(new.astype(np.float64))})
+                new = learn(sent.value, ids, begin, tables.value, 0.02 / (step + 1), step)
+                yield pa.record_batch({"i": pa.array(np.arange(len(new), dtype=np.int32)), "w": pa.array(new.astype(np.float64))})
 
         table = docs.filter(~F.col("held") & part).select("text").repartition(tasks).mapInArrow(run, "i int, w double").groupBy("i").agg(F.avg("w").alias("w")).toArrow()
         if table.num_rows:
-            flat = np.zeros(SIZE, dtype=np.float32)
+            flat = np.zeros_like(flat)
             flat[np.asarray(table.column("i"))] = np.asarray(table.column("w"))
     return flat
 

@@ -193,6 +193,23 @@ def test_lm_base_score_and_distribution(spark):
     assert abs(np.exp(logp).sum() - 1) < 1e-3
 
 
+def test_lm_learns_from_every_document_and_every_id(spark):
+    names = spark.range(40).select("id", F.md5(F.col("id").cast("string")).alias("text"), F.lit(False).alias("held"), F.lit(0).alias("block"))
+    counts, ids = np.zeros(lm.IDS, dtype=np.int64), set()
+    for r in names.collect():
+        for i in lm.encoder(lm.TOKENIZER).encode(f" {r.text}"):
+            counts[i] += 1
+            ids.add(i)
+    counts[lm.END] = 40
+    classes = lm.Classes(counts, lm.TOKENIZER)
+    assert len({int(classes.of[i]) for i in ids} | {0}) == len(ids) + 1
+    every = lm.Classes(np.ones(lm.IDS, dtype=np.int64), lm.TOKENIZER)
+    assert len(np.unique(every.of)) == lm.IDS
+    before, after = lm.parts(lm.initial(classes))["emb"], lm.parts(lm.train(names, int(counts.sum()), classes, lm.TOKENIZER))["emb"]
+    moved = (before != after).any(axis=1)
+    assert moved[[int(classes.of[i]) for i in ids]].all()  # each id is followed by another or by an end
+
+
 def test_hashes_follow_words():
     import pyarrow as pa
 
