@@ -145,3 +145,13 @@ def test_avs_score(spark):
     rows = [(1, 1, "a", True), (1, 1, "b", False), (2, 1, "c", True)]
     got = {r.team: r.score for r in evaluate.avs_scores(spark.createDataFrame(rows, "team int, task int, video string, correct boolean")).collect()}
     assert round(got[1], 6) == 400.0 and round(got[2], 6) == 500.0
+
+
+def test_knn_cells_recall(spark):
+    from shotline.operators import search
+    from shotline.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    want = {(r.query_id, r.point_id) for r in search.knn(queries.vectors(spark, sf), queries.frames(spark, sf), 10).collect()}
+    got = {(r.query_id, r.point_id) for r in queries.knn_cells(spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want)
