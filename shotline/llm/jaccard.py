@@ -3,10 +3,10 @@
 The set of a text is its distinct five-word shingles (see words; a text of one to four words has all of them as its
 only shingle).  Texts with equal sets are one class, so copies cost nothing.  Each run draws a hash function; a set x
 chooses the tokens whose hash is below 1 / (0.8 |x|), 1.25 on average, and similar sets choose a common one with
-probability of at least 1 - exp(-1 / 0.9) = 0.67.  Buckets (paths of chosen tokens) with more than a stated number of
+probability of at least 1 - exp(-1) = 0.63, the case of a set within the other.  Buckets (paths of chosen tokens) with more than a stated number of
 sets are split again on tokens drawn anew for that path, up to a stated depth; small ones are compared by brute
 force, first by 16 min-hashes, then on whole sets.  The number of runs follows from the target recall of a pair at
-the threshold whose buckets are all split to the last level but one.
+the threshold whose buckets are all split to the last level, where it needs a common choice at each.
 
 Links are pairs of different classes with a similarity of at least 0.8.  They are counted where they are found and
 never listed, so a group of n near copies costs n rows, not n squared: a pair is counted in the first of the groups
@@ -38,9 +38,8 @@ _ALL = 2.0**64
 
 def runs_for(recall: float, similarity: float, depth: int) -> int:
     """Runs after which a pair at the threshold has been found with probability recall."""
-    shared_part = 2 * similarity / (1 + similarity)  # of the larger of two sets of one size
-    once = 1 - math.exp(-shared_part / similarity)
-    return math.ceil(math.log(1 - recall) / math.log(1 - once ** max(1, depth - 1)))
+    once = 1 - math.exp(-1)  # at worst: the smaller set is within the larger, which chooses 1 / similarity tokens, shared ones once
+    return math.ceil(math.log(1 - recall) / math.log(1 - once**depth))
 
 
 class Sets:

@@ -46,6 +46,19 @@ def test_jaccard_classes(spark, empty):
     assert all(got[i][2] == got[j][2] for i in near for j in near[i])
 
 
+def test_jaccard_runs_reach_the_recall_at_full_depth():
+    x = np.random.default_rng(2).integers(0, 1 << 63, (400, 100)).astype(np.uint64)
+    found = 0
+    for row in x:  # a pair of 100 and 80 tokens, the smaller within the larger
+        once = [np.uint64(k) for k in words.seeded(5, 20)]
+        h = np.array([words.mix(row ^ k) for k in once]).astype(np.float64)
+        found += (h[:, :80] < 2.0**64 / 80).any(axis=1).sum()
+    chance = found / 8000
+    for depth in (1, 2, 3):
+        assert (1 - chance**depth) ** jaccard.runs_for(0.9999, 0.8, depth) < 3e-4
+    assert abs(chance - 0.632) < 0.02
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_line_dedup(spark, empty):
     rows = [] if empty else awkward()[:9] + [(12, "\n".join(" ".join(f"l{j + k}" for j in range(30)) for k in range(6)), "p")]
