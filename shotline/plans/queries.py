@@ -191,7 +191,7 @@ def temporal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, f = _steps(spark, sf_dir)
-    pairs = ev.select("query_id").distinct().crossJoin(F.broadcast(f.select("source_file").distinct().filter("source_file < 'V003'")))  # a stated query set against three videos
+    pairs = ev.select("query_id").distinct().crossJoin(F.broadcast(f.select("source_file").distinct()))  # every query against every video
     rows = pairs.join(f.select("point_id", "source_file", "frame_idx", "vector"), "source_file")
     return temporal.align_events(ev, rows).select("query_id", "source_file", r6("score"), F.concat_ws(",", F.transform("frames", lambda x: x.cast("string"))).alias("frames"))
 
@@ -203,7 +203,7 @@ def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clarification_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = search.token_match(token_queries(spark, sf_dir), texts(spark, sf_dir)).join(texts(spark, sf_dir), "point_id")
     prior = tok.filter("point_id % 2 = 0").select("query_id", "point_id")
-    answers = table(spark, sf_dir, "documents").filter("doc_id % 100 = 1").select((F.col("doc_id") - 1).alias("query_id"), F.left(F.col("text"), F.lit(80)).alias("answer"))
+    answers = table(spark, sf_dir, "documents").filter("doc_id % 100 = 1").select((F.col("doc_id") - 1).alias("query_id"), F.col("text").alias("answer"))
     return session.clarification_boost(tok, prior, answers).select("query_id", "point_id", r6("overlap"), r6("boosted"), "rank")
 
 
@@ -236,7 +236,7 @@ def sharpness_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diverse_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    budget = shots.scene_variance(f).select("source_file", "scene_id", F.lit(3).alias("budget"))
+    budget = shots.scene_variance(f).select("source_file", "scene_id", "budget")
     return shots.diverse_keyframes(f.join(budget, ["source_file", "scene_id"]))
 
 

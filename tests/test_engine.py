@@ -155,3 +155,19 @@ def test_knn_cells_recall(spark):
     want = {(r.query_id, r.point_id) for r in search.knn(queries.vectors(spark, sf), queries.frames(spark, sf), 10).collect()}
     got = {(r.query_id, r.point_id) for r in queries.knn_cells(spark, sf).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_queries_take_the_whole_job(spark, monkeypatch):
+    from shotline.plans import queries
+
+    f = queries.frames(spark, SF)
+    enough = {r.source_file for r in f.groupBy("source_file").count().filter("count >= 3").collect()}
+    assert {r.source_file for r in queries.event_alignment(spark, SF).collect()} == enough and max(enough) > "V003"
+    budget = {(r.source_file, r.scene_id): min(r.budget, r.n) for r in queries.scene_variance(spark, SF).collect()}
+    picks = {(r.source_file, r.scene_id): r["count"] for r in queries.diverse_keyframes(spark, SF).groupBy("source_file", "scene_id").count().collect()}
+    assert picks == budget and set(budget.values()) != {3}
+    seen = []
+    monkeypatch.setattr(session, "clarification_boost", lambda tok, prior, answers: seen.append(answers) or tok.selectExpr("query_id", "point_id", "score overlap", "score boosted", "rank"))
+    queries.clarification_boost(spark, SF)
+    texts = {r.doc_id - 1: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 100 = 1").collect()}
+    assert {r.query_id: r.answer for r in seen[0].collect()} == texts
