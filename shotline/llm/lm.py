@@ -41,8 +41,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 IDS = 50_257
 END = 50_256
 LENGTH, CONTEXT = 32, 4
-WIDTH = 24
-ROUNDS, BATCH = 3, 64
+WIDTH = 16
+ROUNDS = 3
+#: Windows of a step at most; a part with few windows takes smaller steps, STEPS of them at least.
+BATCH, STEPS = 384, 200
 #: Ids of the corpus for each training task, which holds a part of ROUNDS of them at once.
 IDS_A_TASK = 6_000_000
 SPACE = np.zeros(256, dtype=bool)
@@ -154,7 +156,7 @@ class Classes:
         own = np.array(sorted(own.tolist(), key=spelled.__getitem__), dtype=np.int64)
         self.groups = n = groups_for(len(own))
         place = np.arange(1, len(own) + 1)  # place 0 is the end's
-        self.of = np.zeros(IDS, dtype=np.int64)
+        self.of = np.zeros(IDS, dtype=np.int32)
         first = np.array([b[0] for b in spelled])
         self.of[:END] = (first % n) * n + n - 1
         self.of[own] = place // (n - 1) * n + place % (n - 1)
@@ -166,8 +168,8 @@ class Classes:
 
 
 def shapes(groups: int) -> dict[str, tuple[int, ...]]:
-    square = {x: (WIDTH, WIDTH) for x in "qkvo"}
-    return {"emb": (groups**2, WIDTH), "pos": (LENGTH, WIDTH), **square, "up": (WIDTH, 2 * WIDTH), "down": (2 * WIDTH, WIDTH), "group": (WIDTH, groups), "group_bias": (groups,), "slot": (groups, WIDTH, groups), "slot_bias": (groups, groups)}
+    """group and slot have a last row for the biases."""
+    return {"emb": (groups**2, WIDTH), "pos": (LENGTH, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "group": (WIDTH + 1, groups), "slot": (groups, WIDTH + 1, groups)}
 
 
 def size_of(groups: int) -> int:
@@ -197,8 +199,8 @@ def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
 def initial(classes: Classes) -> np.ndarray:
     flat = (np.random.default_rng(3).standard_normal(size_of(classes.groups)) * 0.15).astype(np.float32)
     p = parts(flat)
-    p["group_bias"][:] = np.log(classes.share.sum(1) / classes.share.sum())
-    p["slot_bias"][:] = np.log(classes.share / classes.share.sum(1, keepdims=True))
+    p["group"][-1] = np.log(classes.share.sum(1) / classes.share.sum())
+    p["slot"][:, -1] = np.log(classes.share / classes.share.sum(1, keepdims=True))
     return flat
 
 
@@ -206,50 +208,47 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     """Activations for classes x (windows x LENGTH), the last what the outputs read; a position sees itself and what is before."""
     e = p["emb"].take(x, axis=0)
     e += p["pos"]
-    q = e @ (p["q"] * SCALE)
-    k, v = e @ p["k"], e @ p["v"]
+    qkv = e @ p["qkv"]
+    q, k, v = qkv[..., :WIDTH] * SCALE, qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     a = q @ k.transpose(0, 2, 1)
     np.exp(np.clip(a, -40, 40, out=a), out=a)
     a *= SEEN
     total = (a @ np.ones(LENGTH, dtype=np.float32))[:, :, None]
     c = a @ v
     c /= total
-    h = c @ p["o"]
-    h += e
-    u = h @ p["up"]
-    np.maximum(u, 0, out=u)
-    g = u @ p["down"]
-    g += h
-    return x, e, q, k, v, a, total, c, h, u, g
+    g = np.empty((*x.shape, WIDTH + 1), dtype=np.float32)
+    np.add(c @ p["o"], e, out=g[..., :WIDTH])
+    g[..., WIDTH] = 1
+    return x, e, q, k, v, a, total, c, g
 
 
 def backward(p: dict[str, np.ndarray], kept: tuple, dg: np.ndarray, grad: np.ndarray) -> None:
-    """Add to grad the gradient below the last activations."""
-    x, e, q, k, v, a, total, c, h, u, _ = kept
-    a = a / total
+    """Set in grad the gradient below the last activations; kept's attention is used up."""
+    x, e, q, k, v, a, total, c, _ = kept
+    a /= total
     d = parts(grad)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    d["down"][:] = flat(u).T @ flat(dg)
-    du = (dg @ p["down"].T) * (u > 0)
-    d["up"][:] = flat(h).T @ flat(du)
-    dh = dg + du @ p["up"].T
-    d["o"][:] = flat(c).T @ flat(dh)
-    dc = dh @ p["o"].T
+    d["o"][:] = flat(c).T @ flat(dg)
+    dc = dg @ p["o"].T
+    dqkv = np.empty((*x.shape, 3 * WIDTH), dtype=np.float32)
+    dqkv[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
     da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = (ds @ k) * SCALE, ds.transpose(0, 2, 1) @ q
-    for name, t in (("q", dq), ("k", dk), ("v", dv)):
-        d[name][:] = flat(e).T @ flat(t)
-    de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    da -= (dc[..., None, :] @ c[..., :, None])[..., 0]  # the sum of da * a of each row
+    a *= da
+    dqkv[..., :WIDTH] = (a @ k) * SCALE
+    dqkv[..., WIDTH : 2 * WIDTH] = a.transpose(0, 2, 1) @ q
+    d["qkv"][:] = flat(e).T @ flat(dqkv)
+    de = dqkv @ p["qkv"].T
+    de += dg
     d["pos"][:] = de.sum(0)
-    np.add.at(d["emb"], x.ravel(), flat(de))
+    de, x = flat(de), x.ravel()
+    for j in range(WIDTH):
+        d["emb"][:, j] = np.bincount(x, weights=de[:, j], minlength=len(d["emb"]))
 
 
-def _softmax(g: np.ndarray, weight: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probabilities of y, exponentials, their sums) of a softmax of g @ weight + bias."""
+def _softmax(g: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probabilities of y, exponentials, their sums) of a softmax of g @ weight."""
     z = g @ weight
-    z += bias
     np.clip(z, -60, 60, out=z)
     own = z[np.arange(len(y)), y]
     np.exp(z, out=z)
@@ -257,31 +256,34 @@ def _softmax(g: np.ndarray, weight: np.ndarray, bias: np.ndarray, y: np.ndarray)
     return own - np.log(total), z, total
 
 
+def _error(ez: np.ndarray, total: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Gradient by the logits of the mean of n losses."""
+    ez *= (1 / (total * np.float32(n)))[:, None]
+    ez[np.arange(len(y)), y] -= np.float32(1 / n)
+    return ez
+
+
 def heads(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probabilities of classes y from activations g (positions x WIDTH); with grad, also minus their gradient by g."""
-    n = len(p["group_bias"])
+    """Log probabilities of classes y from activations g (positions x WIDTH + 1); with grad, also minus their gradient by g."""
+    n = p["group"].shape[1]
     order = np.argsort((y // n).astype(np.int16), kind="stable")
     g, group, slot = g[order], y[order] // n, y[order] % n
-    edge = np.searchsorted(group, np.arange(n + 1))
-    logp, ez, total = _softmax(g, p["group"], p["group_bias"], group)
+    edge = np.searchsorted(group, np.arange(n + 1)).tolist()
+    logp, ez, total = _softmax(g, p["group"], group)
     dg = None
     if grad is not None:
         d = parts(grad)
-        ez /= total[:, None]
-        ez[np.arange(len(y)), group] -= 1
-        ez /= len(y)
-        d["group"][:], d["group_bias"][:], dg = g.T @ ez, ez.sum(0), ez @ p["group"].T
+        ez = _error(ez, total, group, len(y))
+        d["group"][:], dg = g.T @ ez, ez @ p["group"][:-1].T
     for k in range(n):
         own = slice(edge[k], edge[k + 1])
         if edge[k] < edge[k + 1]:
-            more, ez, total = _softmax(g[own], p["slot"][k], p["slot_bias"][k], slot[own])
+            more, ez, total = _softmax(g[own], p["slot"][k], slot[own])
             logp[own] += more
             if grad is not None:
-                ez /= total[:, None]
-                ez[np.arange(len(ez)), slot[own]] -= 1
-                ez /= len(y)
-                d["slot"][k], d["slot_bias"][k] = g[own].T @ ez, ez.sum(0)
-                dg[own] += ez @ p["slot"][k].T
+                ez = _error(ez, total, slot[own], len(y))
+                d["slot"][k] = g[own].T @ ez
+                dg[own] += ez @ p["slot"][k, :-1].T
     out = np.empty_like(logp)
     out[order] = logp
     if dg is not None:
@@ -291,7 +293,7 @@ def heads(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray, grad: np.ndarr
     return out, dg
 
 
-def windows(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first target's number, whether it is its text's first) of the windows of all texts."""
     size = np.diff(begin)
     count = 1 + np.maximum(0, -(-(size - LENGTH) // (LENGTH - CONTEXT)))
@@ -300,29 +302,37 @@ def windows(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, begin[text] + k * (LENGTH - CONTEXT), k == 0
 
 
-def cut(ids: np.ndarray, begin: np.ndarray, classes: Classes, text: np.ndarray, first: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input classes, target numbers, whether a target counts) of windows; the input before a text's first id is END's class."""
+def inputs(y: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The class before each target; before a text's first id it is END's."""
+    x = np.zeros_like(y)
+    x[1:] = y[:-1]
+    x[begin[:-1]] = 0
+    return x
+
+
+def cut(last: np.ndarray, first: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(target numbers, whether a target counts) of windows; last: where their texts end."""
     target = first[:, None] + np.arange(LENGTH)
-    last = begin[text + 1][:, None]
-    counts = (target < last) & (opens[:, None] | (np.arange(LENGTH) >= CONTEXT))
-    target = np.minimum(target, last - 1)
-    x = classes.of[ids[np.maximum(target - 1, 0)]]
-    x[opens, 0] = 0
-    return x, target, counts
+    counts = target < last[:, None]
+    counts[:, :CONTEXT] &= opens[:, None]
+    return np.minimum(target, last[:, None] - 1, out=target), counts
 
 
 def score_texts(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes, at_once: int = 128, blocks: int = 8) -> np.ndarray:
     """Natural log probability of each text; at_once windows go through the attention, blocks times as many to the outputs."""
     p = parts(flat)
-    total = np.bincount(np.repeat(np.arange(len(begin) - 1), np.diff(begin)), weights=classes.within[ids], minlength=len(begin) - 1)
-    text, first, opens = windows(ids, begin)
+    total = np.add.reduceat(classes.within[ids], begin[:-1], dtype=np.float64)
+    y = classes.of[ids]
+    x = inputs(y, begin)
+    text, first, opens = windows(begin)
+    last = begin[text + 1]
     for a in range(0, len(text), at_once * blocks):
         found, targets, rows = [], [], []
         for b in range(a, min(a + at_once * blocks, len(text)), at_once):
             own = slice(b, b + at_once)
-            x, target, counts = cut(ids, begin, classes, text[own], first[own], opens[own])
-            found.append(forward(p, x)[-1][counts])
-            targets.append(classes.of[ids[target[counts]]])
+            target, counts = cut(last[own], first[own], opens[own])
+            found.append(forward(p, x[target])[-1][counts])
+            targets.append(y[target[counts]])
             rows.append(np.repeat(text[own], counts.sum(axis=1)))
         logp, _ = heads(p, np.concatenate(found), np.concatenate(targets))
         total += np.bincount(np.concatenate(rows), weights=logp, minlength=len(total))
@@ -331,22 +341,29 @@ def score_texts(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: C
 
 def learn(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes, rate: float, seed: int) -> np.ndarray:
     """Weights after Adam steps over all windows of these texts, each taken once, in random order."""
-    text, first, opens = windows(ids, begin)
+    text, first, opens = windows(begin)
+    last, y = begin[text + 1], classes.of[ids]
+    x = inputs(y, begin)
     order = np.random.default_rng(seed).permutation(len(text))
-    steps = -(-len(order) // BATCH)
+    batch = max(64, min(BATCH, len(order) // STEPS))
+    steps = -(-len(order) // batch)
     flat = flat.copy()
     m, v = np.zeros_like(flat), np.zeros_like(flat)
+    p, grad = parts(flat), np.zeros_like(flat)
     for step in range(1, steps + 1):
-        own = order[(step - 1) * BATCH : step * BATCH]
-        x, target, counts = cut(ids, begin, classes, text[own], first[own], opens[own])
-        p, grad = parts(flat), np.zeros_like(flat)
-        kept = forward(p, x)
-        _, below = heads(p, kept[-1][counts], classes.of[ids[target[counts]]], grad)
-        dg = np.zeros_like(kept[-1])
+        own = order[(step - 1) * batch : step * batch]
+        target, counts = cut(last[own], first[own], opens[own])
+        grad[:] = 0
+        kept = forward(p, x[target])
+        _, below = heads(p, kept[-1][counts], y[target[counts]], grad)
+        dg = np.zeros((*x[target].shape, WIDTH), dtype=np.float32)
         dg[counts] = below
         backward(p, kept, dg, grad)
         rate_now = np.float32(rate * (1 - 0.9 * step / steps))
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * grad
+        v *= np.float32(0.99)
+        v += np.float32(0.01) * grad * grad
         flat -= rate_now * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     return flat
 

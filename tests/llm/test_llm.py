@@ -201,7 +201,7 @@ def test_lm_base_score_and_distribution(spark):
             assert r.score < 0
     classes = lm.Classes(np.ones(lm.IDS, dtype=np.int64), lm.TOKENIZER)
     p = lm.parts(lm.initial(classes))
-    g = np.tile(np.random.default_rng(0).normal(size=(1, lm.WIDTH)).astype(np.float32), (lm.CLASSES, 1))
+    g = np.tile(np.append(np.random.default_rng(0).normal(size=lm.WIDTH), 1).astype(np.float32), (lm.CLASSES, 1))
     logp, _ = lm.heads(p, g, np.arange(lm.CLASSES))
     assert abs(np.exp(logp).sum() - 1) < 1e-3
 
@@ -223,6 +223,73 @@ def test_lm_learns_from_every_document_and_every_id(spark):
     assert moved[[int(classes.of[i]) for i in ids]].all()  # each id is followed by another or by an end
 
 
+def _small_model():
+    counts = np.zeros(lm.IDS, dtype=np.int64)
+    counts[[262, 290, 286, 318, 287, 257]], counts[lm.END] = 50, 10
+    classes = lm.Classes(counts, lm.TOKENIZER)
+    rng = np.random.default_rng(4)
+    flat = lm.initial(classes) + rng.normal(size=lm.size_of(classes.groups)).astype(np.float32) * 0.3
+    seen = np.array([262, 290, 286, 318, 287, 257])
+    sizes = [1, 3, 32, 33, 75, 200]
+    ids = np.concatenate([np.append(rng.choice(seen, n - 1), lm.END) for n in sizes])
+    return classes, flat, ids, np.append(0, np.cumsum(sizes))
+
+
+def test_lm_scores_each_id_once_like_plain_masked_attention():
+    classes, flat, ids, begin = _small_model()
+    p = {k: v.astype(np.float64) for k, v in lm.parts(flat).items()}
+    y = classes.of[ids].astype(np.int64)
+    n, scored = classes.groups, np.zeros(len(ids), dtype=int)
+
+    def logp(before, target):
+        e = p["emb"][before] + p["pos"][: len(before)]
+        q, k, v = e[-1] @ p["qkv"][:, : lm.WIDTH], e @ p["qkv"][:, lm.WIDTH : 2 * lm.WIDTH], e @ p["qkv"][:, 2 * lm.WIDTH :]
+        a = np.exp(k @ q / math.sqrt(lm.WIDTH))
+        g = np.append(e[-1] + (a / a.sum()) @ v @ p["o"], 1)
+        up, low = g @ p["group"], g @ p["slot"][target // n]
+        return up[target // n] - np.log(np.exp(up).sum()) + low[target % n] - np.log(np.exp(low).sum())
+
+    want = np.zeros(len(begin) - 1)
+    for t, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
+        start = a
+        while start < b:
+            for i in range(start if start == a else start + lm.CONTEXT, min(b, start + lm.LENGTH)):
+                before = [0 if j == a else y[j - 1] for j in range(start, i + 1)]
+                want[t] += logp(before, y[i]) + classes.within[ids[i]]
+                scored[i] += 1
+            if start + lm.LENGTH >= b:
+                break
+            start += lm.LENGTH - lm.CONTEXT
+    assert (scored == 1).all()
+    assert np.allclose(lm.score_texts(flat, ids, begin, classes), want, rtol=1e-4)
+
+
+def test_lm_gradient_equals_finite_differences():
+    classes, flat, ids, begin = _small_model()
+    y = classes.of[ids]
+    x = lm.inputs(y, begin)
+    text, first, opens = lm.windows(begin)
+    target, counts = lm.cut(begin[text + 1], first, opens)
+
+    def loss(w):
+        p = lm.parts(w)
+        return -float(lm.heads(p, lm.forward(p, x[target])[-1][counts], y[target[counts]])[0].astype(np.float64).mean())
+
+    p, grad = lm.parts(flat), np.zeros_like(flat)
+    kept = lm.forward(p, x[target])
+    _, below = lm.heads(p, kept[-1][counts], y[target[counts]], grad)
+    dg = np.zeros((*target.shape, lm.WIDTH), dtype=np.float32)
+    dg[counts] = below
+    lm.backward(p, kept, dg, grad)
+    for own in lm.parts(np.arange(len(flat))).values():
+        at = own.ravel()[np.argsort(-np.abs(grad[own.ravel()]))[:4]]
+        for i in at:
+            up, down = flat.copy(), flat.copy()
+            up[i] += 0.01
+            down[i] -= 0.01
+            assert math.isclose((loss(up) - loss(down)) / 0.02, grad[i], rel_tol=0.05, abs_tol=2e-4)
+
+
 def test_hashes_follow_words():
     import pyarrow as pa
 
