@@ -9,16 +9,17 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from shotline.functions import vectors as V
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two captions."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
@@ -35,11 +36,21 @@ def object_labels(dets: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(dets, lambda d: d["label"])))
 
 
+def merged_attributes(attrs: Column, dets: Column) -> Column:
+    """The attributes (a struct) with objects, the distinct labels of the detections, and the detections themselves."""
+    return attrs.withField("objects", object_labels(dets)).withField("detected_objects", dets)
+
+
 def on_frame(region: Column, dets: Column, w: Column, h: Column) -> Column:
-    """Detections of a region [x1, y1, x2, y2] in the frame's coordinates, clamped to the frame."""
-    x, y = F.greatest(region[0], F.lit(0.0)), F.greatest(region[1], F.lit(0.0))
-    hold = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
-    return F.transform(dets, lambda d: d.withField("bbox", F.array(hold(d["bbox"][0] + x, w), hold(d["bbox"][1] + y, h), hold(d["bbox"][2] + x, w), hold(d["bbox"][3] + y, h))))
+    """Detections of a region [x1, y1, x2, y2] in the frame's coordinates, moved by the corner of the region.
+
+    The region is cut to whole pixels within the frame; one that has no area then gives no detections.
+    """
+    hold = lambda v, most: F.least(F.greatest(v.cast("int"), F.lit(0)), most.cast("int"))
+    x, y = F.greatest(region[0].cast("int"), F.lit(0)), F.greatest(region[1].cast("int"), F.lit(0))
+    area = (hold(region[2], w) > x) & (hold(region[3], h) > y)
+    moved = F.transform(dets, lambda d: d.withField("bbox", F.array(d["bbox"][0] + x, d["bbox"][1] + y, d["bbox"][2] + x, d["bbox"][3] + y)))
+    return F.when(area, moved).otherwise(F.slice(moved, 1, 0))
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:

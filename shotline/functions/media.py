@@ -43,13 +43,14 @@ def steepness(a: Column, b: Column, gap: int, most: Column) -> Column:
 
 
 def crop(box: Column, w: Column, h: Column) -> Column:
-    """A normalised or pixel box as pixels within the frame; the whole frame for a bad one."""
+    """A normalised or pixel box as pixels within the frame; the whole frame for a bad one, non-finite sides included."""
+    finite = F.forall(box, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     small = F.forall(box, lambda x: (x >= 0) & (x <= 1))
     sides = F.array(w, h, w, h)
     scaled = F.zip_with(box, sides, lambda x, s: F.bround(F.when(small, x * s).otherwise(x)))
     held = F.zip_with(scaled, sides, lambda x, s: F.least(F.greatest(x, F.lit(0.0)), s.cast("double")).cast("int"))
-    good = (F.size(box) == 4) & (held[2] > held[0]) & (held[3] > held[1])
-    return F.when(good, held).otherwise(F.array(F.lit(0), F.lit(0), w.cast("int"), h.cast("int")))
+    good = finite & (F.size(box) == 4) & (held[2] > held[0]) & (held[3] > held[1])
+    return F.when(F.coalesce(good, F.lit(False)), held).otherwise(F.array(F.lit(0), F.lit(0), w.cast("int"), h.cast("int")))
 
 
 def tile_starts(size: Column, tile: int, overlap: float) -> Column:
@@ -67,14 +68,22 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
+def confident(boxes: Column, least: float = 0.15) -> Column:
+    """detections with a confidence of at least least (0.15; of regions 0.3)."""
+    return F.filter(boxes, lambda b: b["conf"] >= least)
+
+
 def nms(boxes: Column, most: float = 0.5, by_label: bool = True) -> Column:
-    """Greedy suppression of an array of struct<label, bbox, conf>, the surest first; equal ones by label and box."""
+    """Greedy suppression of what overlaps a kept box by most or more, of an array of struct<label, bbox, conf>.
+
+    The surest come first; equal ones by label and box.  by_label: boxes with different labels never suppress each other.
+    """
     kind = "array<struct<label:string,bbox:array<double>,conf:double>>"
     order = F.array_sort(F.transform(boxes, lambda b: F.struct((-b["conf"]).alias("k"), b["label"].alias("label"), b["bbox"].alias("bbox"), b["conf"].alias("conf"))))
     plain = F.transform(order, lambda b: F.struct(b["label"].alias("label"), b["bbox"].alias("bbox"), b["conf"].alias("conf")))
 
     def clash(kept: Column, b: Column) -> Column:
-        same = (lambda k: (k["label"] == b["label"]) & (iou(k["bbox"], b["bbox"]) > most)) if by_label else (lambda k: iou(k["bbox"], b["bbox"]) > most)
+        same = (lambda k: (k["label"] == b["label"]) & (iou(k["bbox"], b["bbox"]) >= most)) if by_label else (lambda k: iou(k["bbox"], b["bbox"]) >= most)
         return F.exists(kept, same)
 
     return F.aggregate(plain.cast(kind), F.array().cast(kind), lambda kept, b: F.when(clash(kept, b), kept).otherwise(F.concat(kept, F.array(b))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.functions import text as T
+from shotline.functions.hooks import similarity
+
 
 def metrics(queries: DataFrame, matched: DataFrame) -> DataFrame:
     """Queries (query_id, type, annotated), matched (query_id, rank, matched): recall, MRR and nDCG over all queries of a type."""
@@ -25,14 +28,38 @@ def coverage(hits: DataFrame, k: int = 10) -> DataFrame:
     return head.select("query_id", "videos", (1 - F.col("videos") / F.col("n")).alias("duplicate_rate"))
 
 
-def sequences(found: DataFrame, truth: DataFrame, within: int = 5) -> DataFrame:
-    """Found (query_id, rank, source_file, frames), truth (query_id, source_file, frames): the rank of the video, the share
-    of true events in the best sequence of it, and whether its frames rise; null where nothing was found."""
-    rows = truth.select("query_id", F.col("source_file").alias("t_video"), F.col("frames").alias("t_frames")).join(found, "query_id", "left")
-    hit = F.size(F.filter("t_frames", lambda t: F.exists("frames", lambda f: F.abs(f - t) <= within))) / F.size("t_frames")
-    rising = F.forall(F.zip_with(F.slice("frames", 1, F.greatest(F.size("frames") - 1, F.lit(0))), F.slice("frames", 2, F.size("frames")), lambda a, b: a < b), lambda x: x)
-    own = F.col("source_file") == F.col("t_video")
-    return rows.groupBy("query_id").agg(F.min(F.when(own, F.col("rank"))).alias("video_rank"), F.max(F.when(own, hit)).alias("sequence_recall"), F.max_by(F.when(own, rising), F.when(own, F.struct(hit, -F.col("rank")))).alias("in_order"))
+def sequences(found: DataFrame, truth: DataFrame, within: int = 5, seconds: float = 3.0) -> DataFrame:
+    """Found (query_id, rank, source_file, frames, times), truth (query_id, source_file, events array<struct<frame_id, timestamp>>).
+
+    Per query of truth: the rank of the first sequence in the true video (video_rank), the share of true events that
+    this sequence has a frame or, where the event or the sequence has no frames, a time near (sequence_recall, null
+    without events), and whether its times rise (in_order, null for fewer than two).  All null if no sequence is there.
+    """
+    ours = found.join(truth.select("query_id", "source_file"), ["query_id", "source_file"], "left_semi")
+    first = ours.groupBy("query_id").agg(F.min_by(F.struct("rank", "frames", "times"), "rank").alias("s"))
+    rows = truth.select("query_id", "events").join(first, "query_id", "left").select("query_id", "events", F.col("s.rank").alias("video_rank"), F.filter("s.frames", lambda f: f.isNotNull()).alias("frames"), F.col("s.times").alias("times"))
+    by_frame = lambda e: F.exists("frames", lambda f: F.abs(f - e["frame_id"]) <= within)
+    by_time = lambda e: F.exists("times", lambda t: F.abs(t - e["timestamp"]) <= seconds)
+    near = lambda e: F.coalesce(F.when(e["frame_id"].isNotNull() & (F.size("frames") > 0), by_frame(e)).otherwise(by_time(e)), F.lit(False))
+    recall = F.when((F.size("events") > 0) & F.col("video_rank").isNotNull(), F.size(F.filter("events", near)) / F.size("events"))
+    pairs = F.zip_with(F.slice("times", 1, F.greatest(F.size("times") - 1, F.lit(0))), F.slice("times", 2, F.greatest(F.size("times"), F.lit(0))), lambda a, b: a < b)
+    return rows.select("query_id", "video_rank", recall.alias("sequence_recall"), F.when(F.size("times") > 1, F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))).alias("in_order"))
+
+
+def evidence(candidates: DataFrame, media: DataFrame) -> DataFrame:
+    """Candidates (source_file, raw: the model's response) with the checked answer.
+
+    A candidate whose file isn't in media (name) is frame_unavailable: no answer, score 0, whatever the response says.
+    Adds evidence, vqa_valid, vqa_answer (UNKNOWN if invalid), vqa_score, vqa_reason (grounded if valid).
+    """
+    there = media.select(F.col("name").alias("source_file")).distinct().withColumn("evidence", F.lit(True))
+    rows = candidates.join(there, "source_file", "left").withColumn("evidence", F.coalesce("evidence", F.lit(False))).withColumn("g", T.grounded(F.col("raw")))
+    valid = F.col("evidence") & F.col("g.valid")
+    reason = F.when(~F.col("evidence"), "frame_unavailable").when(F.col("g.valid"), "grounded").otherwise(F.col("g.reason"))
+    return rows.select(
+        *[c for c in candidates.columns if c != "raw"], "evidence", valid.alias("vqa_valid"), F.when(valid, F.col("g.answer")).otherwise("UNKNOWN").alias("vqa_answer"),
+        F.when(valid, F.col("g.confidence")).otherwise(0.0).alias("vqa_score"), reason.alias("vqa_reason"),
+    )
 
 
 def latency(trace: DataFrame) -> DataFrame:
@@ -102,5 +129,14 @@ def failures(truth: DataFrame, hits: DataFrame, submissions: DataFrame, k: int =
 
 
 def token_budgets(runs: DataFrame) -> DataFrame:
-    """(image, budget, estimate, measured as text, seconds): means a budget; measured tokens that aren't numbers don't count."""
-    return runs.groupBy("budget").agg(F.avg("estimate").alias("mean_estimate"), F.avg(F.col("measured").try_cast("double")).alias("mean_measured"), F.avg("seconds").alias("mean_seconds"), F.count("*").alias("n"))
+    """(image, budget, estimate, measured as text, seconds, caption): means a budget.
+
+    Measured tokens that aren't numbers don't count.  similarity: of a caption to that of the image's highest budget,
+    to three places.
+    """
+    best = runs.groupBy("image").agg(F.max_by("caption", F.struct("budget", "caption")).alias("best"))
+    rows = runs.join(best, "image").withColumn("similarity", F.round(similarity(F.col("caption"), F.col("best")), 3))
+    return rows.groupBy("budget").agg(
+        F.avg("estimate").alias("mean_estimate"), F.avg(F.col("measured").try_cast("double")).alias("mean_measured"), F.avg("seconds").alias("mean_seconds"),
+        F.avg("similarity").alias("mean_similarity"), F.count("*").alias("n"),
+    )

@@ -51,3 +51,9 @@ def merge_first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
 def threshold(hits: DataFrame, score: str = "rerank_score", least: float = 0.2) -> DataFrame:
     """F4."""
     return hits.filter(F.col(score) >= least)
+
+
+def best_videos(hits: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, source_file, score, rank): the videos with the best single hits; ties by name, hits without a video don't count."""
+    best = hits.filter(F.col("source_file").isNotNull()).groupBy("query_id", "source_file").agg(F.max("score").alias("score"))
+    return ranked(best, "query_id", F.desc(F.round("score", 9)), F.asc("source_file"), k=most)

@@ -29,27 +29,29 @@ def clarification_candidates(hits: DataFrame, most: int = 5) -> DataFrame:
 
 
 def clarification_boost(hits: DataFrame, prior: DataFrame, answers: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Hits (query_id, point_id, score, rank, text_blob) that were candidates before gain weight * overlap * top score.
+    """Hits (query_id, point_id, score, rank, text_blob) that were candidates before gain weight * share * top score.
 
-    overlap: the share of the answer's words that the hit's text has, to three places; nothing changes without words.
+    The share of the answer's words that the hit's text has is shown as overlap, to three places; nothing changes
+    without words.  The top score counts as 1 if it isn't above 0.  Equal ones keep their order.
     """
     asked = answers.select("query_id", T.tokens(F.col("answer")).alias("a"))
     rows = hits.join(asked, "query_id", "left").join(prior.select("query_id", "point_id").distinct().withColumn("was", F.lit(True)), ["query_id", "point_id"], "left")
     n = F.size("a")
-    overlap = F.when(F.col("was") & (n > 0), F.round(F.size(F.array_intersect("a", T.tokens(F.col("text_blob")))) / n, 3)).otherwise(0.0)
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    out = rows.withColumn("overlap", overlap).withColumn("boosted", F.col("score") + weight * F.col("overlap") * top).drop("a", "was")
+    share = F.when(F.col("was") & (n > 0), F.size(F.array_intersect("a", T.tokens(F.lower("text_blob")))) / n).otherwise(0.0)
+    most = F.max("score").over(Window.partitionBy("query_id"))
+    top = F.when(most > 0, most).otherwise(1.0)
+    out = rows.withColumn("share", share).withColumn("boosted", F.col("score") + weight * F.col("share") * top).withColumn("overlap", F.round("share", 3)).drop("a", "was", "share")
     return ranked(out.withColumnRenamed("rank", "old_rank"), "query_id", F.desc(F.round("boosted", 9)), F.asc("old_rank"))
 
 
 def duplicate_videos(submissions: DataFrame) -> DataFrame:
     """Submissions (task, video, ts, id, accepted, forced) with duplicate: the video was accepted for the task before.
 
-    Forced ones and those without a video are never duplicates.
+    Forced ones and those without a video are never duplicates; a null forced counts as false, a null accepted too.
     """
     before = Window.partitionBy("task", "video").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("accepted").over(before), F.lit(False))
-    return submissions.withColumn("duplicate", seen & ~F.col("forced") & (F.coalesce("video", F.lit("")) != ""))
+    return submissions.withColumn("duplicate", seen & ~F.coalesce("forced", F.lit(False)) & (F.coalesce("video", F.lit("")) != ""))
 
 
 def transcript(turns: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def feedback_lines(feedback: DataFrame, points: DataFrame, most: int = 3, width:
 
 
 def model_input(transcripts: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Transcript, query and the numbered candidates of each session as one text."""
+    """Transcript, query and the numbered candidates of each session as one text, the input of a clarifying question."""
     listed = candidates.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda r: F.concat(r["place"].cast("string"), F.lit(". "), r["line"])), "\n").alias("list"))
     rows = queries.join(transcripts, "session_id", "left").join(listed, "session_id", "left")
     head = F.when(F.coalesce("transcript", F.lit("")) != "", F.concat(F.lit("Conversation:\n"), F.col("transcript")))
@@ -78,6 +80,12 @@ def model_input(transcripts: DataFrame, queries: DataFrame, candidates: DataFram
     return rows.select("session_id", F.concat_ws("\n\n", head, F.concat(F.lit("Query: "), F.col("query")), tail).alias("input"))
 
 
+def rewrite_input(transcripts: DataFrame, queries: DataFrame) -> DataFrame:
+    """W18, the other form: the history of each session and its latest query, the input of a rewrite; without history only that."""
+    rows = queries.join(transcripts.select("session_id", "transcript"), "session_id", "left")
+    return rows.select("session_id", F.concat(F.lit("History:\n"), F.coalesce("transcript", F.lit("")), F.lit("\nLatest Query: "), F.coalesce("query", F.lit("")), F.lit("\nRewritten Query:")).alias("input"))
+
+
 def pending_clarification(turns: DataFrame) -> DataFrame:
     """The clarification that each search uses: the question of the turn before, whatever its type."""
     return turns.withColumn("answers", F.lag("clarification").over(Window.partitionBy("session_id").orderBy("turn")))

@@ -24,6 +24,18 @@ def islands(probs: DataFrame, least: float = 0.5) -> DataFrame:
     return marked.groupBy("source_file", F.col("shot").cast("int").alias("shot")).agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
 
 
+def shot_seconds(probs: DataFrame, fps: float, least: float = 0.5) -> DataFrame:
+    """W6 in seconds: the shots of each video from start to end, the end open; shots without length go.
+
+    A video always has a shot: without a rise it's the whole video.
+    """
+    ends = probs.groupBy("source_file").agg((F.count("*") / fps).alias("duration"))
+    cut = islands(probs, least).join(ends, "source_file").select(
+        "source_file", "shot", (F.col("first_frame") / fps).alias("start"), F.least((F.col("last_frame") + 1) / fps, F.col("duration")).alias("end"),
+    )
+    return cut.filter("end > start")
+
+
 def stitch(predictions: DataFrame, offset: int = 25, most: int = 50) -> DataFrame:
     """(source_file, chunk_start, valid, preds): the central frames of overlapping windows, without padding."""
     each = predictions.select("source_file", "chunk_start", "valid", F.posexplode("preds").alias("pos", "prob"))
@@ -88,7 +100,7 @@ def shot_vectors(frames: DataFrame, most_text: int = 8000) -> DataFrame:
 def boundary_similarity(frames: DataFrame, least: float = 0.9) -> DataFrame:
     """For each scene and the next of its video: mean cosine within both and across, and whether the boundary is weak.
 
-    One aggregate of unit vectors a scene gives all three means; no frame meets another.
+    Weak: the mean across is at least least of the mean within; where that isn't above 0, never.  One aggregate of unit vectors a scene gives all three means; no frame meets another.
     """
     unit = frames.select("source_file", "scene_id", array_to_vector(V.normalise(F.col("vector"))).alias("u"))
     agg = unit.groupBy("source_file", "scene_id").agg(vector_to_array(Summarizer.sum(F.col("u"))).alias("s"), F.count("*").alias("n"))
@@ -97,27 +109,37 @@ def boundary_similarity(frames: DataFrame, least: float = 0.9) -> DataFrame:
     w = Window.partitionBy("source_file").orderBy("scene_id")
     nxt = agg.withColumn("within", within).withColumn("b", F.lead(F.struct("scene_id", "s", "n", "within")).over(w)).filter("b is not null")
     cross = V.dot(s, F.col("b.s")) / (n * F.col("b.n"))
-    ratio = cross / ((F.col("within") + F.col("b.within")) / 2)
-    return nxt.select("source_file", "scene_id", F.col("b.scene_id").alias("next_scene"), "within", F.col("b.within").alias("next_within"), cross.alias("cross"), (F.coalesce(ratio, F.lit(0.0)) >= least).alias("weak"))
+    mean = (F.col("within") + F.col("b.within")) / 2
+    weak = (mean > 0) & (F.round(cross / F.when(mean > 0, mean), 9) >= least)
+    return nxt.select("source_file", "scene_id", F.col("b.scene_id").alias("next_scene"), "within", F.col("b.within").alias("next_within"), cross.alias("cross"), F.coalesce(weak, F.lit(False)).alias("weak"))
 
 
-def motion_samples(energy: DataFrame, n: int = 8, floor: float = 0.05) -> DataFrame:
-    """(source_file, scene_id, i, energy): n quantiles of the summed energy, with a floor of its mean, snapped to frames.
+def motion_samples(frames: DataFrame, floor: float = 0.05) -> DataFrame:
+    """(source_file, scene_id, i, timestamp, energy): frames at quantiles of the motion, nearest first.
 
-    Scenes of up to n frames stay whole; a scene without energy is sampled evenly.
+    energy is the motion from a frame to the next one.  As many quantiles as the scene's length asks for (P19) are
+    taken of the energies, a floor of their mean added; a sample lies between two frames, in proportion, and goes to
+    the nearer one, the earlier if both are as near.  Scenes with no more frames than that stay whole; one without
+    motion is sampled evenly.  Null or negative energies count as 0.
     """
     scene = Window.partitionBy("source_file", "scene_id")
     w = scene.orderBy("i")
-    e = F.greatest(F.coalesce("energy", F.lit(0.0)), F.lit(0.0))
-    mean = F.avg(e).over(scene)
-    mass = F.when(mean > 0, e + floor * mean).otherwise(1.0)
-    rows = energy.withColumn("m", mass).withColumn("size", F.count("*").over(scene))
-    total = F.sum("m").over(scene)
+    nxt = F.lead(F.struct("i", "timestamp")).over(w)
+    rows = frames.select("source_file", "scene_id", "i", "timestamp", F.greatest(F.coalesce("energy", F.lit(0.0)), F.lit(0.0)).alias("e")).withColumn("next", nxt)
+    n = M.motion_frames(F.max("timestamp").over(scene) - F.min("timestamp").over(scene))
+    mean = F.avg(F.when(F.col("next").isNotNull(), F.col("e"))).over(scene)
+    rows = rows.withColumn("n", n).withColumn("size", F.count("*").over(scene)).withColumn("mean", mean)
+    mass = F.when(F.col("next").isNull(), 0.0).otherwise(F.greatest(F.col("e") + F.when(F.col("mean") > 0, floor * F.col("mean")).otherwise(1.0), F.lit(1e-8)))
+    rows = rows.withColumn("m", mass)
     upto = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    cdf = rows.withColumn("hi", upto / total).withColumn("lo", (upto - F.col("m")) / total)
-    q = (F.lit(0.5) + F.sequence(F.lit(0), F.lit(n - 1))[0]) / n
-    hits = F.exists(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k + 0.5) / n), lambda q: (F.round(q, 9) > F.round("lo", 9)) & (F.round(q, 9) <= F.round("hi", 9)))
-    return cdf.filter((F.col("size") <= n) | hits).select("source_file", "scene_id", "i")
+    rows = rows.withColumn("total", F.sum("m").over(scene)).withColumn("hi", F.round(upto / F.col("total"), 9)).withColumn("lo", F.round((upto - F.col("m")) / F.col("total"), 9))
+    whole = rows.filter(F.col("size") <= F.col("n")).select("source_file", "scene_id", "i")
+    quantiles = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.round((k + 0.5) / F.col("n"), 9))
+    inside = F.filter(quantiles, lambda q: (q > F.col("lo")) & (q <= F.col("hi")))
+    cut = rows.filter((F.col("size") > F.col("n")) & F.col("next").isNotNull()).withColumn("q", F.explode(inside))
+    share = F.least(F.greatest((F.col("q") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8)), F.lit(0.0)), F.lit(1.0))
+    picked = cut.select("source_file", "scene_id", F.when(F.round(share, 9) <= 0.5, F.col("i")).otherwise(F.col("next.i")).alias("i"))
+    return whole.unionByName(picked.distinct())
 
 
 def diverse_keyframes(frames: DataFrame, weight: float = 0.15) -> DataFrame:
@@ -146,35 +168,63 @@ def diverse_keyframes(frames: DataFrame, weight: float = 0.15) -> DataFrame:
     return cols.groupBy("source_file", "scene_id").applyInPandas(pick, "source_file string, scene_id long, point_id long, pick int")
 
 
-def merge_scenes(frames: DataFrame, least: float = 0.9) -> DataFrame:
-    """Scenes of a video merged left to right while a boundary is weak, tested again after each merge.
+def scene_times(frames: DataFrame) -> DataFrame:
+    """(source_file, scene_id, start, end) of contiguous scenes: each ends where the next begins, the last at its last frame."""
+    agg = frames.groupBy("source_file", "scene_id").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("last"))
+    return agg.select("source_file", "scene_id", "start", F.coalesce(F.lead("start").over(Window.partitionBy("source_file").orderBy("scene_id")), "last").alias("end"))
+
+
+def merge_scenes(frames: DataFrame, scenes: DataFrame, least: float = 0.9, window: float = 1.5, samples: int = 3) -> DataFrame:
+    """Contiguous scenes of a video merged left to right while the boundary between two is weak, again after each merge.
+
+    frames: (source_file, timestamp, vector); scenes: (source_file, scene_id, start, end).  Returns (source_file,
+    scene_id, merged).  A boundary is tested on up to samples frames within window seconds on either side, as far as
+    the two (merged) scenes reach: it's weak if the mean cosine across is at least least of the mean within (1 for a
+    single frame), that mean above 0 and neither side empty.
 
-    Returns (source_file, scene_id, merged).  Sequential by nature: what a video's group holds is one row a scene, its
-    count and sum of unit vectors, which Spark aggregates first.
+    A scene of at least window seconds hides what lies behind it from a boundary, so boundaries on either side of it
+    don't depend on each other.  Runs of boundaries between such scenes are the groups that are merged in sequence.
     """
-    unit = frames.select("source_file", "scene_id", array_to_vector(V.normalise(F.col("vector"))).alias("u"))
-    agg = unit.groupBy("source_file", "scene_id").agg(vector_to_array(Summarizer.sum(F.col("u"))).alias("s"), F.count("*").alias("n"))
+    video = Window.partitionBy("source_file").orderBy("scene_id")
+    cuts = scenes.select("source_file", "scene_id", "start", "end", F.lead("end").over(video).alias("end_next"), F.sum(F.when(F.col("end") - F.col("start") >= window, 1).otherwise(0)).over(video).alias("run"))
+    cuts = cuts.filter("end_next is not null")
+    near = cuts.select("source_file", "scene_id", F.col("end").alias("cut"), F.explode(F.array(*[F.floor(F.col("end") / window) + d for d in (-1, 0, 1)])).alias("bucket"))
+    unit = frames.select("source_file", "timestamp", V.normalise(F.col("vector")).alias("u"), F.floor(F.col("timestamp") / window).alias("bucket"))
+    both = near.join(unit, ["source_file", "bucket"]).filter((F.col("timestamp") >= F.col("cut") - window) & (F.col("timestamp") < F.col("cut") + window))
+    both = both.withColumn("late", F.col("timestamp") >= F.col("cut"))
+    place = F.row_number().over(Window.partitionBy("source_file", "scene_id", "late").orderBy(F.abs(F.col("timestamp") - F.col("cut")), "timestamp"))
+    beside = both.withColumn("n", place).filter(F.col("n") <= samples).groupBy("source_file", "scene_id").agg(F.sort_array(F.collect_list(F.struct("timestamp", "late", "u"))).alias("s"))
+    rows = cuts.join(beside, ["source_file", "scene_id"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("scene_id").reset_index(drop=True)
-        merged = [[[i], np.array(s), int(n)] for i, (s, n) in enumerate(zip(pdf["s"], pdf["n"], strict=True))]
-        within = lambda x: (x[1] @ x[1] - x[2]) / (x[2] * (x[2] - 1)) if x[2] > 1 else 1.0
-        at = 0
-        while at + 1 < len(merged):
-            a, b = merged[at], merged[at + 1]
-            inner = (within(a) + within(b)) / 2
-            if inner and round(a[1] @ b[1] / (a[2] * b[2]) / inner, 9) >= least:
-                merged[at : at + 2] = [[a[0] + b[0], a[1] + b[1], a[2] + b[2]]]
-                at = max(0, at - 1)
-            else:
-                at += 1
-        out = pdf[["source_file", "scene_id"]].copy()
-        out["merged"] = 0
-        for k, x in enumerate(merged):
-            out.loc[x[0], "merged"] = k
-        return out
-
-    return agg.groupBy("source_file").applyInPandas(run, "source_file string, scene_id long, merged long")
+        start, end, end_next = (pdf[c].to_numpy() for c in ("start", "end", "end_next"))
+
+        def weak(i: int, begin: float, finish: float) -> bool:
+            s = [] if pdf["s"][i] is None else pdf["s"][i]
+            a = np.array([x["u"] for x in s if not x["late"] and x["timestamp"] >= begin])
+            b = np.array([x["u"] for x in s if x["late"] and x["timestamp"] < finish])
+            if not len(a) or not len(b):
+                return False
+            within = sum((np.square(x.sum(0)).sum() - len(x)) / (len(x) * (len(x) - 1)) if len(x) > 1 else 1.0 for x in (a, b)) / 2
+            return within > 0 and round(float((a @ b.T).mean() / within), 9) >= least
+
+        left, before = list(range(len(pdf))), None
+        while left != before:
+            before, k = list(left), 0
+            while k < len(left):
+                begin = start[left[k - 1] + 1] if k else start[0]
+                finish = end[left[k + 1]] if k + 1 < len(left) else end_next[-1]
+                if weak(left[k], begin, finish):
+                    del left[k]
+                else:
+                    k += 1
+        return pdf.drop(index=left)[["source_file", "scene_id"]]
+
+    weak = rows.groupBy("source_file", "run").applyInPandas(run, "source_file string, scene_id long").withColumn("weak", F.lit(1))
+    marked = scenes.select("source_file", "scene_id").join(weak, ["source_file", "scene_id"], "left")
+    strong_before = F.sum(F.lit(1) - F.coalesce("weak", F.lit(0))).over(video.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.select("source_file", "scene_id", F.coalesce(strong_before, F.lit(0)).cast("long").alias("merged"))
 
 
 def frame_step(frames: DataFrame, scenes: DataFrame, fps: float, rate: float) -> DataFrame:
@@ -183,3 +233,27 @@ def frame_step(frames: DataFrame, scenes: DataFrame, fps: float, rate: float) ->
     lo, hi = F.floor(F.col("start") * fps), F.floor(F.col("end") * fps)
     both = frames.join(scenes, "source_file").filter((F.col("frame_idx") >= lo) & (F.col("frame_idx") < hi))
     return both.filter((F.col("frame_idx") - lo) % step == 0)
+
+
+def attach_keyframes(shots: DataFrame, files: DataFrame) -> DataFrame:
+    """Shots (source_file, shot_id, start, end) with keyframe, a name of files (source_file, name), or null.
+
+    Where a video has as many keyframes as shots, the n-th by name belongs to the n-th by start; else a shot gets the
+    one name whose stem contains its id, whatever the case; none if no or several names do.
+    """
+    order = lambda *c: F.row_number().over(Window.partitionBy("source_file").orderBy(*c))
+    of = lambda df, name: df.groupBy("source_file").agg(F.count("*").alias(name))
+    s, f = shots.withColumn("n", order("start", "end", "shot_id")), files.select("source_file", "name").withColumn("n", order("name"))
+    counted = s.join(of(shots, "shots"), "source_file").join(of(files, "files"), "source_file", "left")
+    even = F.col("shots") == F.col("files")
+    by_place = counted.filter(even).join(f, ["source_file", "n"], "left").select(*shots.columns, F.col("name").alias("keyframe"))
+    rest = counted.filter(~F.coalesce(even, F.lit(False)))
+    stem = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
+    hit = rest.join(files.select("source_file", "name"), "source_file").filter(F.contains(stem, F.lower("shot_id")))
+    one = hit.groupBy("source_file", "n").agg(F.count("*").alias("hits"), F.min("name").alias("keyframe")).filter("hits = 1").drop("hits")
+    return by_place.unionByName(rest.join(one, ["source_file", "n"], "left").select(*shots.columns, "keyframe"))
+
+
+def on_regions(frames: DataFrame, regions: DataFrame) -> DataFrame:
+    """frames (with point_id) that have a proposed region; without one, a frame gets no detections and no OCR."""
+    return frames.join(regions.select("point_id").distinct(), "point_id", "left_semi")

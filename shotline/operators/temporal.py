@@ -30,11 +30,30 @@ def step_chain(steps: list[DataFrame], window: int = 150) -> DataFrame:
     return ranked(out, "query_id", F.desc(F.round("score", 9)), F.asc("source_file"))
 
 
+def in_every_step(steps: list[DataFrame]) -> list[DataFrame]:
+    """O3: the steps' hits in videos that every step of their query has."""
+    keys = ["query_id", "source_file"]
+    common = steps[0].select(*keys).distinct()
+    for step in steps[1:]:
+        common = common.join(step.select(*keys), keys, "left_semi")
+    return [step.join(common, keys, "left_semi") for step in steps]
+
+
+def speech_quality(asr: DataFrame, no_speech: float = 0.6, logprob: float = -1.0, ratio: float = 2.4) -> DataFrame:
+    """segments (text, no_speech_prob, avg_logprob, compression_ratio) good enough to keep; a missing number passes."""
+    ok = lambda c, test: F.col(c).isNull() | test
+    return asr.filter(
+        (F.length(F.trim("text")) >= 2) & ok("no_speech_prob", F.col("no_speech_prob") <= no_speech) & ok("avg_logprob", F.col("avg_logprob") >= logprob)
+        & ok("compression_ratio", F.col("compression_ratio") <= ratio)
+    )
+
+
 def align_events(events: DataFrame, frames: DataFrame) -> DataFrame:
     """Events (query_id, event, vector) onto strictly later frames (query_id, source_file, frame_idx, vector) of each video.
 
     The largest sum of cosines, divided by the number of events; ties take the later frame; videos with fewer frames
-    than events are left out.  One window a step: the best prefix that ends before a frame.
+    than events are left out.  One window a step: the best prefix that ends before a frame.  frames and times of the
+    result: numbers and, if frames have timestamps, times of the aligned frames.
     """
     n = events.agg(F.max("event")).first()[0]
     if n is None:
@@ -43,15 +62,18 @@ def align_events(events: DataFrame, frames: DataFrame) -> DataFrame:
     rows = frames.withColumn("j", F.row_number().over(place))
     own = events.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("event", "vector"))).alias("ev"))
     rows = rows.join(own, "query_id")
-    rows = rows.withColumn("sim", F.transform("ev", lambda e: F.round(V.cosine(e["vector"], F.col("vector")), 9))).drop("vector", "ev")
+    time = F.col("timestamp") if "timestamp" in frames.columns else F.lit(None).cast("double")
+    at = F.struct("frame_idx", time.alias("time"))
+    rows = rows.withColumn("sim", F.transform("ev", lambda e: F.round(V.cosine(e["vector"], F.col("vector")), 9))).withColumn("at", at).drop("vector", "ev")
     before = place.rowsBetween(Window.unboundedPreceding, -1)
-    state = rows.withColumn("d", F.struct(F.col("sim")[0].alias("total"), F.col("j").alias("j"), F.array("frame_idx").alias("path")))
+    state = rows.withColumn("d", F.struct(F.col("sim")[0].alias("total"), F.col("j").alias("j"), F.array("at").alias("path")))
     for i in range(1, n + 1):
         best = F.max("d").over(before)
         total = F.round(best["total"] + F.col("sim")[i], 9)
-        state = state.withColumn("d", F.when(best.isNotNull() & F.col("sim")[i].isNotNull(), F.struct(total.alias("total"), F.col("j").alias("j"), F.concat(best["path"], F.array("frame_idx")).alias("path"))))
+        state = state.withColumn("d", F.when(best.isNotNull() & F.col("sim")[i].isNotNull(), F.struct(total.alias("total"), F.col("j").alias("j"), F.concat(best["path"], F.array("at")).alias("path"))))
     out = state.filter("d is not null").groupBy("query_id", "source_file").agg(F.max("d").alias("d"))
-    return out.select("query_id", "source_file", (F.col("d.total") / (n + 1)).alias("score"), F.col("d.path").alias("frames"))
+    path = lambda name: F.transform("d.path", lambda x: x[name])
+    return out.select("query_id", "source_file", (F.col("d.total") / (n + 1)).alias("score"), path("frame_idx").alias("frames"), path("time").alias("times"))
 
 
 def attach_speech(frames: DataFrame, asr: DataFrame, margin: float = 3.0, width: float = 30.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from shotline.functions import ids as I
 from shotline.functions import media as M
 from shotline.functions import text as T
 from shotline.functions import vectors as V
-from shotline.operators import evaluate, fuse, search, session, shots, temporal
+from shotline.operators import compose, evaluate, fuse, search, session, shots, temporal
+from shotline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,9 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames from embeddings: a label is a video, its vectors in order of id are every fourth frame, five a scene."""
-    e = table(spark, sf_dir, "embeddings")
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    """Frames from embeddings: a label is a video, its vectors in order of id are every fourth frame, five a scene.
+
+    Places are counted by video and block of ids, so that a video with many frames is many groups; the blocks' sizes
+    give where each begins.
+    """
+    e = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 65536))
+    sizes = e.groupBy("label", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select(F.col("label").alias("l"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("begin"))
+    e = e.join(begins, e.label.eqNullSafe(F.col("l")) & (F.col("block") == F.col("b")))
+    at = F.row_number().over(Window.partitionBy("label", "block").orderBy("vec_id")) - 1 + F.col("begin")
     rows = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), "label", at.cast("long").alias("ord"))
     return rows.select(
         "point_id", "vector", "label", F.concat(F.lit("V"), F.lpad(F.col("label").cast("string"), 3, "0"), F.lit(".mp4")).alias("source_file"),
@@ -112,8 +122,12 @@ def coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _shots(spark, sf_dir)
-    return s.select("shot_id", "frame_count", F.element_at("frame_ids", 1).alias("first_id"), F.element_at("frame_ids", -1).alias("last_id"), F.round(F.element_at("vector", 1), 6).alias("v1"), F.round(F.element_at("vector", 64), 6).alias("v64"))
+    """A4, A5: a row for each shot and component of its vector, with its children in order and its text's length."""
+    f = frames(spark, sf_dir).join(texts(spark, sf_dir), "point_id", "left")
+    s = shots.shot_vectors(f).withColumn("shot_id", I.shot_key(F.col("source_file"), F.col("scene_id")))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    rows = s.select("shot_id", "frame_count", joined("frame_ids").alias("frame_ids"), F.size("timestamps").alias("n_times"), F.md5("text_blob").alias("text_md5"), F.posexplode("vector").alias("component", "x"))
+    return rows.withColumn("x", F.round("x", 6))
 
 
 def scene_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +240,8 @@ def dake_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.motion_samples(_sizes(spark, sf_dir).withColumnRenamed("size", "energy"))
+    f = _sizes(spark, sf_dir).select("source_file", "scene_id", "i", (F.col("i") / 4).alias("timestamp"), F.col("size").alias("energy"))
+    return shots.motion_samples(f)
 
 
 def sharpness_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,17 +256,20 @@ def diverse_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shots.merge_scenes(frames(spark, sf_dir), 0.6)
+    f = frames(spark, sf_dir)
+    return shots.merge_scenes(f, shots.scene_times(f), 0.6)
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    lo, hi = F.array_min(F.slice("v", 1, 24)), F.array_max(F.slice("v", 1, 24))
-    c = F.transform(F.slice("v", 1, 24), lambda x: F.when(hi > lo, F.round((x - lo) / (hi - lo) * 100, 3)).otherwise(0.0))
-    rows = e.withColumn("c", c)
-    box = lambda k: F.array(F.least(F.col("c")[4 * k], F.col("c")[4 * k + 2]), F.least(F.col("c")[4 * k + 1], F.col("c")[4 * k + 3]), F.greatest(F.col("c")[4 * k], F.col("c")[4 * k + 2]), F.greatest(F.col("c")[4 * k + 1], F.col("c")[4 * k + 3]))
-    det = lambda k: F.struct(F.concat(F.lit("L"), F.lit(k % 2).cast("string")).alias("label"), box(k).alias("bbox"), F.round(F.col("v")[24 + k], 6).alias("conf"))
-    return rows.select("vec_id", F.array(*[det(k) for k in range(6)]).alias("dets"))
+    """Eight boxes a vector from all of its 64 components: of each eight, four give corners, one the confidence, three the label."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.doubles(F.col("embedding")), lambda x: F.round(x, 6)).alias("v"))
+    lo, hi = F.array_min("v"), F.array_max("v")
+    rows = e.withColumn("c", F.transform("v", lambda x: F.when(hi > lo, F.round((x - lo) / (hi - lo) * 100, 3)).otherwise(0.0)))
+    c = lambda k, j: F.col("c")[8 * k + j]
+    box = lambda k: F.array(F.least(c(k, 0), c(k, 2)), F.least(c(k, 1), c(k, 3)), F.greatest(c(k, 0), c(k, 2)), F.greatest(c(k, 1), c(k, 3)))
+    label = lambda k: F.concat(F.lit("L"), F.when(F.col("v")[8 * k + 5] + F.col("v")[8 * k + 6] + F.col("v")[8 * k + 7] > 0, "1").otherwise("0"))
+    det = lambda k: F.struct(label(k).alias("label"), box(k).alias("bbox"), F.col("v")[8 * k + 4].alias("conf"))
+    return rows.select("vec_id", F.array(*[det(k) for k in range(8)]).alias("dets"))
 
 
 def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,22 +313,28 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
-    fb = e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 4).cast("int").alias("turn"), F.col("event_id").alias("place"), (F.col("event_id") % 200).alias("point_id"), F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("sign"))
-    points = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("point_id"), F.when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", r"[^A-Za-z ]", "")).alias("caption"), F.concat(F.lit("V"), F.col("doc_id").cast("string")).alias("source_file"))
+    fb = e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 4).cast("int").alias("turn"), F.col("event_id").alias("place"), F.col("event_id").alias("point_id"), F.when(F.col("event_type") == "purchase", 1).otherwise(-1).alias("sign"))
+    points = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), F.when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", r"[^A-Za-z ]", "")).alias("caption"), F.concat(F.lit("V"), F.col("doc_id").cast("string")).alias("source_file"))
     return session.feedback_lines(fb, points).select("session_id", "turn", "sign", F.array_join("lines", "|").alias("lines"))
 
 
+# Responses of a model as they come: good ones, and each way to break the contract.  {c}: confidence, {u}: user.
+RESPONSES = [
+    '{{"found": true, "answer": "a{u}", "confidence": {c}}}', "not json", '{{"found": false, "answer": "x", "confidence": 0.5}}',
+    '```json\n{{"found": true, "answer": "red", "confidence": 1.5}}\n```', '{{"found": true, "answer": " ", "confidence": 0.5}}',
+    '{{"found": true, "answer": "unknown", "confidence": true}}', '{{"found": true, "answer": " na ", "confidence": {c}}}',
+    '{{"found": true, "answer": "b{u}", "confidence": "NaN"}}', '{{"found": true, "answer": "c", "confidence": true}}', '[{c}]',
+    '```\n{{"found": true, "answer": " d{u}", "confidence": "{c}"}}```', '{{"found": "true", "answer": "e", "confidence": {c}}}',
+    '{{"found": true, "answer": {u}, "confidence": {c}}}', '{{"answer": "f", "found": true}}',
+]
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, c = F.col("event_id") % 6, (F.col("event_id") % 10 / 10.0).cast("string")
-    raw = (
-        F.when(k == 0, F.concat(F.lit('{"found": true, "answer": "a'), F.col("user_id").cast("string"), F.lit('", "confidence": '), c, F.lit("}")))
-        .when(k == 1, F.lit("not json"))
-        .when(k == 2, F.lit('{"found": false, "answer": "x", "confidence": 0.5}'))
-        .when(k == 3, F.lit('```json\n{"found": true, "answer": "red", "confidence": 1.5}\n```'))
-        .when(k == 4, F.lit('{"found": true, "answer": " ", "confidence": 0.5}'))
-        .otherwise(F.lit('{"found": true, "answer": "unknown", "confidence": true}'))
-    )
-    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    c, u, raw = (F.col("event_id") % 10 / 10.0).cast("string"), F.col("user_id").cast("string"), F.lit(None).cast("string")
+    for k, form in enumerate(RESPONSES):
+        text = F.regexp_replace(F.regexp_replace(F.lit(form.replace("{{", "{").replace("}}", "}").replace("{c}", "<c>").replace("{u}", "<u>")), F.lit("<c>"), c), F.lit("<u>"), u)
+        raw = F.when(F.col("event_id") % len(RESPONSES) == k, text).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", raw.alias("raw"))
 
 
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,10 +397,8 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """speech segments of good quality; missing confidences pass."""
-    e = table(spark, sf_dir, "events").select("event_id", F.trim("props").alias("text"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 10 / 10.0).alias("no_speech"), F.when(F.col("event_id") % 7 > 0, -(F.col("event_id") % 20) / 10.0).alias("logprob"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 30 / 10.0).alias("ratio"))
-    ok = lambda c, test: F.col(c).isNull() | test
-    kept = e.filter((F.length("text") >= 2) & ok("no_speech", F.col("no_speech") <= 0.6) & ok("logprob", F.col("logprob") >= -1.0) & ok("ratio", F.col("ratio") <= 2.4))
-    return kept.select("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 10 / 10.0).alias("no_speech_prob"), F.when(F.col("event_id") % 7 > 0, -(F.col("event_id") % 20) / 10.0).alias("avg_logprob"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 30 / 10.0).alias("compression_ratio"))
+    return temporal.speech_quality(e).select("event_id")
 
 
 def token_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,6 +425,108 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", T.join_parts([F.lit(""), title, F.regexp_extract("url", r"://([^/]+)", 1)]).alias("text_blob"))
 
 
+class Setting(NamedTuple):
+    """Tables of a whole search (see compose), derived from embeddings and documents."""
+
+    queries: DataFrame
+    events: DataFrame
+    frames: DataFrame
+    media: DataFrame
+    score: compose.Model
+    answer: compose.Model
+
+
+def setting(spark: SparkSession, sf_dir: str) -> Setting:
+    """Each 50th vector asks; its next one is the hypothetical description's, its first 16 components the second model's."""
+    e = table(spark, sf_dir, "embeddings")
+    q = vectors(spark, sf_dir)
+    hyde = e.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("hyde_vector"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("text"), F.array_join(F.slice(words, 4, 2), " ").alias("hyde_text"))
+    kind = (F.col("query_id") % 150 / 50 + 1).cast("int")
+    queries = q.join(hyde, "query_id", "left").join(said, "query_id", "left").select("query_id", kind.alias("type"), "vector", "text", "hyde_vector", "hyde_text", V.truncate(F.col("vector"), 16).alias("second"), "label").persist()
+    at = F.col("vec_id") % 50
+    events = e.filter(at < 3).select((F.col("vec_id") - at).alias("query_id"), at.cast("int").alias("event"), F.col("embedding").alias("vector")).filter("query_id % 150 = 100")
+    f = frames(spark, sf_dir).join(texts(spark, sf_dir), "point_id", "left").withColumn("second", V.truncate(F.col("vector"), 16))
+    media = f.filter("label % 4 <> 3").select(F.col("source_file").alias("name")).distinct()
+    p, n = F.col("point_id"), F.col("query_id")
+    said_score = F.concat(F.lit("Score: "), (((p * 7 + n) % 11) / 10.0).cast("string"), F.lit(" of 1"))
+    score = lambda hits: hits.withColumn("raw", F.when(p % 17 == 0, "no idea").otherwise(said_score))
+    good = F.concat(F.lit('{"found": true, "answer": "p'), p.cast("string"), F.lit('", "confidence": '), ((p * 3 % 10) / 10.0).cast("string"), F.lit("}"))
+    answer = lambda hits: hits.withColumn("raw", F.when(p % 3 == 1, "sorry").when(p % 3 == 2, '{"found": false}').otherwise(good))
+    return Setting(queries, events, f, media, score, answer)
+
+
+def _pending(s: Setting) -> DataFrame:
+    """Each query answers, by its own text, a clarification about its predecessor's best five videos."""
+    before = compose.retrieve(s.queries.select(*[c for c in s.queries.columns if c != "label"]), s.frames, 15)
+    shown = session.clarification_candidates(before).select((F.col("query_id") + 50).alias("query_id"), "point_id")
+    return shown.join(s.queries.select("query_id", F.col("text").alias("answer")), "query_id")
+
+
+def interactive_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 whole: nested fusion, coherence, scenes, clarification, ambiguity, re-ranking by type."""
+    s = setting(spark, sf_dir)
+    out = compose.interactive(s.queries, s.events, s.frames, s.media, s.score, s.answer, _pending(s))
+    return out.select("query_id", "type", "rank", "item", r6("score"), F.array_join("matched_via", ",").alias("matched_via"), "ask")
+
+
+def _batch(s: Setting) -> DataFrame:
+    return compose.batch(s.queries, s.events, s.frames, s.media, s.score, s.answer)
+
+
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked answers of all queries, as K5 writes them."""
+    return _batch(setting(spark, sf_dir)).select("query_id", "type", "rank", "answer")
+
+
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query the first answer and how many there are."""
+    s = setting(spark, sf_dir)
+    out = sinks.batch_results(s.queries.select("query_id", "type"), _batch(s).select("query_id", "rank", "answer"))
+    return out.select("query_id", "type", "result", F.size("results").alias("n"))
+
+
+def evaluation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of C2's results; the truth of a query is its own frame, of a sequence its three frames."""
+    s = setting(spark, sf_dir)
+    f = s.frames.select(F.col("point_id").alias("p"), "source_file", "frame_idx", "timestamp")
+    spot = s.events.select("query_id", (F.col("query_id") + F.col("event")).alias("p")).join(f, "p").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("frame_idx").alias("frame_id"), "timestamp"))).alias("events"))
+    truth = s.queries.select("query_id").join(f, F.col("query_id") == F.col("p")).drop("p").join(spot, "query_id", "left")
+    m = compose.replay(s.queries, _batch(s), truth)
+    return m.select("type", "n", *[r6(c) for c in ("recall_1", "recall_5", "mrr", "mrr_annotated", "sequence_recall", "in_order")])
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).join(texts(spark, sf_dir), "point_id", "left")
+    det = F.array(F.struct(F.concat(F.lit("kind"), F.col("point_id") % 3).alias("label")), F.struct(F.concat(F.lit("kind"), F.col("point_id") % 2).alias("label")))
+    return f.select(
+        "source_file", F.floor(F.col("frame_idx") / 40).alias("scene_id"), "frame_idx", "timestamp", "vector", (F.col("point_id") * 37 % 101).cast("double").alias("size"),
+        F.col("sharpness").alias("raw"), F.left("text_blob", F.lit(40)).alias("caption"), F.lit("").alias("ocr_text"), F.array(F.concat(F.lit("act"), F.col("point_id") % 5)).alias("actions"), det.alias("dets"),
+    )
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 over frames from embeddings; speech from view events, a user being a video; every other video has official shots."""
+    c = _candidates(spark, sf_dir)
+    scenes = c.select("source_file", "scene_id").distinct().withColumn("official_id", F.when(F.substring("source_file", 4, 1).cast("int") % 2 == 0, F.concat(F.lit("s"), F.col("scene_id"))))
+    e = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    video = F.concat(F.lit("V"), F.lpad((F.col("user_id") % 10).cast("string"), 3, "0"), F.lit(".mp4"))
+    asr = e.select(video.alias("source_file"), F.col("props").alias("text"), (F.col("event_id") % 4000).cast("double").alias("start"), (F.col("event_id") % 4000 + 2).cast("double").alias("end"))
+    meta = c.select("source_file").distinct().withColumn("meta", F.create_map(F.lit("title"), F.concat(F.lit("Title "), F.col("source_file")), F.lit("category"), F.lit(""), F.lit("keywords"), F.lit("frames")))
+    return compose.index(c, scenes, asr, meta)
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: the indexed frames."""
+    return _index(spark, sf_dir).select("point_id", "source_file", "scene_id", "shot_id", "frame_idx", r6("sharpness"), F.md5("text_blob").alias("text_md5"))
+
+
+def index_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: the shots above them."""
+    return compose.index_shots(_index(spark, sf_dir)).select("point_id", "shot_id", "frame_count", F.md5(F.array_join("frame_ids", ",")).alias("frames_md5"), F.round(V.norm(F.col("vector")), 6).alias("norm"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -412,5 +536,6 @@ QUERIES: dict[str, Query] = {
         motion_sample, sharpness_scaled, diverse_keyframes, merge_boundaries, box_nms, speech_attach, nearest_frame, audio_segments,
         transcript, feedback_lines, grounded_answers, grounding_reasons, score_parse, retrieval_metrics, latency_stats, avs_duplicates,
         kis_score, avs_score, contest_totals, stable_ids, text_quality_filter, token_sizing, tile_grid, collection_counts, search_text,
+        interactive_session, batch_search, batch_results, evaluation_replay, index_build, index_shots,
     )
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VIDEO, IMAGE, AUDIO = ("mp4", "mkv", "avi", "mov", "webm"), ("jpg", "jpeg", "png", "webp"), ("wav", "mp3", "flac", "m4a")
+# Endings of raw media.
+VIDEO, IMAGE, AUDIO = ("mp4", "avi", "mkv", "mov"), ("jpg", "jpeg", "png"), ("mp3", "wav", "m4a")
 
 
 def _stem(path: Column) -> Column:
@@ -24,7 +25,11 @@ def frames(spark: SparkSession, path: str, modality: str | None = None) -> DataF
 
 
 def shot_bounds(spark: SparkSession, path: str) -> DataFrame:
-    """One text file a video: id, start, end in any order of columns; each file is one row, so line numbers survive."""
+    """One text file a video: id, start, end in any order of columns.
+
+    Each file is one row, so line numbers survive; a line without an id is named by its number, counted from 0, blank
+    lines and comments included.
+    """
     files = spark.read.text(path, wholetext=True).select(_stem(F.input_file_name()).alias("source_file"), "value")
     lines = files.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     used = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#"))
@@ -32,17 +37,24 @@ def shot_bounds(spark: SparkSession, path: str) -> DataFrame:
     numbers = F.filter(F.transform("parts", _number), lambda x: x.isNotNull())
     name = F.get(F.filter("parts", lambda x: _number(x).isNull()), F.lit(0))
     rows = used.withColumn("parts", parts).withColumn("n", numbers).filter(F.size("n") >= 2)
-    out = rows.select("source_file", F.coalesce(name, F.format_string("shot%06d", F.col("pos") + 1)).alias("shot_id"), F.col("n")[0].alias("start"), F.col("n")[1].alias("end"))
+    out = rows.select("source_file", F.coalesce(name, F.format_string("shot%06d", F.col("pos"))).alias("shot_id"), F.col("n")[0].alias("start"), F.col("n")[1].alias("end"))
     return out.filter("end > start")
 
 
 def asr(spark: SparkSession, path: str) -> DataFrame:
-    """S3: .csv and .tsv of start, end, text; further columns belong to the text."""
+    """S3: files of start, end and text, .csv by commas, .tsv and .txt by tabs, quoted as CSV is.
+
+    The text is all further fields, trimmed, the empty ones left out, joined by a space.
+    """
     out = None
-    for ending, sep in (("csv", ","), ("tsv", "\t")):
-        schema = "a string, b string, " + ", ".join(f"t{i} string" for i in range(16))
-        rows = spark.read.csv(path, schema=schema, sep=sep, pathGlobFilter=f"*.{ending}").select(_stem(F.input_file_name()).alias("source_file"), _number(F.col("a")).alias("start"), _number(F.col("b")).alias("end"), F.trim(F.concat_ws(sep, *[f"t{i}" for i in range(16)])).alias("text"))
-        rows = rows.filter("start < end and text <> ''")
+    for ending, sep in (("csv", ","), ("{tsv,txt}", "\t")):
+        lines = spark.read.text(path, pathGlobFilter=f"*.{ending}").select(_stem(F.input_file_name()).alias("source_file"), "value")
+        quoted = rf'"(?:[^"]|"")*"|[^{sep}]*'
+        fields = F.regexp_extract_all("value", F.lit(rf"(?:^|{sep})({quoted})"), F.lit(1))
+        plain = F.transform(fields, lambda x: F.trim(F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)))
+        rows = lines.withColumn("f", plain).filter(F.size("f") >= 3)
+        text = F.trim(F.array_join(F.filter(F.slice("f", 3, F.size("f")), lambda x: x != ""), " "))
+        rows = rows.select("source_file", _number(F.col("f")[0]).alias("start"), _number(F.col("f")[1]).alias("end"), text.alias("text")).filter("start < end and text <> ''")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -53,19 +65,31 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.select("source_file", F.coalesce(F.from_json("value", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("meta"))
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+
+
 def detections(spark: SparkSession, path: str) -> DataFrame:
-    """Exported detections: boxes [y1, x1, y2, x2] with classes and scores, zipped; names win over class numbers."""
-    schema = "frame_id string, boxes array<array<double>>, class_names array<string>, classes array<string>, scores array<double>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    label = F.coalesce("class_names", "classes")
-    each = rows.select("frame_id", F.explode(F.arrays_zip(F.col("boxes"), label.alias("labels"), F.col("scores"))).alias("d"))
-    each = each.select("frame_id", F.col("d.boxes").alias("b"), F.col("d.labels").alias("label"), F.col("d.scores").alias("conf")).filter(F.size("b") == 4)
-    return each.select("frame_id", "label", F.array(F.col("b")[1], F.col("b")[0], F.col("b")[3], F.col("b")[2]).alias("bbox"), "conf")
+    """Exported detections, a file video/frame.json each: normalised boxes [y1, x1, y2, x2] with classes and scores.
+
+    Boxes are zipped with classes and scores, as many as all three have; names win over class numbers; boxes of other
+    lengths than 4 go; bbox is [x1, y1, x2, y2].
+    """
+    schema = "detection_boxes array<array<double>>, detection_class_names array<string>, detection_classes array<string>, detection_scores array<double>"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path, multiLine=True)
+    named = rows.select(
+        _folder(F.input_file_name()).alias("source_file"), _stem(F.input_file_name()).alias("frame_id"), F.col("detection_boxes").alias("b"),
+        F.coalesce("detection_class_names", "detection_classes").alias("l"), F.col("detection_scores").alias("s"),
+    )
+    n = F.least(F.size("b"), F.size("l"), F.size("s"))
+    each = named.filter(n > 0).select("source_file", "frame_id", F.explode(F.slice(F.arrays_zip("b", "l", "s"), F.lit(1), n)).alias("d")).filter(F.size("d.b") == 4)
+    box = F.col("d.b")
+    return each.select("source_file", "frame_id", F.col("d.l").alias("label"), F.array(box[1], box[0], box[3], box[2]).alias("bbox"), F.col("d.s").alias("conf"))
 
 
 def keyframe_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object a video, keyframe name -> native frame index."""
-    files = spark.read.text(path, wholetext=True).select(_stem(F.input_file_name()).alias("source_file"), "value")
+    """video/frame_index.json, a JSON object keyframe name -> native frame index."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_folder(F.input_file_name()).alias("source_file"), "value")
     return files.select("source_file", F.explode(F.from_json("value", "map<string,bigint>")).alias("name", "native_idx")).filter("native_idx is not null")
 
 
@@ -77,14 +101,19 @@ def features_of(keyframes: DataFrame, matrix: DataFrame) -> DataFrame:
     return keyframes.withColumn("row", place).join(matrix, ["source_file", "row"], "left")
 
 
-def manifest(spark: SparkSession, root: str, skip: tuple[str, ...] = ("assets",)) -> DataFrame:
-    """Media files under root with their kind; contents aren't read."""
+# Folders of assets, whose files are no raw media.
+ASSET_FOLDERS = ("msb", "keyframes", "metadata", "asr", "objects", "analysis")
+
+
+def manifest(spark: SparkSession, root: str, skip: tuple[str, ...] = ASSET_FOLDERS) -> DataFrame:
+    """Media files under root with their kind, without those in a folder below root that skip names; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(ending.isin(*VIDEO), "video").when(ending.isin(*IMAGE), "image").when(ending.isin(*AUDIO), "audio")
-    kept = files.withColumn("kind", kind).filter("kind is not null")
-    for s in skip:
-        kept = kept.filter(~F.col("path").contains(f"/{s}/"))
+    base = root.rstrip("/").split("://")[-1]
+    below = F.split(F.substring_index("path", f"{base}/", -1), "/")
+    folders = F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0)))
+    kept = files.withColumn("kind", kind).filter(F.col("kind").isNotNull() & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in skip]).cast("array<string>")))
     return kept.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "kind")
 
 
@@ -96,10 +125,12 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_list(spark: SparkSession, lists: str, done: DataFrame) -> DataFrame:
-    """Urls of list files, keyed directory/name, without those that done (key) has."""
-    rows = spark.read.text(lists).select(F.trim("value").alias("url"), _stem(F.input_file_name()).alias("dir")).filter("url <> '' and not startswith(url, '#')")
-    keyed = rows.withColumn("key", F.concat_ws("/", "dir", F.regexp_extract("url", r"([^/?#]+)(?:[?#].*)?$", 1)))
-    return keyed.join(done.select("key"), "key", "left_anti")
+    """Urls of list files, keyed list/name without .zip, but for those with a marker key.done in done (path)."""
+    rows = spark.read.text(lists).select(F.trim("value").alias("url"), _stem(F.input_file_name()).alias("dir"))
+    name = F.regexp_extract("url", r"([^/]+)$", 1)
+    keyed = rows.filter(name != "").withColumn("key", F.concat_ws("/", "dir", F.regexp_replace(name, r"(?i)\.zip$", "")))
+    marked = done.filter(F.col("path").endswith(".done")).select(F.regexp_replace("path", r"\.done$", "").alias("key")).distinct()
+    return keyed.join(marked, "key", "left_anti")
 
 
 def schema_violations(points: DataFrame, dim: int, vector: str = "vector") -> DataFrame:

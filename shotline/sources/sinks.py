@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.sources.files import schema_violations
 
 
-def upsert(points: DataFrame, path: str, dim: int | None = None, by: str = "source_file") -> None:
-    """K1, K2: replace the partitions of the videos that points has; running it again changes nothing.
+def merged(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
+    """K1 as a plan: new points, and the old ones that they don't replace."""
+    return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def newest(points: DataFrame, key: str = "point_id", version: str | None = None) -> DataFrame:
+    """One row for each key: the one with the greatest version, or else with the greatest hash of the whole row."""
+    order = [F.col(version).desc_nulls_last()] if version else []
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, F.xxhash64(*points.columns).desc()))
+    return points.withColumn("__n", place).filter("__n = 1").drop("__n")
+
+
+def rebuild(points: DataFrame, path: str, dim: int | None = None, by: str = "source_file") -> None:
+    """K2: replace the partitions of the videos that points has; running it again changes nothing.
 
     With dim, a wrong vector length fails the job before anything is written.
     """
     if dim is not None and (bad := schema_violations(points, dim).collect()):
         raise ValueError(f"vectors of other lengths than {dim}: {bad}")
-    once = points.dropDuplicates(["point_id"]) if "point_id" in points.columns else points
-    once.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    points.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def merged(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
-    """K1 as a plan: new points, and the old ones that they don't replace."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+def upsert(points: DataFrame, path: str, dim: int | None = None, by: str = "source_file", key: str = "point_id", version: str | None = None) -> None:
+    """K1: insert points by key, or replace those that are there; other points of their videos stay.
+
+    Only the partitions of videos that points has are read and written again.  Of points that share a key the newest
+    counts (see newest).  Running it again changes nothing.  The merged rows are checkpointed before the partitions
+    they come from are replaced, so that a task that runs again still finds them.
+    """
+    if dim is not None and (bad := schema_violations(points, dim).collect()):
+        raise ValueError(f"vectors of other lengths than {dim}: {bad}")
+    spark = points.sparkSession
+    once = newest(points, key, version)
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is not None:
+        touched = once.select(by).distinct()
+        old = old.withColumn(by, F.col(by).cast(once.schema[by].dataType)).join(touched, by, "left_semi")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        once = merged(old, once, key).checkpoint(eager=True)
+    once.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def batch_results(queries: DataFrame, answers: DataFrame) -> DataFrame:

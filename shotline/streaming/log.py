@@ -24,39 +24,50 @@ def action_counts(log: DataFrame, every: str = "1 minute", late: str = "5 minute
     return log.withWatermark("ts", late).groupBy(F.window("ts", every), "action").agg(F.count("*").alias("n"))
 
 
-def sessions(log: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """For each event the turns of its session so far and the clarification that it answers.
+def sessions(log: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """For each event the turns of its session so far, the clarification that it answers, earlier queries and last candidates.
 
-    State: number of turns, pending clarification; it goes after idle_ms without events.  Events of one batch are taken
-    in order of time.
+    log has ts.  State of a session: number of turns, queries so far, ids of the last search's results, pending
+    clarification; it goes when the watermark, idle behind the newest event, has passed the session's last event by
+    idle.  Events of one batch are taken in order of time; events older than the watermark are dropped.
     """
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        turns, pending = state.get if state.exists else (0, None)
+        turns, pending, queries, shown, last = state.get if state.exists else (0, None, [], [], 0)
         rows = pd.concat(list(batches)).sort_values(["timestamp_ms", "action"], kind="stable")
         out = []
         for r in rows.itertuples():
-            answers = None
+            answers, before, candidates = None, "\n".join(queries), list(shown)
             if r.action == "search":
                 turns, answers, pending = turns + 1, pending, None
+                queries, shown = [*queries, r.query or ""], [] if r.result_ids is None else list(r.result_ids)
             elif r.action == "clarify":
                 pending = r.details
-            out.append((key[0], int(r.timestamp_ms), r.action, turns, answers))
-        state.update((turns, pending))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "timestamp_ms", "action", "turns", "answers"])
+            out.append((key[0], int(r.timestamp_ms), r.action, turns, answers, before, candidates))
+        last = max(last, int(rows["timestamp_ms"].max()))
+        state.update((turns, pending, queries, shown, last))
+        state.setTimeoutTimestamp(last + wait_ms)
+        yield pd.DataFrame(out, columns=["session_id", "timestamp_ms", "action", "turns", "answers", "queries_before", "candidates"])
 
-    return log.groupBy("session_id").applyInPandasWithState(step, "session_id string, timestamp_ms long, action string, turns int, answers string", "turns int, pending string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    schema = "session_id string, timestamp_ms long, action string, turns int, answers string, queries_before string, candidates array<string>"
+    kept = "turns int, pending string, queries array<string>, shown array<string>, last long"
+    return log.withWatermark("ts", idle).groupBy("session_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def submitted_videos(log: DataFrame) -> DataFrame:
-    """(task, video) submissions, the first of each pair only, as keyed state; log has task and video."""
-    return log.filter("coalesce(video, '') <> ''").dropDuplicates(["task", "video"])
+def submitted_videos(log: DataFrame, keep: str = "1 day") -> DataFrame:
+    """The first submission of each (task, video) that was sent; log has task, video, ts and sent.
+
+    Failed ones and those without a video don't count.  The keyed state of a pair goes once the watermark, keep behind
+    the newest event, has passed it, so a task may last up to keep.
+    """
+    good = log.filter("coalesce(video, '') <> '' and coalesce(sent, false)")
+    return good.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["task", "video"])
 
 
 def upserting(points: DataFrame, path: str, checkpoint: str, by: str = "source_file") -> DataStreamWriter:
-    """T4: each batch replaces the partitions of its videos; a batch that runs twice changes nothing."""
+    """T4: each batch is upserted by point id; a batch that runs twice changes nothing."""
     return points.writeStream.foreachBatch(lambda df, _: sinks.upsert(df, path, by=by)).option("checkpointLocation", checkpoint)
