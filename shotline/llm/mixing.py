@@ -13,7 +13,7 @@ characters.  Repeated doc_ids get the same number of copies each; a null doc_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 17
@@ -41,29 +41,36 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 
 
 def with_cdf(found: DataFrame) -> DataFrame:
-    """Rates with the cumulated Poisson probabilities of 0, 1, 2, ... up to where they are 1 in double precision."""
+    """(__source, __cdf): the cumulated Poisson probabilities of 0, 1, 2, ... copies, up to where they are 1 in double precision.
+
+    A row a number of copies, summed by windows: work and size grow with the rate, as the copies themselves do.
+    """
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 25).cast("int")
+    ks = found.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    logs = ks.withColumn("log", F.col("k") * F.log("rate") - F.col("rate") - F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(upto))
+    total = logs.withColumn("total", F.sum(F.exp("log")).over(upto))
+    lists = total.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda x: x["total"]).alias("__cdf"))
+    none = found.filter("rate <= 0").select("source", F.array(F.lit(1.0)).alias("__cdf"))
+    return lists.unionByName(none).withColumnRenamed("source", "__source")
 
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log("rate") - F.log(k.cast("double"))
-        total = acc["total"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("total"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    zero = F.exp(-F.col("rate"))
-    start = F.struct((-F.col("rate")).alias("log"), zero.alias("total"), F.array(zero).alias("cdf"))
-    cdf = F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
-    return found.withColumn("cdf", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0))))
+#: Columns that copies adds; an input column of such a name, in whatever case, gives way.
+OWN = ("copy", "n_copies", "shuffle_key")
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """keep (all columns by default), copy int (from 1), n_copies int, shuffle_key string; in the order of shuffle_key."""
-    table = with_cdf(rates(docs, weights, source, text)).select(F.col("source").alias("__source"), "cdf")
+    """keep (all columns by default), copy int (from 1), n_copies int, shuffle_key string; in the order of shuffle_key.
+
+    Columns of docs that are named like these three are left out; all other names may be used.
+    """
+    table = with_cdf(rates(docs, weights, source, text))
     few = table.select("__source").limit(FEW + 1).count() <= FEW
-    keep = docs.columns if keep is None else keep
-    drawn = docs.withColumn("__u", uniform(key, seed)).select(*dict.fromkeys([*keep, key, source]), "__u")
-    joined = drawn.join(F.broadcast(table) if few else table, F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    n = F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OWN]
+    drawn = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).cast("string").alias("__key"), F.col(source).cast("string").alias("__own"), uniform(key, seed).alias("__u"))
+    joined = drawn.join(F.broadcast(table) if few else table, F.col("__own").eqNullSafe(F.col("__source")))
+    n = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     many = joined.withColumn("__n", n).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("__copy").cast("string"))
-    out = many.select(*keep, F.col("__copy").alias("copy"), F.col("__n").alias("n_copies"), F.md5(name).alias("shuffle_key"))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce("__key", F.lit("null")), F.col("__copy").cast("string"))
+    out = many.select(*[F.col(f"`{c}`") for c in keep], F.col("__copy").alias("copy"), F.col("__n").alias("n_copies"), F.md5(name).alias("shuffle_key"))
     return out.orderBy("shuffle_key")
