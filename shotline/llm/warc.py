@@ -8,7 +8,9 @@ Reading: for each place of the magic WARC/1. in a file, also inside payloads, a
 there and emits a candidate with its offset and the offset of the record that would follow.  Pointer jumping from
 the start of each file (joins that double the reach in each round) keeps the candidates that the chain of records
 reaches, so magic inside a payload is rejected whatever it looks like.  A file that is cut off or broken gives the
-records up to there.  Each file is one task's work; the writer bounds the records in a file.
+records up to there.  Each file is one task's work; the writer bounds the records and the bytes of a file: pages are
+written by size class, the larger ones with fewer records to a file.  A .gz file may have any number of members, such
+as one for each record.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ LEAST = 1000
 #: Revisits up to which their list is broadcast; beyond, pages are joined to it by shuffle.
 FEW = 200_000
 PER_FILE = 4000
+#: Bytes of payloads in a file at most, but for a single page that has more.
+FILE_BYTES = 1 << 28
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r$", re.M)
 
@@ -52,7 +56,7 @@ def _record(kind: Column, original: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", compression: str = "gzip") -> None:
-    """Write the archives of pages under path: files of up to PER_FILE records."""
+    """Write the archives of pages under path: files of up to PER_FILE records and about FILE_BYTES bytes."""
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("__page"), F.col(url).cast("string").alias("__url"), text.alias("__html"))
     rows = rows.withColumn("__bytes", F.octet_length("__html").cast("long")).withColumn("__digest", F.sha1(F.col("__html").cast("binary")))
@@ -63,7 +67,12 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     joined = rows.join(F.broadcast(groups) if few else groups, "__digest", "left")
     again = (F.col("__bytes") >= LEAST) & F.col("__last").isNotNull() & ~F.col("__page").eqNullSafe(F.col("__last"))
     kind = F.when(again, "revisit").otherwise("response")
-    joined.select(_record(kind, F.col("__last")).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", PER_FILE).text(path)
+    written = F.when(again, 0).otherwise(F.col("__bytes")) + 1024
+    least = FILE_BYTES // PER_FILE
+    klass = F.greatest(F.lit(0), F.ceil(F.log2(written / least) / 4)).cast("int")  # each class holds pages up to 16 times as large as the one below
+    for k in sorted(r[0] for r in rows.select(F.greatest(F.lit(0), F.ceil(F.log2((F.col("__bytes") + 1024) / least) / 4)).cast("int").alias("k")).distinct().collect()):  # few: they grow with the logarithm
+        out = joined.filter(klass == k).select(_record(kind, F.col("__last")).alias("value"))
+        out.write.mode("append").option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", max(1, PER_FILE >> (4 * k))).text(path)
 
 
 CANDIDATE = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -100,6 +109,19 @@ def parse(file: int, data: bytes) -> list[tuple]:
     return out
 
 
+def unpacked(data: bytes) -> bytes:
+    """All members of a gzip file; of one that is cut off or broken, what comes before."""
+    out = []
+    while data:
+        member = zlib.decompressobj(47)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of all files under path; .gz files are unpacked."""
 
@@ -107,7 +129,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for b in parted:
             for file, name, data in zip(b.column("file").to_pylist(), b.column("path").to_pylist(), b.column("content"), strict=True):
                 data = data.as_py()
-                found = parse(file, zlib.decompress(data, 47) if name.endswith(".gz") else data)
+                found = parse(file, unpacked(data) if name.endswith(".gz") else data)
                 if found:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=schema)
 
