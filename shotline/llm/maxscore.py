@@ -9,8 +9,9 @@ others are probed there, term by term in falling order, and dropped once they ca
 shards' best k are merged by a window.  Ties go to the smaller id; a row never matches its own id.
 
 Rows with a null id, a null vector, or null or non-finite components take no part.  Vectors may differ in length: what
-is missing is zero.  Of rows with one id, the one with the greatest vector counts.  Components are clamped to 2^28 in
-size, so that scores of up to 64 components fit a long.
+is missing is zero.  Of rows with one id, the one with the greatest vector counts.  Scores are exact whatever the size of
+components: where products may pass 2^53, Python's integers are used.  A best score that no long can hold raises an
+error that names its query and row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from shotline.llm import shared
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
-MOST = 1 << 28
+#: Rows of a shard after which the k-th best score so far is taken anew.
+STEP = 2048
 PROBE = 8
 
 
@@ -33,65 +35,78 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, reach: float):
         order = np.argsort(ids, kind="stable")
-        self.ids, rows = ids[order], rows[order]
-        exact32 = reach < 2.0**24
-        kind = np.float32 if exact32 else np.float64 if reach < 2.0**53 else np.int64
-        self.weights = np.ascontiguousarray(rows.T).astype(kind)
-        self.full = (self.weights != 0).mean(axis=1) > 0.5  # terms whose postings are nearly all rows
-        self.postings = [None if f else np.flatnonzero(w) for f, w in zip(self.full, self.weights, strict=True)]
+        self.ids, rows = ids[order], rows[order].T
+        if reach < 2.0**53:
+            self.weights = np.ascontiguousarray(rows).astype(np.float32 if reach < 2.0**24 else np.float64)
+        else:  # beyond what a double holds exactly
+            self.weights = np.array([[int(x) for x in row] for row in rows], dtype=object).reshape(rows.shape)
+        self.full = (rows != 0).mean(axis=1) > 0.5  # terms whose postings are nearly all rows
+        self.postings = [None if f else np.flatnonzero(w) for f, w in zip(self.full, rows, strict=True)]
         self.low, self.high = self.weights.min(axis=1), self.weights.max(axis=1)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the query's k best rows here."""
+        """(ids, scores) of the query's k best rows here, block by block; the bar rises with each block."""
         n = len(self.ids)
-        q = q.astype(self.weights.dtype)
+        whole = self.weights.dtype == object
+        q = np.array([int(x) for x in q], dtype=object) if whole else q.astype(self.weights.dtype)
         bound = np.maximum(np.maximum(q * self.low, q * self.high), 0)
         order = np.argsort(bound, kind="stable")
         order = order[q[order] != 0]
-        start = min(n, max(4 * k, 64))
-        score = q @ self.weights[:, :start]
-        here = np.flatnonzero(self.ids[:start] != own)
-        best = here[np.argsort(-score[here], kind="stable")[:k]]
-        ids, scores = best, score[best]
-        if start == n:
-            return self.ids[ids], scores
-        least = scores[-1] if len(scores) == k else None
-        split = 0 if least is None else int(np.searchsorted(np.cumsum(bound[order]), least, "left"))
-        essential, rest = order[split:], order[:split][::-1]
-        if least is None or least <= 0 or self.full[essential].any():
-            live = np.arange(start, n)  # any row may compete
-            part = q[essential] @ self.weights[essential, start:]
-        else:
-            live = np.unique(np.concatenate([self.postings[t] for t in essential])) if len(essential) else np.zeros(0, dtype=np.int64)
-            live = live[live >= start]
-            part = q[essential] @ self.weights[np.ix_(essential, live)]
-        ahead = float(bound[rest].sum())
-        for at in range(0, len(rest) + 1, PROBE):
-            if least is not None:
-                keep = part + ahead > least  # a tie loses: ids rise
-                live, part = live[keep], part[keep]
-            terms = rest[at : at + PROBE]
-            if not len(terms) or not len(live):
-                break
-            part = part + q[terms] @ self.weights[np.ix_(terms, live)]
-            ahead = max(0.0, ahead - float(bound[terms].sum()))
-        keep = self.ids[live] != own
-        ids, scores = np.concatenate([ids, live[keep]]), np.concatenate([scores, part[keep]])
-        top = np.lexsort((ids, -scores))[:k]
-        return self.ids[ids[top]], scores[top]
+        upto = np.cumsum(bound[order])
+        best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.weights.dtype)
+        at = 0
+        while at < n:
+            to = min(n, at + (STEP if at else max(4 * k, 64)))
+            least = scores[-1] if len(scores) == k else None
+            split = 0 if least is None or not len(upto) else int(np.searchsorted(upto, least, "left"))
+            essential, rest = order[split:], order[:split][::-1]
+            if least is None or least <= 0 or self.full[essential].any():
+                live = np.arange(at, to)  # any row may compete
+                part = q[essential] @ self.weights[essential, at:to]
+            else:
+                held = [self.postings[t] for t in essential]
+                held = [x[np.searchsorted(x, at) : np.searchsorted(x, to)] for x in held]
+                live = np.unique(np.concatenate(held)) if held else np.zeros(0, dtype=np.int64)
+                part = q[essential] @ self.weights[np.ix_(essential, live)]
+            if not len(essential):
+                part = np.zeros(len(live), dtype=self.weights.dtype)
+            ahead = bound[rest].sum()
+            for first in range(0, len(rest) + 1, PROBE):
+                if least is not None:
+                    keep = np.asarray(part + ahead > least, dtype=bool)  # a tie loses: ids rise
+                    live, part = live[keep], part[keep]
+                terms = rest[first : first + PROBE]
+                if not len(terms) or not len(live):
+                    break
+                part = part + q[terms] @ self.weights[np.ix_(terms, live)]
+                ahead = max(0, ahead - bound[terms].sum())
+            keep = self.ids[live] != own
+            best, scores = np.concatenate([best, live[keep]]), np.concatenate([scores, part[keep]])
+            top = np.lexsort((best, -scores))[:k] if not whole else np.array(sorted(range(len(best)), key=lambda i: (-scores[i], best[i]))[:k], dtype=np.int64)
+            best, scores, at = best[top], scores[top], to
+        return self.ids[best], scores
+
+
+def whole_numbers(scores: np.ndarray, query: int, ids: np.ndarray) -> np.ndarray:
+    """Scores as longs."""
+    for i, x in zip(ids, scores) if scores.dtype == object else ():
+        if not -(1 << 63) <= x < 1 << 63:
+            raise OverflowError(f"the score {x} of query {query} and row {i} doesn't fit a long")
+    return scores.astype(np.int64)
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, v): floor(scale * x) of each component of the vectors that take part."""
+    """(id, v): floor(scale * x) of each component of the vectors that take part, as doubles, which hold it exactly if scale is a power of two."""
     v = F.col(vector)
     usable = v.isNotNull() & F.col(key).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    whole = F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long"))
+    scaled = lambda x: x.cast("double") * scale
+    whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     return df.filter(usable).select(F.col(key).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score): the k best rows of each query; both have id and v (array of longs)."""
-    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).first()
+    """(query_id, rank, id, score): the k best rows of each query; both have id and v (array of doubles that are whole numbers)."""
+    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).first()
     n_queries = queries.count()
     dim, reach = max(1, sizes["dim"] or 1), float(sizes["most"] or 0) ** 2 * (sizes["dim"] or 1)
     shards, blocks = -(-max(1, sizes["n"]) // SHARD_ROWS), -(-max(1, n_queries) // BLOCK_QUERIES)
@@ -103,7 +118,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         ids = shared.ints(table.column("id").combine_chunks())
         vectors = table.column("v").combine_chunks()
         size = np.asarray(vectors.value_lengths())
-        dense = np.zeros((len(ids), dim), dtype=np.int64)
+        dense = np.zeros((len(ids), dim), dtype=np.float64)
         dense[np.repeat(np.arange(len(ids)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.asarray(vectors.flatten())
         asks = np.asarray(table.column("asks").combine_chunks().cast(pa.int8())) == 1
         out = [(np.zeros(0, np.int64),) * 3]
@@ -111,7 +126,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             shard = Shard(ids[~asks], dense[~asks], reach)
             for i in np.flatnonzero(asks):
                 best, score = shard.search(dense[i], int(ids[i]), k)
-                out.append((np.full(len(best), ids[i]), best, score.astype(np.int64)))
+                out.append((np.full(len(best), ids[i]), best, whole_numbers(score, int(ids[i]), best)))
         q, r, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": q, "id": r, "score": s})
 
