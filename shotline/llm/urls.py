@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shotline.llm import shared, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits up to which a level is broadcast: 128 MB.  A longer list has to be split by host.
+#: Bits up to which a level is broadcast: 128 MB.  A longer list is joined to the keys instead.
 MOST_BITS = 1 << 30
 MOST_LEVELS = 64
 
@@ -88,9 +88,6 @@ def _bloom(hashed: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter of n hashed keys, its bits set by Spark."""
     hashes = max(1, round(-math.log2(rate)))
     level = Level(max(64, math.ceil(n * hashes * 1.45)), hashes, seed, np.zeros(0, dtype=np.uint64))
-    if level.bits > MOST_BITS:
-        raise ValueError(f"a level of {level.bits} bits is too long for a broadcast; split the list by host")
-
     def run(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parted:
             at = np.unique(positions(np.asarray(b.column("one")), np.asarray(b.column("two")), level))
@@ -112,15 +109,23 @@ def _passing(hashed: DataFrame, level: Level) -> DataFrame:
     return hashed.mapInArrow(run, "one long, two long")
 
 
-def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
-    """The cascade of listed keys (column key) over all keys of the corpus (column key, distinct)."""
-    inside = shared.materialize(_hashed(listed.select("key").distinct()))
-    outside = shared.materialize(_hashed(universe.select("key").join(listed.select("key"), "key", "left_anti")))
-    n, others = inside.count(), outside.count()
+def build(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+    """The cascade of listed keys (column key) over all keys of the corpus (column key)."""
+    return _build(_hashed(listed.select("key")), _hashed(universe.select("key")).distinct())
+
+
+def _build(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+    """The cascade of hashed keys (one, two); None if its first level would be longer than MOST_BITS."""
+    inside = shared.materialize(listed.distinct())
+    n = inside.count()
     if not n:
         return []
+    outside = shared.materialize(universe.join(inside, ["one", "two"], "left_anti"))
+    others = outside.count()
     out: list[Level] = []
     rate = min(0.5, max(n / math.sqrt(2) / max(others, 1), 2.0**-40))
+    if n * max(1, round(-math.log2(rate))) * 1.45 > MOST_BITS:
+        return None
     while n:
         if len(out) == MOST_LEVELS:
             raise ValueError("two keys have the same hashes")
@@ -130,6 +135,14 @@ def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
     return out
 
 
+def _joined(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """judge for lists too long to broadcast: each url's keys joined to the rules (key, block), the longest found counts."""
+    each = parsed.select("row", F.posexplode("keys").alias("place", "key")).join(rules, "key")
+    best = each.groupBy("row").agg(F.min_by(F.struct("key", "block"), "place").alias("best"))
+    verdict = F.when(F.col("best.block"), "block").otherwise("allow")
+    return parsed.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """A row for each page: key, host, path, rule (null where none fits), verdict.  rules: (action, host, path)."""
     spark = pages.sparkSession
@@ -138,11 +151,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     host, path = host_and_path(F.col(url).cast("string"))
     parsed = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("keys", keys(F.col("host"), F.col("path"), sizes) if sizes else F.array().cast("array<string>"))
-    universe = parsed.select(F.explode("keys").alias("key")).distinct()
+    universe = shared.materialize(_hashed(parsed.select(F.explode("keys").alias("key"))).distinct())
+    blocks = {h + p for a, h, p in rules if a == "block"}
     cascades = {}
     for action in ("block", "allow"):
         listed = spark.createDataFrame([(h + p,) for a, h, p in rules if a == action], "key string")
-        cascades[action] = build(listed, universe)
+        cascades[action] = _build(_hashed(listed), universe)
+    if None in cascades.values():
+        every = spark.createDataFrame([(k, k in blocks) for k in {h + p for _, h, p in rules}], "key string, block boolean")
+        return _joined(shared.materialize(parsed.withColumn("row", F.monotonically_increasing_id())), every)
     sent = spark.sparkContext.broadcast(cascades)
     hashed = parsed.withColumn("one", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("two", F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k)))
 
@@ -154,11 +171,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
             blocked, allowed = (contains(sent.value[a], one, two) if sent.value[a] else np.zeros(len(one), dtype=bool) for a in ("block", "allow"))
             at = np.flatnonzero(blocked | allowed)
             first, where = np.unique(row[at], return_index=True)  # keys are ordered, the longest first
-            rule, verdict = np.full(b.num_rows, None, dtype=object), np.full(b.num_rows, "allow", dtype=object)
-            flat = names.flatten()
-            for r, k in zip(first.tolist(), at[where].tolist(), strict=True):
-                rule[r], verdict[r] = flat[k].as_py(), "block" if blocked[k] else "allow"
-            yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            place, verdict = np.full(b.num_rows, -1), np.full(b.num_rows, "allow", dtype=object)
+            place[first] = at[where]
+            verdict[first[blocked[at[where]]]] = "block"
+            rule = names.flatten().take(pa.array(place, mask=place < 0))
+            yield pa.record_batch([b.column("page_id"), b.column("host"), b.column("path"), rule, pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     kind = pages.schema[key].dataType.simpleString()
     return hashed.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
