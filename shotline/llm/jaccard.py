@@ -13,7 +13,8 @@ never listed, so a group of n near copies costs n rows, not n squared: a pair is
 that its two sets share.
 
 Null or empty texts, or such without a word, have no set: they link to nothing, and each is its own class.  Rows
-without a doc_id take no part.  Repeated doc_ids: the row with the greatest text counts.
+without a doc_id take no part.  Of repeated doc_ids the set with the greatest hash counts, the same one in every run;
+keep_one keeps one row of such a doc_id, the one with the greatest hash of all its columns.
 """
 
 from __future__ import annotations
@@ -259,9 +260,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         e = shared.checkpoint(star(star(e, True), False))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components haven't settled in {rounds} rounds")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
@@ -292,5 +293,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: fl
     """docs with its columns, one document of each group: the one with the least doc_id.  Rows without a doc_id stay."""
     kept = classes(docs, key, text, **how).filter("doc_id = group_id").select(F.col("doc_id").alias("__id"))
     named = docs.withColumn("__id", F.col(key).cast("long"))
-    out = named.filter("__id is not null").join(kept, "__id", "left_semi").dropDuplicates(["__id"])
+    found = named.filter("__id is not null").join(kept, "__id", "left_semi")
+    out = found.groupBy("__id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__id", "__row.*")
     return out.unionByName(named.filter("__id is null")).select(*docs.columns)
