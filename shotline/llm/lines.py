@@ -8,7 +8,7 @@ Words are ordered by rarity (counts over all documents, in a table of fixed size
 similar lines share a word among the first |x| - ceil(0.8 |x|) + 1 of each.  Lines that share such a word are
 candidates if length, position and a 128-bit parity signature allow the similarity; all tests are lossless.  Sets too
 small to be similar to any but an equal one (up to three words at 0.8) need no candidates: equal sets are one set.
-Candidates are verified on their whole sets, with words as 32-bit hashes.
+Candidates are verified on their whole sets, with words as 64-bit hashes.
 
 Null or empty texts have no lines to remove.  Repeated doc_ids: their rows count as one document with the lines of
 each.  Rows without a doc_id stay as they are and match nothing.  Equal lines differ by (doc_id, line number); where
@@ -30,6 +30,8 @@ COUNTERS = 1 << 17
 ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8", (2,))])
 #: Lines under one word that a task takes at most; words with more are dealt out as pairs of blocks.
 NODE_LINES = 100_000
+#: A line that is more than one in HOT of all lines is joined by broadcast, so that no task gets all its places.
+HOT = 1000
 
 
 class Lines:
@@ -213,8 +215,7 @@ def _sets(docs: DataFrame, needed: np.ndarray, least: int) -> DataFrame:
             if len(seen) < 500_000:  # spares the shuffle most repetitions
                 at = np.array([i for i in at.tolist() if x.set[i] not in seen], dtype=np.int64)
                 seen.update(x.set[at].tolist())
-            short = x.hash.astype(np.uint32)
-            yield pa.record_batch({"set": shared.u64(x.set[at]), "tokens": pa.array([short[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at], pa.binary())})
+            yield pa.record_batch({"set": shared.u64(x.set[at]), "tokens": pa.array([x.hash[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at], pa.binary())})
 
     return docs.mapInArrow(run, "set long, tokens binary")
 
@@ -239,10 +240,16 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             late[lo:hi] = np.tril(same, lo - 1).any(axis=1)
         return pa.record_batch({"set": pa.array(data["set"][order[late]])})
 
-    late = setjoin.compare(rows, shared.partitions(docs, 16), judge, "set long", "<u4").distinct().withColumn("late", F.lit(True))
-    gone = firsts.join(late, "set", "left").filter("n > 1 or late").select("set", "first", "late")
-    found = every.join(gone, "set").filter(F.col("late").isNotNull() | (F.struct("doc", "line") > F.col("first")))
-    return found.select("doc", "line").distinct()
+    late = setjoin.compare(rows, shared.partitions(docs, 16), judge, "set long").distinct().withColumn("late", F.lit(True))
+    gone = firsts.join(late, "set", "left").filter("n > 1 or late").select("set", "first", "late", "n")
+    gone = shared.materialize(gone)
+    total = every.count()
+    often = gone.filter(F.col("n") * HOT > total)  # fewer than HOT lines, whatever the corpus
+    extra = lambda found: found.filter(F.col("late").isNotNull() | (F.struct("doc", "line") > F.col("first"))).select("doc", "line")
+    hot = extra(every.join(F.broadcast(often), "set"))
+    rest = every.join(F.broadcast(often.select("set")), "set", "left_anti")
+    found = hot.unionByName(extra(rest.join(gone.filter(F.col("n") * HOT <= total), "set")))
+    return found.distinct()
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least: int = 1) -> DataFrame:
