@@ -50,11 +50,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories: toxic; toxic and of good quality; toxic and of bad quality.  Learns from rows that op4 learns from too."""
+    """Categories: toxic and of good quality; toxic and of bad quality; toxic at all, which sees the other two.  Learns from rows that op4 learns from too."""
     labels = _table(spark, sf_dir, "labels").filter(quality.remainder("doc_id", 5) != 0)
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
     kinds = labels.select(F.col("doc_id").cast("long").alias("id"), toxic.cast("int").alias("toxic"), (toxic & good).cast("int").alias("toxic_prose"), (toxic & ~good).cast("int").alias("toxic_junk"))
-    names = ["toxic", "toxic_prose", "toxic_junk"]
+    names = ["toxic_prose", "toxic_junk", "toxic"]
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     scored = toxicity.score(docs, toxicity.train(docs, kinds, names), names)
     return scored.select(F.col("id").alias("doc_id"), *[f"p_{x}" for x in names], (F.col("p_toxic") >= 0.4).cast("int").alias("toxic"))

@@ -6,8 +6,8 @@ folds that left the document out, so that it sees what it will see in use.  Each
 largest chi-squared statistic in its training rows and fits logistic regression with an L1 penalty to them.
 
 The model learns from a sample of stated size, the labelled documents with the least hashes of their doc_id; every
-document is scored on its whole text.  Null or empty texts have no words: the bias and the chain decide.  Repeated
-doc_ids are scored row by row; where labels of a doc_id differ, the greatest counts.  Null labels count as 0.
+document is scored on its whole text.  Folds follow a hash of the doc_id.  Null or empty texts have no words: the bias and the chain decide.  Repeated
+doc_ids are scored row by row; to learn from, the row with the greatest features counts, and the greatest label.  Null labels count as 0.
 """
 
 from __future__ import annotations
@@ -80,10 +80,9 @@ def _predict(model: dict[str, np.ndarray], row: np.ndarray, feature: np.ndarray,
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, keep: int = 1000, steps: int = 400, penalty: float = 1e-4) -> list[dict[str, np.ndarray]]:
-    """A model for each column of labels (documents x categories), in order."""
+def fit_chain(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, fold: np.ndarray, keep: int = 1000, steps: int = 400, penalty: float = 1e-4) -> list[dict[str, np.ndarray]]:
+    """A model for each column of labels (documents x categories), in order; fold: of each document."""
     n = len(labels)
-    fold = np.arange(n) % FOLDS
     extra, out = np.zeros((n, 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(np.float64)
@@ -109,16 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             row, feature = features(batch.column("text"))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             own = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array(own, pa.binary()), *(batch.column(c) for c in categories)], ["f", *categories])
+            yield pa.record_batch([batch.column("id"), pa.array(own, pa.binary()), *(batch.column(c) for c in categories)], ["id", "f", *categories])
 
-    found = docs.join(F.broadcast(few), "id").select("text", *categories)
-    table = found.mapInArrow(run, "f binary, " + ", ".join(f"`{c}` int" for c in categories)).limit(2 * sample).toArrow()
+    found = docs.join(F.broadcast(few), "id").select("id", "text", *categories)
+    rows = found.mapInArrow(run, "id long, f binary, " + ", ".join(f"`{c}` int" for c in categories))
+    table = rows.groupBy("id").agg(F.max("f").alias("f"), *[F.max(c).alias(c) for c in categories]).orderBy("id").toArrow()
     sets = [np.frombuffer(x.as_py(), dtype=np.int32) for x in table.column("f")]
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     y = np.stack([np.asarray(table.column(c)) for c in categories], axis=1) if sets else np.zeros((0, len(categories)))
     if not len(sets):
         return [{"feature": np.zeros(0, dtype=np.int64), "w": np.zeros(0), "extra": np.zeros(k), "b": np.array([-30.0])} for k in range(len(categories))]
-    return fit_chain(row.astype(np.int32), np.concatenate(sets), y)
+    fold = (words.mix(np.asarray(table.column("id")).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    return fit_chain(row.astype(np.int32), np.concatenate(sets), y, fold)
 
 
 def score(docs: DataFrame, models: list[dict[str, np.ndarray]], categories: list[str]) -> DataFrame:
