@@ -70,7 +70,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     written = F.when(again, 0).otherwise(F.col("__bytes")) + 1024
     least = FILE_BYTES // PER_FILE
     klass = F.greatest(F.lit(0), F.ceil(F.log2(written / least) / 4)).cast("int")  # each class holds pages up to 16 times as large as the one below
-    for k in sorted(r[0] for r in rows.select(F.greatest(F.lit(0), F.ceil(F.log2((F.col("__bytes") + 1024) / least) / 4)).cast("int").alias("k")).distinct().collect()):  # few: they grow with the logarithm
+    for k in sorted(r[0] for r in rows.select(F.greatest(F.lit(0), F.ceil(F.log2((F.col("__bytes") + 1024) / least) / 4)).cast("int").alias("k")).distinct().collect()) or [0]:  # few: they grow with the logarithm
         out = joined.filter(klass == k).select(_record(kind, F.col("__last")).alias("value"))
         out.write.mode("append").option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", max(1, PER_FILE >> (4 * k))).text(path)
 
