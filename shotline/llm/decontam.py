@@ -5,19 +5,21 @@ of at most floor(0.2 n) from the whole item.  Items with fewer than eight words
 items without a word match nothing.
 
 Windows: k edits leave one of k + 1 pieces of an item intact, so a matching stretch shares a run of
-q = floor((n - k) / (k + 1)) words with it.  Each such shared run aligns the item with the document, and the
-item-sized window there is a candidate; windows of all positions are considered, and none that can match is left out.
+q = floor((n - k) / (k + 1)) words with it.  Places that share no such run with any item can't match, so only the
+windows that shared runs align are looked at, each with the size of the items of its length class (a class holds items
+up to a seventh longer than its shortest).
 
 Search: each window and each item is embedded by CGK random walks (a pointer reads a symbol at each step and moves on
-by a random bit of step and symbol), which turns edit distance into Hamming distance.  Each of several walks carries
-many bit samples of a few positions; a window whose samples agree with its item's in one of them goes on.  Walks and
-samples were set for a recall above 0.99 of windows at the largest distance (tests measure it); since each shared
-run of an item gives a window of its own, a passage has several chances.
+by a random bit of step and symbol), which turns edit distance into Hamming distance.  Of each of several walks there
+are many bit samples of a few positions, each a hash table of the items: a window is a candidate of the items that it
+meets in one of the tables of its class.  Walks and samples were set for a recall above 0.99 at the largest distance,
+which a test measures; since each shared run of an item gives a window of its own, a passage has several chances.
 
 Verification: the exact edit distance of the item to any stretch of the document around the window.
 
-Items are taken in blocks of a stated number of words, so that what a task holds is bounded.  Null or empty texts
-match nothing.  Repeated doc_ids or item_ids: the least distance of their rows counts.
+Items are taken in blocks of a stated number of words, one block after the other, so that what the driver and a task
+hold is bounded but for a single item.  Null or empty texts match nothing.  Repeated doc_ids or item_ids: the least
+distance of their rows counts.
 """
 
 from __future__ import annotations
@@ -76,29 +78,54 @@ class Items:
             h, item, pos = map(np.concatenate, (h, item, pos))
             order = np.argsort(h, kind="stable")
             self.runs[int(width)] = h[order], item[order], pos[order]
-        steps = max(1, 2 * int(self.n.max())) if len(self.n) else 1
-        self.steps = np.maximum(1, (1.9 * self.n).astype(np.int64))
+        self._classes()
+
+    def _classes(self) -> None:
+        """Length classes, and the tables: sorted keys of all walks and samples, each with its item."""
+        self.group, self.least = np.zeros(len(self.n), dtype=np.int64), []
+        for i in np.argsort(self.n, kind="stable"):
+            if not self.least or self.n[i] > self.least[-1] * 8 / 7:
+                self.least.append(int(self.n[i]))
+            self.group[i] = len(self.least) - 1
         rng = np.random.default_rng(7)
-        self.walks = rng.integers(1, 1 << 63, (WALKS, steps), dtype=np.uint64) | _U(1)
+        longest = steps(self.least[-1]) if self.least else 1
+        self.walks = rng.integers(1, 1 << 63, (WALKS, longest), dtype=np.uint64) | _U(1)
         self.where = rng.random((WALKS, SAMPLES, POSITIONS))
-        self.embedded = [self._embed(w) for w in range(WALKS)]
-
-    def masks(self, walk: int, n_steps: int) -> np.ndarray:
-        """For each step, the samples that hold its position, as bits."""
-        at = (self.where[walk] * n_steps).astype(np.int64)
-        out = np.zeros(n_steps, dtype=_U)
-        for s in range(SAMPLES):
-            out[at[s]] |= _U(1) << _U(s)
-        return out
-
-    def _embed(self, walk: int) -> np.ndarray:
-        out = np.zeros((len(self.n), self.walks.shape[1]), dtype=_U)
-        p = np.zeros(len(self.n), dtype=np.int64)
-        for j in range(out.shape[1]):
-            sym = np.array([x[a] if a < len(x) else 0 for x, a in zip(self.words, p, strict=True)], dtype=_U)
-            out[:, j] = sym
-            p += ((sym * self.walks[walk, j]) >> _U(63)).astype(np.int64)
-        return out
+        keys, items = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for c, n in enumerate(self.least):
+            own = np.flatnonzero(self.group == c)
+            h = np.concatenate([self.words[i][:n] for i in own])
+            for k in self.keys(c, h, np.arange(len(own)) * n, np.arange(1, len(own) + 1) * n):
+                keys.append(k)
+                items.append(own)
+        key, item = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(key, kind="stable")
+        self.key, self.item = key[order], item[order]
+        self.there = np.zeros(1 << 22, dtype=bool)
+        self.there[(key >> _U(42)).astype(np.int64)] = True
+
+    def keys(self, c: int, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+        """The keys of windows of class c, sample by sample; start: of each in the words h; end: where its row ends."""
+        n = self.least[c]
+        size = np.minimum(n, end - start)
+        mult = words.seeded(12, POSITIONS) | _U(1)
+        for walk in range(WALKS):
+            at = (self.where[walk] * steps(n)).astype(np.int64)
+            seen = np.zeros((steps(n), len(start)), dtype=_U)
+            p = np.zeros(len(start), dtype=np.int64)
+            for j in range(steps(n)):
+                sym = np.where(p < size, h[np.minimum(start + p, len(h) - 1)], _U(0))
+                seen[j] = sym
+                p += ((sym * self.walks[walk, j]) >> _U(63)).astype(np.int64)
+            for s in range(SAMPLES):
+                total = np.full(len(start), (c * WALKS + walk) * SAMPLES + s, dtype=_U)
+                for m, j in zip(mult, at[s], strict=True):
+                    total = words.mix(total + seen[j] * m)
+                yield total
+
+
+def steps(n: int) -> int:
+    return max(1, int(1.9 * n))
 
 
 def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +140,7 @@ def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(items: Items, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start) of the windows that shared runs align; a start may lie before its row's first word."""
+    """(class, start) of the windows that shared runs align; a passage cut off at its row's start begins there."""
     found = []
     for width, (runs, item, pos) in items.runs.items():
         g = run_hashes(h, width)
@@ -127,41 +154,29 @@ def windows(items: Items, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
         count = hi - lo
         which = np.repeat(np.arange(len(at)), count)
         entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        found.append(np.stack([item[entry], at[which] - pos[entry], row[at[which]]], axis=1))
+        found.append(np.stack([items.group[item[entry]], at[which] - pos[entry], row[at[which]]], axis=1))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     out = np.unique(np.concatenate(found), axis=0)
-    first = np.searchsorted(row, out[:, 2])
-    out[:, 1] = np.maximum(out[:, 1], first)  # of a passage cut off at the start, what there is
+    out[:, 1] = np.maximum(out[:, 1], np.searchsorted(row, out[:, 2]))
     out = np.unique(out[:, :2], axis=0)
     return out[:, 0], out[:, 1]
 
 
-def agree(items: Items, h: np.ndarray, end: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether a window's bit samples agree with its item's; end: of each window's row, in words."""
-    out = np.zeros(len(item), dtype=bool)
-    n = np.minimum(items.n[item], end - start)
-    lengths, kind = np.unique(items.steps[item], return_inverse=True)
-    for walk in range(WALKS):
-        masks = np.zeros((len(lengths), items.walks.shape[1]), dtype=_U)
-        for i, steps in enumerate(lengths):
-            masks[i, :steps] = items.masks(walk, int(steps))
-        live = np.flatnonzero(~out)
-        alive = np.full(len(live), ~_U(0))
-        p = np.zeros(len(live), dtype=np.int64)
-        for j in range(int(lengths[-1]) if len(live) else 0):
-            inside = p < n[live]
-            sym = np.where(inside, h[np.minimum(start[live] + p, len(h) - 1)], _U(0))
-            differs = sym != items.embedded[walk][item[live], j]
-            alive &= ~np.where(differs, masks[kind[live], j], _U(0))
-            p += ((sym * items.walks[walk, j]) >> _U(63)).astype(np.int64)
-            if j % 8 == 7:
-                keep = alive != 0
-                live, alive, p = live[keep], alive[keep], p[keep]
-                if not len(live):
-                    break
-        out[live[alive != 0]] = True
-    return out
+def candidates(items: Items, h: np.ndarray, end: np.ndarray, group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, start) pairs that meet in a table; end: of each window's row, in words."""
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for c in np.unique(group):
+        own = np.flatnonzero(group == c)
+        for key in items.keys(int(c), h, start[own], end[own]):
+            at = np.flatnonzero(items.there[(key >> _U(42)).astype(np.int64)])
+            lo, hi = np.searchsorted(items.key, key[at], "left"), np.searchsorted(items.key, key[at], "right")
+            count = hi - lo
+            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            if len(entry):
+                found.append(np.unique(np.stack([items.item[entry], start[own][np.repeat(at, count)]], axis=1), axis=0))
+    out = np.unique(np.concatenate(found), axis=0)
+    return out[:, 0], out[:, 1]
 
 
 def distance(a: np.ndarray, text: np.ndarray) -> int:
@@ -198,14 +213,14 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     def run(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for ids, h, row in pools(parted):
-            item, start = windows(own, h, row)
-            if not len(item):
+            group, start = windows(own, h, row)
+            if not len(group):
                 continue
             cut = np.searchsorted(row, np.arange(len(ids) + 1))
-            ok = agree(own, h, cut[row[start] + 1], item, start)
+            item, start = candidates(own, h, cut[row[start] + 1], group, start)
             best: dict[tuple[int, int], int] = {}
             done: dict[tuple[int, int], int] = {}
-            for i, s in zip(item[ok].tolist(), start[ok].tolist(), strict=True):
+            for i, s in zip(item.tolist(), start.tolist(), strict=True):
                 r, k, n = int(row[s]), int(own.k[i]), int(own.n[i])
                 if done.get((i, r), -1) > s or best.get((r, i)) == 0:
                     continue  # a stretch compared before holds this one
@@ -233,6 +248,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
         own = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), ratio)
         part = _search(docs, own)
+        if blocks > 1:
+            part = shared.materialize(part)
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("item_words").alias("item_words"))
 
