@@ -61,7 +61,7 @@ def test_jaccard_runs_reach_the_recall_at_full_depth():
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_line_dedup(spark, empty):
-    rows = [] if empty else awkward()[:9] + [(12, "\n".join(" ".join(f"l{j + k}" for j in range(30)) for k in range(6)), "p")]
+    rows = [] if empty else [r for r in awkward() if r[0] not in (None, 9)] + [(12, "\n".join(" ".join(f"l{j + k}" for j in range(30)) for k in range(6)), "p")]
     got = {(r.doc, r.line) for r in lines.later_matches(docs_of(spark, rows)).collect()}
     seen, want = [], set()
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
@@ -170,7 +170,9 @@ def test_quality_on_held_out_labels(spark):
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, sf).withColumnRenamed("toxic", "flag").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").collect()
-    assert np.mean([r.flag == r.toxic for r in rows]) > 0.9
+    assert np.mean([r.flag == r.toxic for r in rows]) > 0.98
+    found = sum(r.flag * r.toxic for r in rows)
+    assert found >= 0.9 * sum(r.toxic for r in rows) and found >= 0.9 * sum(r.flag for r in rows)
 
 
 def test_mixing_meets_its_rates(spark):
@@ -290,6 +292,207 @@ def test_lm_gradient_equals_finite_differences():
             assert math.isclose((loss(up) - loss(down)) / 0.02, grad[i], rel_tol=0.05, abs_tol=2e-4)
 
 
+def edit_distance(a, b):
+    """Least edits between a and any stretch of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(60)]
+    items = {i: list(rng.choice(vocab, n)) for i, n in enumerate((1, 3, 7, 8, 12, 12, 25, 40, 90))}
+    items[20] = list(items[6])
+    rows = [(0, None), (1, ""), (2, " ".join(f"k{i % 997}x{i}" for i in range(30_000)) + " " + " ".join(items[7]))]
+    for d in range(3, 40):
+        words_ = list(rng.choice(vocab, 30))
+        part = list(items[int(rng.choice(list(items)))])
+        for _ in range(int(rng.integers(0, 1 + len(part) // 4))):
+            at = int(rng.integers(len(part)))
+            part[at : at + 1] = [[], ["q"], [part[at], "q"]][int(rng.integers(3))]
+            part = part or ["q"]
+        rows.append((d, " ".join(words_[:15] + part + words_[15:])))
+    rows += [(3, rows[5][1]), (None, rows[5][1])]  # a repeated doc_id and none
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(6, "zz " * 9), (None, "v1"), (30, None)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for d, t in rows:
+        for i, w in [*items.items(), (6, ["zz"] * 9)]:
+            if d is not None and t:
+                e = edit_distance(w, WORD.findall(t))
+                if e <= decontam.edits(len(w)):
+                    want[d, i] = min(e, want.get((d, i), e))
+    got = {(r.doc_id, r.item_id): r.edits for r in decontam.matches(docs, bench).collect()}
+    assert got == want and any(e > 0 for e in got.values())
+
+
+def test_decontamination_recall_at_the_largest_distance(spark):
+    rng = np.random.default_rng(9)
+    rows, items = [], []
+    for i in range(160):
+        n = int(rng.choice([8, 10, 20, 30, 60]))
+        item = [f"a{i}w{j}" for j in range(n)]
+        near = list(item)
+        for e in range(decontam.edits(n)):
+            at = int(rng.integers(len(near)))
+            near[at : at + 1] = [[], [f"z{i}e{e}"], [near[at], f"z{i}e{e}"]][int(rng.integers(3))]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join([f"d{i}k{j}" for j in range(20)] + near + [f"e{i}k{j}" for j in range(20)])))
+    got = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).filter("doc_id = item_id").count()
+    assert got >= 0.99 * len(rows)
+
+
+def test_mixing_takes_any_column_name_and_large_rates(spark):
+    rows = [(i, "x" * 10, "a", 1, 2, 3) for i in range(50)] + [(99, "y", "b", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cdf int, Copy int, n_copies int")
+    out = mixing.copies(docs, {"a": 1.0, "b": 1.0})
+    assert out.columns == ["doc_id", "text", "source", "cdf", "copy", "n_copies", "shuffle_key"]
+    got = out.groupBy("source").agg(F.count("*").alias("n"), F.max("copy").alias("most")).collect()
+    assert {r.source: abs(r.n / (250.5 if r.source == "b" else 25.05) - 1) < 0.5 for r in got} == {"a": True, "b": True}
+
+
+def test_maxscore_with_large_components(spark):
+    v = [[1e7, -2.0, 0.5], [1.1e7, 1.0, -0.25], [9e6, 0.0, 1.0], [-1e7, 5.0, 0.0], [1e7, 1.0, 0.1]]
+    q = maxscore.quantised(spark.createDataFrame([(i * 50, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    x = [[math.floor(256 * c) for c in r] for r in v]
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in maxscore.top_k(q, q, 2).collect()}
+    for i in range(5):
+        s = sorted((-sum(a * b for a, b in zip(x[i], x[j])), j * 50) for j in range(5) if j != i)[:2]
+        assert [got[i * 50, k + 1] for k in range(2)] == [(j, -n) for n, j in s]
+    huge = maxscore.quantised(spark.createDataFrame([(0, [1e15]), (50, [1e15])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        maxscore.top_k(huge, huge).collect()
+
+
+def test_sparse_maxscore_traverses_essential_postings(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 24)).round(2) * (rng.random((6000, 24)) < 0.1)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    q = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in maxscore.top_k(q, q.filter("id % 600 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    x = np.floor(256 * v).astype(np.int64)
+    for i in range(0, 6000, 600):
+        s = sorted((-int(n), j) for j, n in enumerate(x @ x[i]) if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -n) for k, (n, j) in enumerate(s)]
+
+
+def test_jaccard_with_every_bucket_split(spark):
+    docs = docs_of(spark, awkward())
+    rows = lambda **how: sorted(map(tuple, jaccard.classes(docs, **how).collect()))
+    assert rows(limit=1, depth=3) == rows()
+    with pytest.raises(RuntimeError, match="settled"):
+        jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_archives_of_many_members_and_large_pages(spark, tmp_path):
+    import gzip
+
+    records = b"".join(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" % i) for i in range(5))
+    (tmp_path / "part-0.gz").write_bytes(records)
+    (tmp_path / "part-1.gz").write_bytes(records[:-20])
+    assert warc.read(spark, str(tmp_path)).count() == 9
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('abcdefghij', 5000000)").alias("html")).union(spark.range(10, 200).selectExpr("id", "'u'", "concat('p', id)"))
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == 193 and got[2].payload_bytes == 50_000_000 and got[0].refers_to == 2 and got[0].record_type == "revisit"
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_long_url_lists_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.example.org/en/1x"), (2, "https://x.org/"), (3, None), (3, "http://s.com/de/")], "page_id long, url string")
+    rows = lambda: sorted(map(str, urls.judge(pages, queries.RULES).collect()))
+    want = rows()
+    monkeypatch.setattr(urls, "MOST_BITS", 1)
+    assert rows() == want
+
+
+def test_quality_risk_gradient_and_prior():
+    rng = np.random.default_rng(10)
+    p, u, w = rng.normal(size=(40, 5)), rng.normal(size=(60, 5)), rng.normal(size=5)
+    for risk in (quality.apart, lambda w, p, u: quality.pu_risk(w, p, u, 0.3)):
+        value, grad = risk(w, p, u)
+        for i in range(5):
+            e = np.eye(5)[i] * 1e-6
+            assert math.isclose((risk(w + e, p, u)[0] - risk(w - e, p, u)[0]) / 2e-6, grad[i], rel_tol=1e-4, abs_tol=1e-6)
+    value, grad = quality.pu_risk(w * 9, p, -p, 0.99)  # the negative part is below zero here
+    fp, fu = p @ (w * 9), -p @ (w * 9)
+    if np.logaddexp(0, fu).mean() < 0.99 * np.logaddexp(0, fp).mean():
+        assert math.isclose(value, 0.99 * np.logaddexp(0, -fp).mean())
+    score = lambda n, good: np.bincount(np.clip((rng.normal(0.8 if good else 0.2, 0.1, n) * quality.BINS), 0, quality.BINS - 1).astype(int), minlength=quality.BINS)
+    assert abs(quality.least_ratio(score(2000, True), score(600, True) + score(1400, False)) - 0.3) < 0.04
+
+
+def test_quality_prior_needs_no_negatives(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ones = labels.filter("quality = 1").select(F.col("doc_id").alias("id"), F.lit(1).alias("label"))
+    a = quality.train(docs, ones)
+    b = quality.train(docs, ones.unionByName(docs.select("id", F.lit(0).alias("label"))))
+    assert (a["w"] == b["w"]).all() and abs(a["prior"][0] - labels.agg(F.avg("quality")).first()[0]) < 0.06
+
+
+def test_awkward_rows_of_fitted_models(spark):
+    rows = awkward()
+    docs = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    labels = spark.createDataFrame([(1, 1), (9, 1), (3, 0), (None, 1), (2, None)], "id long, label int")
+    s = quality.score(docs, quality.train(docs, labels), "text", "s").collect()
+    assert len(s) == len(rows) and all(0 <= r.s <= 1 for r in s)
+    from shotline.llm import toxicity
+
+    kinds = spark.createDataFrame([(1, 1, 0), (9, 0, 1), (9, 1, None), (3, 0, 0), (None, 1, 1)], "id long, a int, b int")
+    for data in (docs, docs.limit(0)):
+        models = toxicity.train(data, kinds, ["a", "b"])
+        out = toxicity.score(docs, models, ["a", "b"]).collect()
+        assert len(out) == len(rows) and all(0 <= r.p_a <= 1 and 0 <= r.p_b <= 1 for r in out)
+    again = [toxicity.score(docs, toxicity.train(docs.repartition(n), kinds, ["a", "b"]), ["a", "b"]).orderBy("id", "p_b").collect() for n in (1, 7)]
+    assert again[0] == again[1]
+
+
+def test_lm_takes_empty_tables_and_awkward_rows(spark):
+    assert lm.score(docs_of(spark, [])).count() == 0
+    got = lm.score(docs_of(spark, [(4, None, "p"), (None, None, "p"), (4, "", "p")])).collect()
+    assert len(got) == 3 and all(r.n_tokens == 1 and r.score <= 0 for r in got)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    texts = ["\n".join(" ".join(f"{c}{k}w{j}" for j in range(12)) for k in range(3)) for c in "abcdefg"]
+    texts[1] = texts[0].replace("a0w0", "x") + "\n" + texts[1]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)] + [(20, texts[2], "en", None, 1), (21, texts[6] + "\nnew line of words", "en", "s", 1), (None, texts[3], "en", "s", 1), (22, None, "en", "s", 0), (23, "", None, "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    seen, want = [], {}
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        kept = []
+        for line in (t or "").split("\n"):
+            s = frozenset(WORD.findall(line.lower()))
+            if not (s and any(sim(s, o) >= 0.8 for o in seen)):
+                kept.append(line)
+            seen.append(s)
+        if not t or "".join(kept).strip():
+            want[i] = "\n".join(kept) if t else t
+    got = {r.doc_id: r.text for r in stage["line dedup"](spark, docs, SF).collect()}
+    assert got.pop(None) == texts[3] and got == want
+    sets = {r[0]: shingle_set(r[1]) for r in rows if r[0] is not None}
+    groups = {i: min(j for j in sets if i == j or sim(sets[i], sets[j]) >= 0.8) for i in sets}
+    got = [r.doc_id for r in stage["near duplicates"](spark, docs, SF).collect()]
+    assert sorted(x for x in got if x is not None) == sorted(set(groups.values())) and None in got
+    (_, last) = corpus_pipeline.STAGES[-1]
+    out = last(spark, docs, SF)
+    counts = {(r.doc_id, r.copy) for r in out.collect()}
+    assert all(c == 1 or (i, c - 1) in counts for i, c in counts)
+
+
 def test_hashes_follow_words():
     import pyarrow as pa
 
