@@ -8,8 +8,8 @@ class of its own, so the classes grow with the vocabulary seen; ids never seen s
 told apart by smoothed counts.  A score is the sum of the log10 probabilities of all ids, the end included, which is a proper distribution over
 id sequences.
 
-Windows of LENGTH ids overlap by CONTEXT ids: the first CONTEXT positions of a window, but for a text's first, are
-context only, so that each id is scored once.
+To score, windows of LENGTH ids overlap by CONTEXT ids: the first CONTEXT positions of a window, but for a text's
+first, are context only, so that each id is scored once.
 
 Training: all documents to learn from, in ROUNDS parts; in each round every task starts from the same weights, takes
 Adam steps over each window of its own part once, in random order, and the weights are averaged by Spark.  So every id
@@ -46,7 +46,7 @@ ROUNDS = 3
 #: Windows of a step at most; a part with few windows takes smaller steps, STEPS of them at least.
 BATCH, STEPS = 384, 200
 #: Ids of the corpus for each training task, which holds a part of ROUNDS of them at once.
-IDS_A_TASK = 6_000_000
+IDS_A_TASK = 9_000_000
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -293,13 +293,13 @@ def heads(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray, grad: np.ndarr
     return out, dg
 
 
-def windows(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first target's number, whether it is its text's first) of the windows of all texts."""
+def windows(begin: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first target's number, whether it is its text's first) of the windows of all texts, which overlap by context."""
     size = np.diff(begin)
-    count = 1 + np.maximum(0, -(-(size - LENGTH) // (LENGTH - CONTEXT)))
+    count = 1 + np.maximum(0, -(-(size - LENGTH) // (LENGTH - context)))
     text = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    return text, begin[text] + k * (LENGTH - CONTEXT), k == 0
+    return text, begin[text] + k * (LENGTH - context), k == 0
 
 
 def inputs(y: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -310,11 +310,11 @@ def inputs(y: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return x
 
 
-def cut(last: np.ndarray, first: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(last: np.ndarray, first: np.ndarray, opens: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """(target numbers, whether a target counts) of windows; last: where their texts end."""
     target = first[:, None] + np.arange(LENGTH)
     counts = target < last[:, None]
-    counts[:, :CONTEXT] &= opens[:, None]
+    counts[:, :context] &= opens[:, None]
     return np.minimum(target, last[:, None] - 1, out=target), counts
 
 
@@ -340,8 +340,11 @@ def score_texts(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: C
 
 
 def learn(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes, rate: float, seed: int) -> np.ndarray:
-    """Weights after Adam steps over all windows of these texts, each taken once, in random order."""
-    text, first, opens = windows(begin)
+    """Weights after Adam steps over all windows of these texts, each taken once, in random order.
+
+    To learn from, windows don't overlap: all their ids are targets.
+    """
+    text, first, opens = windows(begin, 0)
     last, y = begin[text + 1], classes.of[ids]
     x = inputs(y, begin)
     order = np.random.default_rng(seed).permutation(len(text))
@@ -352,7 +355,7 @@ def learn(flat: np.ndarray, ids: np.ndarray, begin: np.ndarray, classes: Classes
     p, grad = parts(flat), np.zeros_like(flat)
     for step in range(1, steps + 1):
         own = order[(step - 1) * batch : step * batch]
-        target, counts = cut(last[own], first[own], opens[own])
+        target, counts = cut(last[own], first[own], opens[own], 0)
         grad[:] = 0
         kept = forward(p, x[target])
         _, below = heads(p, kept[-1][counts], y[target[counts]], grad)
@@ -445,9 +448,9 @@ def train(docs: DataFrame, n_ids: int, classes: Classes, path: str) -> np.ndarra
                 found = list(Words(pa.chunked_array(texts).combine_chunks()).sequences(path))
                 ids, begin = np.concatenate([x[2] for x in found]), np.append(0, np.cumsum(np.concatenate([np.diff(x[3]) for x in found])))
                 new = learn(sent.value, ids, begin, tables.value, 0.02 / (step + 1), step)
-                yield pa.record_batch({"i": pa.array(np.arange(len(new), dtype=np.int32)), "w": pa.array(new.astype(np.float64))})
+                yield pa.record_batch({"i": pa.array(np.arange(len(new), dtype=np.int32)), "w": pa.array(new)})
 
-        table = docs.filter(~F.col("held") & part).select("text").repartition(tasks).mapInArrow(run, "i int, w double").groupBy("i").agg(F.avg("w").alias("w")).toArrow()
+        table = docs.filter(~F.col("held") & part).select("text").repartition(tasks).mapInArrow(run, "i int, w float").groupBy("i").agg(F.avg("w").alias("w")).toArrow()
         if table.num_rows:
             flat = np.zeros_like(flat)
             flat[np.asarray(table.column("i"))] = np.asarray(table.column("w"))

@@ -65,7 +65,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(_table(spark, sf_dir, "documents"))
+    numbers = F.array_join(F.transform("removed_lines", lambda n: n.cast("string")), ",")
+    return lines.report(_table(spark, sf_dir, "documents")).withColumn("removed_lines", numbers)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +138,18 @@ SQL: dict[str, str] = {
         l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
         k AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AS again FROM l)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM k""",
+    "op8_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS n FROM documents WHERE doc_id IS NOT NULL),
+        w AS (SELECT doc_id, n, list_sort(list_distinct({_WORDS.format("line")})) AS s FROM l),
+        k AS (SELECT doc_id, n, s, md5(array_to_string(s, ' ')) AS id FROM w WHERE len(s) > 0),
+        u AS (SELECT id, any_value(s) AS s, len(any_value(s)) AS size, min({{'doc': doc_id, 'n': n}}) AS first FROM k GROUP BY id),
+        e AS (SELECT id, size, unnest(s) AS word FROM u), d AS (SELECT word, count(*) AS c FROM e GROUP BY word),
+        o AS (SELECT id, size, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS pos FROM e JOIN d USING (word)),
+        p AS (SELECT * FROM o WHERE pos <= size - ceil(0.8 * size - 1e-9) + 1),
+        m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND a.id <> b.id AND a.size >= 0.8 * b.size - 1e-9 AND b.size >= 0.8 * a.size - 1e-9),
+        late AS (SELECT DISTINCT x.id FROM m JOIN u x ON x.id = m.a JOIN u y ON y.id = m.b WHERE y.first < x.first AND len(list_intersect(x.s, y.s)) >= 0.8 * (x.size + y.size - len(list_intersect(x.s, y.s))) - 1e-9),
+        g AS (SELECT k.doc_id, k.n FROM k JOIN u USING (id) WHERE k.id IN (SELECT id FROM late) OR {{'doc': k.doc_id, 'n': k.n}} > u.first),
+        r AS (SELECT doc_id, list(DISTINCT n ORDER BY n) AS removed FROM g GROUP BY doc_id)
+        SELECT t.doc_id, t.n_lines, coalesce(len(r.removed), 0)::INTEGER AS n_removed, coalesce(array_to_string(r.removed, ','), '') AS removed_lines
+        FROM (SELECT doc_id, max(len(string_split(coalesce(text, ''), chr(10))))::INTEGER AS n_lines FROM documents GROUP BY doc_id) t LEFT JOIN r USING (doc_id)""",
 }
