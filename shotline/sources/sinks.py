@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.operators.search import checkpoint
 from shotline.sources.files import schema_violations
 
 
@@ -51,9 +52,7 @@ def upsert(points: DataFrame, path: str, dim: int | None = None, by: str = "sour
     if old is not None:
         touched = once.select(by).distinct()
         old = old.withColumn(by, F.col(by).cast(once.schema[by].dataType)).join(touched, by, "left_semi")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        once = merged(old, once, key).checkpoint(eager=True)
+        once = checkpoint(merged(old, once, key))
     once.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
