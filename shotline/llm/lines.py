@@ -4,7 +4,7 @@ A line is a piece of a text between line feeds; its set is its distinct words (s
 earlier line of the corpus, by (doc_id, line number), has a Jaccard similarity of at least 0.8 with it.  Lines
 without a word always stay; those with fewer than least distinct words too, but report and dedup take all.
 
-Words are ordered by rarity (counts over all documents, in a table of fixed size; equal counts by hash), so that
+Words are ordered by rarity (counts over all documents, of hash classes that grow with them; equal counts by hash), so that
 similar lines share a word among the first |x| - ceil(0.8 |x|) + 1 of each.  Lines that share such a word are
 candidates if length, position and a 128-bit parity signature allow the similarity; all tests are lossless.  Sets too
 small to be similar to any but an equal one (up to three words at 0.8) need no candidates: equal sets are one set.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from shotline.llm import setjoin, shared, words
 
-COUNTERS = 1 << 17
+#: Classes of words that are counted, at least and at most: four documents a class between the two.
+COUNTERS = (1 << 17, 1 << 24)
 ENTRY = np.dtype([("node", "<u4"), ("size", "<u2"), ("pos", "<u2"), ("set", "<u8"), ("bits", "<u8", (2,))])
 #: Lines under one word that a task takes at most; words with more are dealt out as pairs of blocks.
 NODE_LINES = 100_000
@@ -63,17 +64,21 @@ def _each(parted: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.nda
 
 
 def word_counts(docs: DataFrame, least: int) -> np.ndarray:
-    """In how many lines the words of each of COUNTERS hash classes are."""
+    """In how many lines the words of each hash class are; the number of classes is a power of two."""
+    classes = COUNTERS[0]
+    n = docs.count()
+    while classes < min(COUNTERS[1], n // 4):
+        classes *= 2
 
     def count(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(classes, dtype=np.int64)
         for _, x in _each(parted, least):
-            total += np.bincount((x.hash & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount((x.hash & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
         at = np.flatnonzero(total)
         yield pa.record_batch({"k": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     table = docs.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, dtype=np.int64)
+    out = np.zeros(classes, dtype=np.int64)
     out[np.asarray(table.column("k"))] = np.asarray(table.column("n"))
     return out
 
@@ -86,7 +91,7 @@ def _prefixes(x: Lines, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.nd
     bits = np.zeros((len(x.set), 2), dtype=np.uint64)
     place = words.mix(x.hash) >> np.uint64(57)
     np.bitwise_xor.at(bits, (x.index, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-    n = counts[(x.hash & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    n = counts[(x.hash & np.uint64(len(counts) - 1)).astype(np.int64)]
     order = words.order_by_row(x.index, np.minimum(n, (1 << 22) - 1).astype(np.uint64) << np.uint64(42), x.hash)
     node = ((x.hash >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[order]
     pos = np.arange(len(order)) - x.first[x.index]

@@ -17,8 +17,8 @@ from shotline.llm import shared
 
 #: Sets that one task compares with each other at most; larger groups are dealt out as pairs of blocks.
 BLOCK = 2048
-#: Bits of the filter that spares sets outside all groups the shuffle; its size is fixed, and an exact join follows.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares sets outside all groups the shuffle, at least and at most; an exact join follows.
+FILTER_BITS = (1 << 24, 1 << 28)
 
 GROUP = np.dtype([("comp", "<u8"), ("set", "<u8")])
 POPCOUNT = np.bitwise_count
@@ -52,17 +52,20 @@ def similar(tokens: list[np.ndarray], least: float) -> Iterator[tuple[int, int,
 
 
 def presence_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with a bit set for each value; its size doesn't depend on the data."""
-    bits = df.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("x"))
-    words = bits.select(F.expr("cast(x div 64 as int) as w"), F.expr("shiftleft(1L, cast(x % 64 as int)) as b"))
+    """A bitmap with a bit set for each value: eight bits a row, within FILTER_BITS."""
+    bits, n = FILTER_BITS[0], df.count()
+    while bits < min(FILTER_BITS[1], 8 * n):
+        bits *= 2
+    low = df.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("x"))
+    words = low.select(F.expr("cast(x div 64 as int) as w"), F.expr("shiftleft(1L, cast(x % 64 as int)) as b"))
     table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(bits // 64, dtype=np.int64)
     out[np.asarray(table.column("w"))] = np.asarray(table.column("b"))
     return out.view(np.uint64)
 
 
 def maybe_in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & np.uint64(FILTER_BITS - 1)
+    at = values & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
