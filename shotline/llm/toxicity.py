@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in a stated order by linear models on the presence of words and word beginnings; each model
+Categories are predicted in a stated order by linear models on counts of words and word beginnings; each model
 also gets the probabilities of the categories before it.  When a later model learns, these probabilities come from
 folds that left the document out, so that it sees what it will see in use.  Each model picks the features with the
 largest chi-squared statistic in its training rows and fits logistic regression with an L1 penalty to them.
@@ -28,7 +28,7 @@ FOLDS = 5
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the distinct words and word beginnings, sorted by row."""
+    """(row, feature) of the words and word beginnings, sorted by row."""
     rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for b in words.batches(texts):
         found_here, rows_here = [b.hash], [b.row]
@@ -37,7 +37,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             stem = words.hash_spans(b.buf, b.starts[long], b.starts[long] + size)
             found_here.append(words.mix(stem + np.uint64(size)))
             rows_here.append(b.row[long])
-        h, row = words.distinct(np.concatenate(found_here) % np.uint64(DIM), np.concatenate(rows_here))
+        h, row = np.concatenate(found_here) % np.uint64(DIM), np.concatenate(rows_here)
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
         rows.append(row + b.first)
         found.append(h.astype(np.int64))
     return np.concatenate(rows), np.concatenate(found)
@@ -56,13 +58,14 @@ def _fit(row: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray,
     where = np.full(DIM, -1, dtype=np.int64)
     where[chosen] = np.arange(len(chosen))
     own = where[feature] >= 0
-    r, f = row[own], where[feature[own]]
+    cell = row[own].astype(np.int64) * len(chosen) + where[feature[own]]
+    x = np.bincount(cell, minlength=n * len(chosen)).astype(np.float32).reshape(n, -1)  # at most the sample's documents by keep features
     w, e, b = np.zeros(len(chosen)), np.zeros(extra.shape[1]), float(np.log(ones / max(1.0, n - ones)))
     gw, ge, gb = np.full(len(chosen), 1e-8), np.full(extra.shape[1], 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(r, weights=w[f], minlength=n) + extra @ e + b
+        z = x @ w.astype(np.float32) + extra @ e + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        dw, de, db = np.bincount(f, weights=error[r], minlength=len(chosen)), extra.T @ error, float(error.sum())
+        dw, de, db = error.astype(np.float32) @ x, extra.T @ error, float(error.sum())
         gw, ge, gb = gw + dw * dw, ge + de * de, gb + db * db
         step = 0.6 / np.sqrt(gw)
         w = w - step * dw
