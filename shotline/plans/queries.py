@@ -82,8 +82,10 @@ def knn_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2, with so many probes that at least 0.9 of the exact best ten are found."""
-    return search.knn_cells(vectors(spark, sf_dir), frames(spark, sf_dir), 10, 16, 13).select("query_id", "point_id", r6("score"), "rank")
+    """J2, with so many probes that at least 0.9 of the exact best ten are found; cells grow with the frames."""
+    f = frames(spark, sf_dir)
+    cells = max(16, f.count() // 65_536)
+    return search.knn_cells(vectors(spark, sf_dir), f, 10, cells, -(-cells * 13 // 16)).select("query_id", "point_id", r6("score"), "rank")
 
 
 def clip_search(spark: SparkSession, sf_dir: str) -> DataFrame:
