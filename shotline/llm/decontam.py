@@ -37,7 +37,7 @@ from shotline.llm import shared, words
 RATIO = 0.2
 SHORT = 8
 WALKS = 6
-SAMPLES = 64
+SAMPLES = 48
 POSITIONS = 3
 BLOCK_WORDS = 200_000
 #: Words of documents that are searched at once.
@@ -120,8 +120,8 @@ class Items:
             for s in range(SAMPLES):
                 total = np.full(len(start), (c * WALKS + walk) * SAMPLES + s, dtype=_U)
                 for m, j in zip(mult, at[s], strict=True):
-                    total = words.mix(total + seen[j] * m)
-                yield total
+                    total += seen[j] * m
+                yield words.mix(total)
 
 
 def steps(n: int) -> int:
