@@ -202,7 +202,7 @@ def temporal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(3):
         hits = search.knn(ev.filter(F.col("event") == i), f, 40).withColumn("score", F.round(1.0 / (60 + F.col("rank")), 9))
         lists.append(hits.join(f.select("point_id", "source_file", "frame_idx"), "point_id"))
-    return temporal.step_chain(lists).select("query_id", "source_file", r6("score"), F.concat_ws(",", F.transform("frames", lambda x: x.cast("string"))).alias("frames"), "rank")
+    return temporal.step_chain(temporal.in_every_step(lists)).select("query_id", "source_file", r6("score"), F.concat_ws(",", F.transform("frames", lambda x: x.cast("string"))).alias("frames"), "rank")
 
 
 def event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

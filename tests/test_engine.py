@@ -382,8 +382,8 @@ def test_scores_and_failures(spark):
     found = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 1)], "query_id int, source_file string, rank int")
     out = evaluate.failures(truth, found, spark.createDataFrame([(1, "a")], "query_id int, source_file string")).collect()
     assert {r.query_id: r.outcome for r in out} == {1: "solved", 2: "not_submitted", 3: "never_retrieved"}
-    on = evaluate.submissions_on_shots(spark.createDataFrame([("v", 59.0), ("v", 61.0), ("w", 1.0)], "source_file string, t double"), spark.createDataFrame([("v", "s1", 0.0, 60.0), ("v", "s2", 60.0, 200.0)], "source_file string, shot_id string, start double, end double"))
-    assert sorted((r.source_file, r.t, r.shot_id) for r in on.collect()) == [("v", 59.0, "s1"), ("v", 61.0, "s2"), ("w", 1.0, None)]
+    on = evaluate.submissions_on_shots(spark.createDataFrame([("v", 59.0), ("v", 61.0), ("v", 210.0), ("w", 1.0)], "source_file string, t double"), spark.createDataFrame([("v", "s1", 0.0, 60.0), ("v", "s2", 60.0, 200.0)], "source_file string, shot_id string, start double, end double"))
+    assert sorted((r.source_file, r.t, r.shot_id) for r in on.collect()) == [("v", 59.0, "s1"), ("v", 61.0, "s2"), ("v", 210.0, None), ("w", 1.0, None)]
     cov = evaluate.coverage(spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3)], "query_id int, source_file string, rank int")).first()
     assert cov.videos == 2 and abs(cov.duplicate_rate - 1 / 3) < 1e-9
 
