@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shotline.functions import media as M
 from shotline.functions import text as T
-from shotline.operators import evaluate, search, shots
+from shotline.operators import evaluate, search, session, shots
 from shotline.plans import oracle
-from shotline.plans.queries import _boxes, frames, placed, r6, table, vectors
+from shotline.plans.queries import _boxes, _turns, frames, placed, r6, table, vectors
 
 
 def _video(n: F.Column) -> F.Column:
@@ -118,9 +118,19 @@ def gated_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("point_id", "place", *[box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
+def rewrite_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's transcript, with feedback on some turns, before its latest query."""
+    t = _turns(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    n = F.col("turn")
+    t = t.withColumn("rejected", F.when(n % 3 == 0, F.array(F.lit("one"), F.concat(F.lit("r"), n.cast("string")))).otherwise(none)).withColumn("accepted", F.when(n % 4 == 0, F.array(F.lit("two"))).otherwise(none))
+    latest = t.groupBy("session_id").agg(F.max_by("query", "turn").alias("query"))
+    return session.rewrite_input(session.transcript(t), latest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (stitched_windows, frame_steps, shots_submitted, failure_classes, verified_scores, public_payloads, scene_events, candidate_words, keyframes_of_shots, video_search, gated_boxes)
+    for f in (stitched_windows, frame_steps, shots_submitted, failure_classes, verified_scores, public_payloads, scene_events, candidate_words, keyframes_of_shots, video_search, gated_boxes, rewrite_inputs)
 }
 
 _TIMES = """m AS (SELECT source_file, scene_id, min(timestamp) AS start, max(timestamp) AS last FROM f GROUP BY ALL),
@@ -148,6 +158,11 @@ SQL: dict[str, str] = {
         SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN said END AS said, len(list_filter({oracle._TOK.format("said")}, lambda w: NOT list_contains({oracle._STOPS}, w)))::INTEGER AS n_words FROM s""",
     "keyframes_of_shots": f"""WITH {oracle._F}, {_TIMES}, s AS (SELECT *, substr(source_file, 4, 1)::INT % 2 = 0 AS even FROM times)
         SELECT source_file, 'Shot' || scene_id || '_' AS shot_id, CASE WHEN even THEN 'k' || lpad(scene_id::VARCHAR, 4, '0') || '.jpg' WHEN scene_id % 3 = 1 THEN 'a_shot' || scene_id || '_.jpg' END AS keyframe FROM s""",
+    "rewrite_inputs": """WITH n AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS x FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        t AS (SELECT conv_id, turn, text, concat_ws(chr(10), CASE WHEN coalesce(text, '') <> '' THEN 'User: ' || text END, CASE WHEN r = 'assistant' AND coalesce(x, '') <> '' THEN 'System: ' || x END,
+              CASE WHEN turn % 3 = 0 THEN 'Operator rejected: one; r' || turn END, CASE WHEN turn % 4 = 0 THEN 'Operator confirmed: two' END) AS t FROM n WHERE role = 'user'),
+        s AS (SELECT conv_id, coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE t <> ''), '') AS said, coalesce(arg_max(text, turn), '') AS latest FROM t GROUP BY conv_id)
+        SELECT conv_id AS session_id, 'History:' || chr(10) || said || chr(10) || 'Latest Query: ' || latest || chr(10) || 'Rewritten Query:' AS input FROM s""",
     "video_search": f"""WITH {oracle._F}, s AS (SELECT query_id, point_id, round(list_cosine_similarity(q.v, f.v), 9) AS score FROM q JOIN f ON f.label = q.label),
         h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM s) {oracle._OUT} h WHERE rank <= 5""",
     "gated_boxes": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings WHERE vec_id % 3 <> 0), l AS (SELECT *, list_min(v) AS lo, list_max(v) AS hi FROM e),
