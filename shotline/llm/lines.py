@@ -63,24 +63,46 @@ def _each(parted: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.nda
             yield ids[b.first : b.last], Lines(b, least)
 
 
-def word_counts(docs: DataFrame, least: int) -> np.ndarray:
-    """In how many lines the words of each hash class are; the number of classes is a power of two."""
-    classes = COUNTERS[0]
-    n = docs.count()
+TALLY = np.dtype([("k", "<i4"), ("n", "<i8")])
+
+
+def line_rows(docs: DataFrame, least: int, paired: int) -> tuple[DataFrame, np.ndarray]:
+    """((set, doc, line) of every line with at least least distinct words, word counts), from one pass over the texts.
+
+    Word counts: in how many lines of at least paired distinct words the words of each hash class are; the number of
+    classes is a power of two.
+    """
+    classes, n = COUNTERS[0], docs.count()
     while classes < min(COUNTERS[1], n // 4):
         classes *= 2
+    schema = pa.schema([("set", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("tally", pa.binary())])
 
-    def count(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes, dtype=np.int64)
-        for _, x in _each(parted, least):
-            total += np.bincount((x.hash & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+        for ids, x in _each(parted, least):
+            words_of = x.hash[np.repeat(x.size >= paired, x.size)]
+            total += np.bincount((words_of & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+            yield pa.record_batch([shared.u64(x.set), pa.array(ids[x.row]), pa.array(x.line.astype(np.int32)), pa.nulls(len(x.set), pa.binary())], schema=schema)
+        at = np.flatnonzero(total)
+        tally = np.zeros(len(at), dtype=TALLY)
+        tally["k"], tally["n"] = at, total[at]
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        yield pa.record_batch([*none, pa.array([tally.tobytes()], pa.binary())], schema=schema)
+
+    def add(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes, dtype=np.int64)
+        for b in parted:
+            for x in b.column("tally"):
+                tally = np.frombuffer(x.as_py(), dtype=TALLY)
+                total[tally["k"]] += tally["n"]
         at = np.flatnonzero(total)
         yield pa.record_batch({"k": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
-    table = docs.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes, dtype=np.int64)
-    out[np.asarray(table.column("k"))] = np.asarray(table.column("n"))
-    return out
+    made = shared.materialize(docs.mapInArrow(run, "set long, doc long, line int, tally binary"))
+    table = made.filter("tally is not null").select("tally").mapInArrow(add, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(classes, dtype=np.int64)
+    counts[np.asarray(table.column("k"))] = np.asarray(table.column("n"))
+    return made.filter("tally is null").select("set", "doc", "line"), counts
 
 
 def _prefixes(x: Lines, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +168,12 @@ def smallest(t: float) -> int:
     return n
 
 
-def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
+def candidates(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
     """Groups (comp, set) of lines that may be similar; a similar pair shares a group.
 
     A group is what candidate pairs link under one word.  It is named by its sets, so that lines which meet under several
     words, without others in between, make one group.
     """
-    counts = word_counts(docs, least)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     parts = shared.partitions(docs, 64)
     pack = shared.blobs(ENTRY, parts)
@@ -199,16 +220,6 @@ def candidates(docs: DataFrame, t: float, least: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(search, "comp long, set long").distinct()
 
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(set, doc, line) of every line with at least least distinct words."""
-
-    def run(parted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _each(parted, least):
-            yield pa.record_batch({"set": shared.u64(x.set), "doc": pa.array(ids[x.row]), "line": pa.array(x.line.astype(np.int32))})
-
-    return docs.mapInArrow(run, "set long, doc long, line int")
-
-
 def _sets(docs: DataFrame, needed: np.ndarray, least: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(needed)
 
@@ -229,8 +240,8 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     """(doc long, line int) of every line that an earlier similar line makes superfluous; lines count from 0."""
     docs = shared.with_id(docs, key, text).filter(F.col("id").isNotNull())
     paired = max(least, smallest(similarity)) if similarity < 1 else least
-    groups = shared.materialize(candidates(docs, similarity, paired))
-    every = shared.materialize(line_rows(docs, least))
+    every, counts = line_rows(docs, least, paired)
+    groups = shared.materialize(candidates(docs, counts, similarity, paired))
     firsts = every.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     ours = groups.select("set").distinct()
     first = firsts.join(ours, "set", "left_semi").select("set", "first.doc", "first.line")
