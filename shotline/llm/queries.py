@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotline.llm import decontam, jaccard, lines, lm, maxscore, mixing, quality, toxicity, urls, warc
+from shotline.llm import decontam, divergence, forest, jaccard, lines, lm, maxscore, mixing, quality, toxicity, urls, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    fits = F.col("deviation") <= (1 << 63) - 1
+    return out.withColumn("deviation", F.when(fits, F.col("deviation").cast("long")).otherwise(F.raise_error(F.lit("a deviation doesn't fit a long")).cast("long")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     x.__name__: x
-    for x in (op1_maxscore, op2_jaccard_join, op3_lm_scoring, op4_quality_classifier, op5_url_filter, op6_toxicity, op7_decontamination, op8_line_dedup, op9_mixing, op10_warc, pipeline)
+    for x in (op1_maxscore, op2_jaccard_join, op3_lm_scoring, op4_quality_classifier, op5_url_filter, op6_toxicity, op7_decontamination, op8_line_dedup, op9_mixing, op10_warc, op11_embedding_whitening, op12_source_divergence, op13_nearest_neighbours, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+')"
@@ -152,4 +166,21 @@ SQL: dict[str, str] = {
         r AS (SELECT doc_id, list(DISTINCT n ORDER BY n) AS removed FROM g GROUP BY doc_id)
         SELECT t.doc_id, t.n_lines, coalesce(len(r.removed), 0)::INTEGER AS n_removed, coalesce(array_to_string(r.removed, ','), '') AS removed_lines
         FROM (SELECT doc_id, max(len(string_split(coalesce(text, ''), chr(10))))::INTEGER AS n_lines FROM documents GROUP BY doc_id) t LEFT JOIN r USING (doc_id)""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (SELECT lang, source, row_number() OVER () AS id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM d),
+        e AS (SELECT lang, source, id, unnest(ws) AS term FROM w),
+        k AS (SELECT lang, term, count(*) AS lc FROM e GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS c FROM e JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        l AS (SELECT lang, count(*) AS v, sum(lc) AS n FROM k GROUP BY lang),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        f AS (SELECT gn.lang, gn.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 5)) // (gn.n + 5 * l.v) AS p, 1 + (1000000000 * (k.lc + 5)) // (l.n + 5 * l.v) AS q
+              FROM gn JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE c > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 50""",
 }
