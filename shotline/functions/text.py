@@ -40,10 +40,18 @@ def candidate_text(text_blob: Column, caption: Column, narrative: Column, ocr: C
     return F.lower(F.coalesce(F.nullif(text_blob, F.lit("")), parts))
 
 
+def words(text: Column) -> Column:
+    """Words of two letters or more, in lower case, as often as they occur."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.filter(found, lambda w: F.length(w) >= 2)
+
+
 def tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Distinct words of two letters or more that aren't stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2)), F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)]).cast("array<string>"))
+    stop = STOP_WORDS if stop is None else stop
+    if not stop:
+        return F.array_distinct(words(text))
+    return F.array_except(words(text), F.array(*[F.lit(w) for w in stop]))  # a set already
 
 
 def frame_name(frame_idx: Column, timestamp: Column) -> Column:

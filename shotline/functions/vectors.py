@@ -10,6 +10,13 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def usable(v: Column, dim: Column | int | None = None) -> Column:
+    """Whether a vector is there, has dim components if that is given, and all of them are finite numbers."""
+    finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    sized = F.lit(True) if dim is None else F.size(v) == dim
+    return F.coalesce(v.isNotNull() & sized & finite, F.lit(False))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -17,23 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotline.functions import text as T
-from shotline.operators import evaluate, fuse, search, session, temporal
+from shotline.operators import evaluate, fuse, postings, search, session, temporal
 from shotline.operators.search import ranked
 
 Model = Callable[[DataFrame], DataFrame]
 PLACE = ["point_id", "source_file", "frame_idx", "scene_id", "timestamp"]
 
 
-def hybrid(queries: DataFrame, frames: DataFrame, k: int) -> DataFrame:
+def hybrid(queries: DataFrame, frames: DataFrame, index: postings.Index, k: int) -> DataFrame:
     """A2: the k best by vector and the first k by text, fused."""
-    return fuse.rrf([search.knn(queries, frames, k), search.token_match(queries, frames, k)], ["dense", "token"])
+    return fuse.rrf([search.knn(queries, frames, k), postings.match(index, queries, k)], ["dense", "token"])
 
 
 def retrieve(queries: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     """The nested fusion of both texts' hybrid searches and the second model, with the frames' places."""
     hyde = queries.select("query_id", F.col("hyde_vector").alias("vector"), F.col("hyde_text").alias("text"))
     second = search.knn(queries, frames, k, "second", "second")
-    fused = fuse.rrf([hybrid(queries, frames, k), hybrid(hyde, frames, k), second], ["query", "hyde", "secondary"])
+    index = postings.build(frames)
+    fused = fuse.rrf([hybrid(queries, frames, index, k), hybrid(hyde, frames, index, k), second], ["query", "hyde", "secondary"])
     return fused.join(frames.select(*PLACE), "point_id")
 
 
@@ -51,8 +52,7 @@ def questions(hits: DataFrame, media: DataFrame, answer: Model) -> DataFrame:
 def sequences(queries: DataFrame, hits: DataFrame, events: DataFrame, frames: DataFrame, videos: int = 20) -> DataFrame:
     """Type 3: the events of each query aligned with all frames of its best videos (A14, W5), ranked."""
     best = fuse.best_videos(hits, videos).select("query_id", "source_file")
-    rows = best.join(frames.filter("frame_idx is not null").select("point_id", "source_file", "frame_idx", "timestamp", "vector"), "source_file")
-    aligned = temporal.align_events(events.join(queries.select("query_id"), "query_id", "left_semi"), rows)
+    aligned = temporal.align_events(events.join(queries.select("query_id"), "query_id", "left_semi"), frames, best)
     return ranked(aligned, "query_id", F.desc(F.round("score", 9)), F.asc("source_file"))
 
 

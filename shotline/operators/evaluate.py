@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions import text as T
 from shotline.functions.hooks import similarity
+from shotline.operators.temporal import interval_join
 
 
 def metrics(queries: DataFrame, matched: DataFrame) -> DataFrame:
@@ -113,14 +114,14 @@ def normalised(scores: DataFrame) -> DataFrame:
 
 
 def submissions_on_shots(submissions: DataFrame, shots: DataFrame, width: float = 60.0) -> DataFrame:
-    """The shot (source_file, shot_id, start, end) that holds each submitted time, by buckets of time; the end is open.
+    """The shot (source_file, shot_id, start, end) that holds each submitted time, by an interval join; the end is open.
 
     Submissions in no shot have a null shot_id; equal rows count once.
     """
-    spans = shots.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    placed = submissions.withColumn("bucket", F.floor(F.col("t") / width))
-    found = placed.join(spans.select("source_file", "shot_id", F.col("start").alias("s"), F.col("end").alias("e"), "bucket"), ["source_file", "bucket"], "left")
-    return found.groupBy(*submissions.columns).agg(F.min(F.when((F.col("t") >= F.col("s")) & (F.col("t") < F.col("e")), F.col("shot_id"))).alias("shot_id"))
+    spans = shots.select("source_file", "shot_id", F.col("start").alias("__start"), F.col("end").alias("__end"))
+    found = interval_join(submissions, spans, ["source_file"], "t", "__start", "__end", width).filter(F.col("t") < F.col("__end"))
+    every = submissions.withColumn("shot_id", F.lit(None).cast(shots.schema["shot_id"].dataType)).unionByName(found.drop("__start", "__end"))
+    return every.groupBy(*submissions.columns).agg(F.min("shot_id").alias("shot_id"))
 
 
 def failures(truth: DataFrame, hits: DataFrame, submissions: DataFrame, k: int = 100) -> DataFrame:

@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 
 from shotline.functions import media as M
 from shotline.functions import vectors as V
+from shotline.operators import blocks
+from shotline.operators.search import materialize
+from shotline.operators.temporal import interval_join
 
 
-def islands(probs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(source_file, frame_idx, prob) -> shots: a rise above least starts a new one, but not at the first frame."""
-    w = Window.partitionBy("source_file").orderBy("frame_idx")
-    high = F.col("prob") > least
-    before = F.lag(high).over(w)
-    starts = (high & (before == F.lit(False))).cast("int")
-    shot = F.sum(F.coalesce(starts, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = probs.withColumn("shot", shot)
-    return marked.groupBy("source_file", F.col("shot").cast("int").alias("shot")).agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+def islands(probs: DataFrame, least: float = 0.5, span: int = blocks.SPAN) -> DataFrame:
+    """(source_file, frame_idx, prob) -> shots: a rise above least starts a new one, but not at the first frame.
+
+    Rises are counted block by block; a block's first frame is compared with the last one of the block before, and counts are
+    carried over blocks.
+    """
+    keys = ["source_file"]
+    rows = blocks.cut(probs.select(*keys, "frame_idx", (F.col("prob") > least).alias("high")), "frame_idx", span)
+    w = blocks.inside(keys, "frame_idx")
+    rows = rows.withColumn("starts", F.coalesce((F.col("high") & (F.lag("high").over(w) == F.lit(False))).cast("int"), F.lit(0)))
+    ends = [F.min_by("high", "frame_idx").alias("first"), F.max_by("high", "frame_idx").alias("last"), F.sum("starts").alias("n")]
+    edge = F.coalesce((F.col("first") & (F.lag("last").over(blocks.over(keys)) == F.lit(False))).cast("int"), F.lit(0))
+    before = F.coalesce(F.sum(F.col("n") + F.col("edge")).over(blocks.earlier(keys)), F.lit(0)) + F.col("edge")
+    rows = blocks.carried(rows, keys, ends, {"edge": edge, "before": before})
+    rows = rows.withColumn("shot", (F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")).cast("int"))
+    return rows.groupBy("source_file", "shot").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
 
 
 def shot_seconds(probs: DataFrame, fps: float, least: float = 0.5) -> DataFrame:
@@ -43,26 +53,51 @@ def stitch(predictions: DataFrame, offset: int = 25, most: int = 50) -> DataFram
     return kept.select("source_file", (F.col("chunk_start") + F.col("pos") - offset).alias("frame_idx"), "prob")
 
 
-def dake_scores(sizes: DataFrame, reach: int = 3) -> DataFrame:
-    """(source_file, scene_id, i, size) with dake: the summed steepness towards the reach frames before and after."""
-    scene = Window.partitionBy("source_file", "scene_id")
-    w = scene.orderBy("i")
-    most = F.max("size").over(scene)
-    parts = [F.coalesce(M.steepness(F.col("size"), f("size", g).over(w), g, most), F.lit(0.0)) for g in range(1, reach + 1) for f in (F.lag, F.lead)]
-    return sizes.withColumn("dake", sum(parts[1:], parts[0]))
+SCENE = ["source_file", "scene_id"]
+
 
+def dake_scores(sizes: DataFrame, reach: int = 3, span: int = blocks.SPAN) -> DataFrame:
+    """(source_file, scene_id, i, size) with dake: the summed steepness towards the reach frames before and after.
 
-def dake_keep(scored: DataFrame, share: float = 0.5, gap: int = 4) -> DataFrame:
-    """The best half of each scene, the earlier of equals, plus frames so that no gap exceeds gap; up to two frames all stay."""
-    scene = Window.partitionBy("source_file", "scene_id")
-    w = scene.orderBy("i")
-    n = F.count("*").over(scene)
-    place = F.row_number().over(scene.orderBy(F.desc(F.round("dake", 9)), F.asc("i")))
-    marked = scored.withColumn("n", n).withColumn("top", place <= F.bround(n * share))
-    marked = marked.withColumn("pos", F.row_number().over(w) - 1)
-    last = F.coalesce(F.last(F.when(F.col("top"), F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    fill = (F.col("pos") - last) % gap == 0
-    return marked.withColumn("kept", (F.col("n") <= 2) | F.col("top") | fill).drop("n", "top", "pos")
+    A scene is cut into blocks by i; a block gets the last reach sizes before it and the first ones behind it.
+    """
+    rows = blocks.cut(sizes, "i", span)
+    w = blocks.inside(SCENE, "i")
+    back = blocks.inside(SCENE, F.desc("i"))
+    rows = rows.withColumn("__pos", F.row_number().over(w)).withColumn("__rest", F.row_number().over(back))
+    ordered = lambda c: F.array_sort(F.collect_list(F.when(c <= reach, F.struct("i", "size"))))
+    summary = [F.max("size").alias("__m"), ordered(F.col("__pos")).alias("__head"), ordered(F.col("__rest")).alias("__tail")]
+    over = blocks.over(SCENE)
+    near = lambda c, a, b: F.transform(F.array_sort(F.flatten(F.collect_list(c).over(over.rowsBetween(a, b)))), lambda x: x["size"])
+    whole = Window.partitionBy(*SCENE)
+    rows = blocks.carried(rows, SCENE, summary, {"__before": near("__tail", -reach, -1), "__after": near("__head", 1, reach), "__most": F.max("__m").over(whole)})
+    early = lambda g: F.when(F.col("__pos") > g, F.lag("size", g).over(w)).otherwise(F.get("__before", F.size("__before") - 1 - (g - F.col("__pos"))))
+    late = lambda g: F.when(F.col("__rest") > g, F.lead("size", g).over(w)).otherwise(F.get("__after", g - F.col("__rest")))
+    parts = [F.coalesce(M.steepness(F.col("size"), f(g), g, F.col("__most")), F.lit(0.0)) for g in range(1, reach + 1) for f in (early, late)]
+    return rows.withColumn("dake", sum(parts[1:], parts[0])).select(*sizes.columns, "dake")
+
+
+def dake_keep(scored: DataFrame, share: float = 0.5, gap: int = 4, span: int = blocks.SPAN) -> DataFrame:
+    """The best half of each scene, the earlier of equals, plus frames so that no gap exceeds gap; up to two frames all stay.
+
+    Works on blocks of a scene: places and the last frame kept are carried from block to block.
+    """
+    w, whole = blocks.inside(SCENE, "i"), Window.partitionBy(*SCENE)
+    rows = materialize(blocks.cut(scored, "i", span).withColumn("__v", F.round("dake", 9)).withColumn("__pos", F.row_number().over(w) - 1))
+    n, before = F.sum("__c").over(whole), F.coalesce(F.sum("__c").over(blocks.earlier(SCENE)), F.lit(0))
+    placed = blocks.carried(rows, SCENE, [F.count("*").alias("__c")], {"__size": n, "__before": before})
+    placed = placed.withColumn("__most", F.bround(F.col("__size") * share))
+    equal = F.coalesce((F.col("__v") == F.col("edge")).cast("int"), F.lit(0))
+    marked = materialize(blocks.joined(placed, blocks.last_of_first(placed, SCENE, "__v", "__most"), SCENE, "left").withColumn("__q", equal))
+    marked = blocks.carried(marked, SCENE, [F.sum("__q").alias("__n")], {"__ahead": F.coalesce(F.sum("__n").over(blocks.earlier(SCENE)), F.lit(0))})
+    place = F.sum("__q").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__ahead")
+    top = F.coalesce((F.col("__v") > F.col("edge")) | ((F.col("__q") == 1) & (place <= F.col("left"))), F.lit(False))
+    at = F.col("__pos") + F.col("__before")
+    marked = materialize(marked.withColumn("__top", top).withColumn("__at", at).withColumn("__own", F.when(F.col("__top"), F.col("__at"))))
+    marked = blocks.carried(marked, SCENE, [F.max("__own").alias("__t")], {"__last": F.coalesce(F.max("__t").over(blocks.earlier(SCENE)), F.lit(-1))})
+    last = F.coalesce(F.max("__own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__last"))
+    fill = (F.col("__at") - last) % gap == 0
+    return marked.withColumn("kept", (F.col("__size") <= 2) | F.col("__top") | fill).select(*scored.columns, "kept")
 
 
 def sharpness(frames: DataFrame) -> DataFrame:
@@ -114,32 +149,37 @@ def boundary_similarity(frames: DataFrame, least: float = 0.9) -> DataFrame:
     return nxt.select("source_file", "scene_id", F.col("b.scene_id").alias("next_scene"), "within", F.col("b.within").alias("next_within"), cross.alias("cross"), F.coalesce(weak, F.lit(False)).alias("weak"))
 
 
-def motion_samples(frames: DataFrame, floor: float = 0.05) -> DataFrame:
+def motion_samples(frames: DataFrame, floor: float = 0.05, span: int = blocks.SPAN) -> DataFrame:
     """(source_file, scene_id, i, timestamp, energy): frames at quantiles of the motion, nearest first.
 
     energy is the motion from a frame to the next one.  As many quantiles as the scene's length asks for (P19) are
     taken of the energies, a floor of their mean added; a sample lies between two frames, in proportion, and goes to
     the nearer one, the earlier if both are as near.  Scenes with no more frames than that stay whole; one without
     motion is sampled evenly.  Null or negative energies count as 0.
+
+    Works on blocks of a scene: sums up to a block, and the frame behind it, are carried over the blocks.
     """
-    scene = Window.partitionBy("source_file", "scene_id")
-    w = scene.orderBy("i")
-    nxt = F.lead(F.struct("i", "timestamp")).over(w)
-    rows = frames.select("source_file", "scene_id", "i", "timestamp", F.greatest(F.coalesce("energy", F.lit(0.0)), F.lit(0.0)).alias("e")).withColumn("next", nxt)
-    n = M.motion_frames(F.max("timestamp").over(scene) - F.min("timestamp").over(scene))
-    mean = F.avg(F.when(F.col("next").isNotNull(), F.col("e"))).over(scene)
-    rows = rows.withColumn("n", n).withColumn("size", F.count("*").over(scene)).withColumn("mean", mean)
+    rows = frames.select(*SCENE, "i", "timestamp", F.greatest(F.coalesce("energy", F.lit(0.0)), F.lit(0.0)).alias("e"))
+    rows, w, whole = blocks.cut(rows, "i", span), blocks.inside(SCENE, "i"), Window.partitionBy(*SCENE)
+    at = F.struct("i", "timestamp")
+    summary = [F.min(at).alias("__first"), F.min("timestamp").alias("__lo"), F.max("timestamp").alias("__hi"), F.count("*").alias("__c")]
+    n = M.motion_frames(F.max("__hi").over(whole) - F.min("__lo").over(whole))
+    rows = blocks.carried(rows, SCENE, summary, {"__next": F.lead("__first").over(blocks.over(SCENE)), "n": n, "size": F.sum("__c").over(whole)})
+    rows = materialize(rows.withColumn("next", F.coalesce(F.lead(at).over(w), F.col("__next"))).drop("__next"))
+    moved = F.col("next").isNotNull()
+    sums = [F.sum(F.when(moved, F.col("e"))).alias("__e"), F.count(F.when(moved, F.lit(1))).alias("__m")]
+    rows = blocks.carried(rows, SCENE, sums, {"mean": F.sum("__e").over(whole) / F.sum("__m").over(whole)})
     mass = F.when(F.col("next").isNull(), 0.0).otherwise(F.greatest(F.col("e") + F.when(F.col("mean") > 0, floor * F.col("mean")).otherwise(1.0), F.lit(1e-8)))
-    rows = rows.withColumn("m", mass)
-    upto = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("total", F.sum("m").over(scene)).withColumn("hi", F.round(upto / F.col("total"), 9)).withColumn("lo", F.round((upto - F.col("m")) / F.col("total"), 9))
-    whole = rows.filter(F.col("size") <= F.col("n")).select("source_file", "scene_id", "i")
+    rows = blocks.carried(rows.withColumn("m", mass), SCENE, [F.sum("m").alias("__s")], {"total": F.sum("__s").over(whole), "__ahead": F.coalesce(F.sum("__s").over(blocks.earlier(SCENE)), F.lit(0.0))})
+    upto = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__ahead")
+    rows = rows.withColumn("upto", upto).withColumn("hi", F.round(F.col("upto") / F.col("total"), 9)).withColumn("lo", F.round((F.col("upto") - F.col("m")) / F.col("total"), 9))
+    every = rows.filter(F.col("size") <= F.col("n")).select(*SCENE, "i")
     quantiles = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.round((k + 0.5) / F.col("n"), 9))
     inside = F.filter(quantiles, lambda q: (q > F.col("lo")) & (q <= F.col("hi")))
     cut = rows.filter((F.col("size") > F.col("n")) & F.col("next").isNotNull()).withColumn("q", F.explode(inside))
     share = F.least(F.greatest((F.col("q") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8)), F.lit(0.0)), F.lit(1.0))
-    picked = cut.select("source_file", "scene_id", F.when(F.round(share, 9) <= 0.5, F.col("i")).otherwise(F.col("next.i")).alias("i"))
-    return whole.unionByName(picked.distinct())
+    picked = cut.select(*SCENE, F.when(F.round(share, 9) <= 0.5, F.col("i")).otherwise(F.col("next.i")).alias("i"))
+    return every.unionByName(picked.distinct())
 
 
 def diverse_keyframes(frames: DataFrame, weight: float = 0.15) -> DataFrame:
@@ -230,9 +270,9 @@ def merge_scenes(frames: DataFrame, scenes: DataFrame, least: float = 0.9, windo
 def frame_step(frames: DataFrame, scenes: DataFrame, fps: float, rate: float) -> DataFrame:
     """every n-th frame of each scene (source_file, scene_id, start, end in seconds), n = fps / rate, at least 1."""
     step = max(1, int(fps / rate))
-    lo, hi = F.floor(F.col("start") * fps), F.floor(F.col("end") * fps)
-    both = frames.join(scenes, "source_file").filter((F.col("frame_idx") >= lo) & (F.col("frame_idx") < hi))
-    return both.filter((F.col("frame_idx") - lo) % step == 0)
+    spans = scenes.withColumn("__lo", F.floor(F.col("start") * fps)).withColumn("__hi", F.floor(F.col("end") * fps) - 1)
+    both = interval_join(frames, spans, ["source_file"], "frame_idx", "__lo", "__hi", 64)
+    return both.filter((F.col("frame_idx") - F.col("__lo")) % step == 0).drop("__lo", "__hi")
 
 
 def attach_keyframes(shots: DataFrame, files: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ SQL: dict[str, str] = {
     "knn_filtered": f"WITH {_F}, g AS (SELECT * FROM f WHERE source_file IN ('V001.mp4', 'V003.mp4', 'V005.mp4')), {_top('h', 'q', 'g', 10)} {_OUT} h",
     "knn_by_example": f"WITH {_F}, e AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 60 = 7), {_top('h', 'e', 'f', 5)} {_OUT} h",
     "clip_search": f"""WITH {_F}, {_top('h', 'q', 'f', 10)},
-        b AS (SELECT query_id % 3 AS query_id, point_id, max(score) AS score, arg_min(query_id, (-score, query_id)) AS clip_ts FROM h GROUP BY query_id % 3, point_id),
+        b AS (SELECT query_id - query_id % 200 AS query_id, point_id, max(score) AS score, arg_min(query_id, (-score, query_id)) AS clip_ts FROM h GROUP BY query_id - query_id % 200, point_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM b)
         SELECT query_id, point_id, round(score, 6) AS score, clip_ts, rank FROM r WHERE rank <= 10""",
     "truncation_recall": f"""WITH {_F}, {_top('full', 'q', 'f', 10)}, """.replace("full AS", "best AS")
@@ -233,7 +233,8 @@ SQL: dict[str, str] = {
     "grounded_answers": f"{_GROUNDED} SELECT event_id, valid, answer, round(confidence, 6) AS confidence, reason FROM r",
     "grounding_reasons": f"{_GROUNDED} SELECT coalesce(reason, 'valid') AS reason, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM r GROUP BY ALL",
     "score_parse": "SELECT event_id, CASE WHEN event_id % 15 <= 10 THEN round((event_id % 15) / 10.0::DOUBLE, 6) END AS score FROM events",
-    "retrieval_metrics": f"""{_H}, m AS (SELECT h.query_id, min(h.rank) AS first FROM h JOIN q USING (query_id) JOIN f USING (point_id) WHERE f.label = q.label AND h.point_id <> h.query_id GROUP BY h.query_id),
+    "retrieval_metrics": f"""WITH {_F}, {_top('h', 'q', 'f', 21)}, o AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM h WHERE point_id <> query_id),
+        m AS (SELECT o.query_id, min(o.rank) AS first FROM o JOIN q USING (query_id) JOIN f USING (point_id) WHERE f.label = q.label AND o.rank <= 20 GROUP BY o.query_id),
         r AS (SELECT ((query_id % 150) / 50 + 1)::INTEGER AS type, query_id % 100 = 0 AS annotated, first FROM q LEFT JOIN m USING (query_id))
         SELECT type, count(*) AS n, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(first, 99) <= 10)::INT), 6) AS recall_10,
         round(avg((coalesce(first, 99) <= 20)::INT), 6) AS recall_20, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / log2(first + 1) ELSE 0 END), 6) AS ndcg_10,

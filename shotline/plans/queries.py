@@ -12,7 +12,7 @@ from shotline.functions import ids as I
 from shotline.functions import media as M
 from shotline.functions import text as T
 from shotline.functions import vectors as V
-from shotline.operators import compose, evaluate, fuse, search, session, shots, temporal
+from shotline.operators import blocks, compose, evaluate, fuse, postings, search, session, shots, temporal
 from shotline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +89,7 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = vectors(spark, sf_dir).select((F.col("query_id") % 3).alias("query_id"), F.col("query_id").alias("clip_ts"), "vector")
+    clips = vectors(spark, sf_dir).select((F.col("query_id") - F.col("query_id") % 200).alias("query_id"), F.col("query_id").alias("clip_ts"), "vector")
     return search.clip_search(clips, frames(spark, sf_dir), 10).select("query_id", "point_id", r6("score"), "clip_ts", "rank")
 
 
@@ -141,8 +141,24 @@ def boundary_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("source_file", "scene_id", "next_scene", r6("within"), r6("next_within"), r6("cross"), "weak")
 
 
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The inverted index of the documents, written once a session and then read by every search, as long as the files are the same."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
+    stamp = (spark.sparkContext.applicationId, sf_dir, files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+    if stamp not in _INDEXES:
+        _INDEXES[stamp] = postings.build(texts(spark, sf_dir))
+    return _INDEXES[stamp]
+
+
+def _token_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.match(text_index(spark, sf_dir), token_queries(spark, sf_dir))
+
+
 def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.token_match(token_queries(spark, sf_dir), texts(spark, sf_dir)).select("query_id", "point_id", r6("score"), "rank")
+    return _token_hits(spark, sf_dir).select("query_id", "point_id", r6("score"), "rank")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +171,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = vectors(spark, sf_dir).filter("query_id % 100 = 0")
-    return fuse.rrf([search.knn(q, frames(spark, sf_dir), 20), search.token_match(token_queries(spark, sf_dir), texts(spark, sf_dir))], ["dense", "token"])
+    return fuse.rrf([search.knn(q, frames(spark, sf_dir), 20), _token_hits(spark, sf_dir)], ["dense", "token"])
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +223,7 @@ def temporal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, f = _steps(spark, sf_dir)
-    pairs = ev.select("query_id").distinct().crossJoin(F.broadcast(f.select("source_file").distinct()))  # every query against every video
-    rows = pairs.join(f.select("point_id", "source_file", "frame_idx", "vector"), "source_file")
-    return temporal.align_events(ev, rows).select("query_id", "source_file", r6("score"), F.concat_ws(",", F.transform("frames", lambda x: x.cast("string"))).alias("frames"))
+    return temporal.align_events(ev, f).select("query_id", "source_file", r6("score"), F.concat_ws(",", F.transform("frames", lambda x: x.cast("string"))).alias("frames"))
 
 
 def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,15 +231,18 @@ def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clarification_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = search.token_match(token_queries(spark, sf_dir), texts(spark, sf_dir)).join(texts(spark, sf_dir), "point_id")
+    tok = _token_hits(spark, sf_dir).join(texts(spark, sf_dir), "point_id")
     prior = tok.filter("point_id % 2 = 0").select("query_id", "point_id")
     answers = table(spark, sf_dir, "documents").filter("doc_id % 100 = 1").select((F.col("doc_id") - 1).alias("query_id"), F.col("text").alias("answer"))
     return session.clarification_boost(tok, prior, answers).select("query_id", "point_id", r6("overlap"), r6("boosted"), "rank")
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    """Events as frames of their user's video, in order of time; places are counted by user and day."""
+    e = table(spark, sf_dir, "events").withColumn(blocks.BLOCK, F.floor(F.unix_timestamp("ts") / 86_400))
+    before = F.coalesce(F.sum("c").over(blocks.earlier(["user_id"])), F.lit(0))
+    e = blocks.carried(e, ["user_id"], [F.count("*").alias("c")], {"before": before})
+    at = F.row_number().over(blocks.inside(["user_id"], "ts", "event_id")) - 1 + F.col("before")
     return e.select(F.col("user_id").cast("string").alias("source_file"), at.cast("long").alias("frame_idx"), (F.col("event_id") % 10 / 10.0).alias("prob"), "value", "event_id")
 
 
@@ -354,9 +371,10 @@ def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The truth of a query is its label's video."""
+    """The truth of a query is its label's video; its own point doesn't count as a hit, nor take a rank."""
     q = vectors(spark, sf_dir)
-    hits = placed(_hits(spark, sf_dir), spark, sf_dir).filter("point_id <> query_id").select("query_id", "rank", "source_file", "frame_idx", "timestamp")
+    others = search.renumbered(_hits(spark, sf_dir, 21).filter("point_id <> query_id"), 20)
+    hits = placed(others, spark, sf_dir).select("query_id", "rank", "source_file", "frame_idx", "timestamp")
     video = F.concat(F.lit("V"), F.lpad(F.col("label").cast("string"), 3, "0"), F.lit(".mp4"))
     truth = q.select("query_id", video.alias("source_file"), F.lit(None).cast("long").alias("frame_idx"), F.lit(None).cast("double").alias("timestamp"))
     m = evaluate.metrics(q.select("query_id", (F.col("query_id") % 150 / 50 + 1).cast("int").alias("type"), (F.col("query_id") % 100 == 0).alias("annotated")), temporal.match_truth(hits, truth))
@@ -504,7 +522,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = F.array(F.struct(F.concat(F.lit("kind"), F.col("point_id") % 3).alias("label")), F.struct(F.concat(F.lit("kind"), F.col("point_id") % 2).alias("label")))
     return f.select(
         "source_file", F.floor(F.col("frame_idx") / 40).alias("scene_id"), "frame_idx", "timestamp", "vector", (F.col("point_id") * 37 % 101).cast("double").alias("size"),
-        F.col("sharpness").alias("raw"), F.left("text_blob", F.lit(40)).alias("caption"), F.lit("").alias("ocr_text"), F.array(F.concat(F.lit("act"), F.col("point_id") % 5)).alias("actions"), det.alias("dets"),
+        F.col("sharpness").alias("raw"), F.col("text_blob").alias("caption"), F.lit("").alias("ocr_text"), F.array(F.concat(F.lit("act"), F.col("point_id") % 5)).alias("actions"), det.alias("dets"),
     )
 
 

@@ -42,19 +42,19 @@ def shots_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of each query: its hits are the first three, events of purchases its submissions."""
+    """What became of each query: its hits are the first three, the purchases among fifty events its submissions."""
     q = vectors(spark, sf_dir)
     hits = placed(search.knn(q, frames(spark, sf_dir), 3), spark, sf_dir).filter("point_id <> query_id")
     truth = q.select("query_id", _video(F.col("label")).alias("source_file"))
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase' and event_id % 97 < 3")
-    sent = e.select((F.col("event_id") % 10 * 50).alias("query_id"), _video(F.col("user_id") % 10).alias("source_file"))
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    sent = e.select((F.col("event_id") - F.col("event_id") % 50).alias("query_id"), _video(F.col("user_id") % 10).alias("source_file"))
     return evaluate.failures(truth, hits, sent, 3)
 
 
 def verified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of questions answered YES, blended into scores of both types."""
     e = table(spark, sf_dir, "events")
-    answers = e.select((F.col("user_id") % 10).alias("query_id"), (F.col("event_id") % 40).alias("point_id"), F.when(F.col("event_type") == "view", " yes, clearly").when(F.col("event_type") == "click", "YES").otherwise("No").alias("raw"))
+    answers = e.select(F.col("user_id").alias("query_id"), (F.col("event_id") % 40).alias("point_id"), F.when(F.col("event_type") == "view", " yes, clearly").when(F.col("event_type") == "click", "YES").otherwise("No").alias("raw"))
     ratios = evaluate.yes_ratio(answers)
     p = F.col("point_id")
     hits = answers.select("query_id", "point_id").distinct().select("query_id", "point_id", (1 / (60 + p)).alias("score"), F.when(p % 7 > 0, p % 11 / 10.0).alias("parsed"))
@@ -145,9 +145,9 @@ SQL: dict[str, str] = {
         j AS (SELECT s.event_id, lpad(scene_id::VARCHAR, 4, '0') AS shot_id FROM s JOIN times USING (source_file) WHERE t >= start AND t < stop) SELECT s.event_id, min(shot_id) AS shot_id FROM s LEFT JOIN j USING (event_id) GROUP BY s.event_id""",
     "failure_classes": f"""WITH {oracle._F}, {oracle._top('h', 'q', 'f', 3)}, t AS (SELECT query_id, 'V' || lpad(label::VARCHAR, 3, '0') || '.mp4' AS source_file FROM q),
         seen AS (SELECT DISTINCT h.query_id FROM h JOIN f USING (point_id) JOIN t ON t.query_id = h.query_id AND t.source_file = f.source_file WHERE h.point_id <> h.query_id),
-        sent AS (SELECT DISTINCT t.query_id FROM events JOIN t ON t.query_id = event_id % 10 * 50 AND t.source_file = 'V' || lpad((user_id % 10)::VARCHAR, 3, '0') || '.mp4' WHERE event_type = 'purchase' AND event_id % 97 < 3)
+        sent AS (SELECT DISTINCT t.query_id FROM events JOIN t ON t.query_id = event_id - event_id % 50 AND t.source_file = 'V' || lpad((user_id % 10)::VARCHAR, 3, '0') || '.mp4' WHERE event_type = 'purchase')
         SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM sent) THEN 'solved' WHEN query_id IN (SELECT query_id FROM seen) THEN 'not_submitted' ELSE 'never_retrieved' END AS outcome FROM t""",
-    "verified_scores": """WITH a AS (SELECT user_id % 10 AS query_id, event_id % 40 AS point_id, avg((event_type IN ('view', 'click'))::INT) AS ratio FROM events GROUP BY ALL),
+    "verified_scores": """WITH a AS (SELECT user_id AS query_id, event_id % 40 AS point_id, avg((event_type IN ('view', 'click'))::INT) AS ratio FROM events GROUP BY ALL),
         h AS (SELECT *, 1 / (60 + point_id) AS score, CASE WHEN point_id % 7 > 0 THEN (point_id % 11) / 10.0::DOUBLE ELSE 0 END AS own FROM a)
         SELECT query_id, point_id, round(0.7::DOUBLE * own + 0.3::DOUBLE * ratio, 6) AS type_1, round(0.3::DOUBLE * score + 0.5::DOUBLE * own + 0.2::DOUBLE * ratio, 6) AS type_2 FROM h""",
     "public_payloads": """SELECT event_id, CASE WHEN event_id % 5 >= 3 THEN event_id::VARCHAR END AS frame_idx, CASE WHEN event_id % 3 = 1 THEN '12.5' END AS timestamp, props,
