@@ -177,6 +177,7 @@ SQL: dict[str, str] = {
     "knn_exact": f"{_H} {_OUT} h",
     "knn_filtered": f"WITH {_F}, g AS (SELECT * FROM f WHERE source_file IN ('V001.mp4', 'V003.mp4', 'V005.mp4')), {_top('h', 'q', 'g', 10)} {_OUT} h",
     "knn_by_example": f"WITH {_F}, e AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 60 = 7), {_top('h', 'e', 'f', 5)} {_OUT} h",
+    "knn_cells_exact": f"WITH {_F}, {_top('h', 'q', 'f', 10)} {_OUT} h",
     "clip_search": f"""WITH {_F}, {_top('h', 'q', 'f', 10)},
         b AS (SELECT query_id - query_id % 200 AS query_id, point_id, max(score) AS score, arg_min(query_id, (-score, query_id)) AS clip_ts FROM h GROUP BY query_id - query_id % 200, point_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM b)
