@@ -132,12 +132,12 @@ def build(rows: DataFrame, k: int, trees: int = TREES, seed: int = 1) -> Index |
         return None
     most = max(1, min(FIT_ROWS, FIT_BYTES // (8 * dim)))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow().column("v").combine_chunks()
-    forest = grow(np.unique(np.concatenate([x for _, x in whitening.dense(sample, dim)]), axis=0), trees, seed)
+    forest = grow(np.unique(np.concatenate([x for _, x in shared.dense(sample, dim)]), axis=0), trees, seed)
     sent = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, x in whitening.dense(b.column("v"), dim):
+            for a, x in shared.dense(b.column("v"), dim):
                 leaf = leaves_of(sent.value, x)
                 yield pa.record_batch({"id": b.column("id").slice(a, len(x)), "v": pa.array([r.tobytes() for r in x], pa.binary()), "leaf": pa.array([r.tobytes() for r in leaf], pa.binary())})
 
@@ -170,7 +170,7 @@ def plan(index: Index, queries: DataFrame, effort: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, x in whitening.dense(b.column("v"), dim):
+            for a, x in shared.dense(b.column("v"), dim):
                 takes = [np.packbits(visited(sent.value, q, sizes, goal)).tobytes() for q in x]
                 yield pa.record_batch({"id": b.column("id").slice(a, len(x)), "v": pa.array([q.tobytes() for q in x], pa.binary()), "takes": pa.array(takes, pa.binary())})
 
@@ -187,7 +187,7 @@ class Best:
 
     def add(self, who: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         """Rows at of x and ids for queries who; repeats of a row don't matter."""
-        step = max(1, whitening.AT_ONCE // x.shape[1])
+        step = max(1, shared.AT_ONCE // x.shape[1])
         far = [np.sqrt(np.square(x[at[i : i + step]] - self.q[who[i : i + step]]).sum(axis=1)) for i in range(0, len(who), step)]
         who, row, far = np.concatenate([self.who, who]), np.concatenate([self.row, ids[at]]), np.concatenate([self.far, *far])
         order = np.lexsort((row, far, who))

@@ -1,8 +1,9 @@
 """Exact top-k search by MaxScore over shards of an inverted index.
 
 Rows and queries are integer vectors; a component is a term and its value the weight, and the score of a row is the
-integer inner product.  Rows are dealt out to shards by a hash of their id, queries to blocks; a task has one shard
-and one block.  There each term has postings (rows with a weight other than zero) and bounds of its weights.  The
+integer inner product.  Rows are written once, dealt out to shards by a hash of their id; queries are sent to all
+shards in blocks of bounded size, one after the other.  A task searches its shards in turn and carries each query's k best from one to
+the next, so that only those leave it.  In a shard each term has postings (rows with a weight other than zero) and bounds of its weights.  The
 terms of a query are ordered by score bound: those whose bounds together stay below the k-th best score so far are
 non-essential.  Only postings of essential terms are traversed; rows that stay competitive with the bounds of the
 others are probed there, term by term in falling order, and dropped once they can't reach the k-th best.  The
@@ -16,6 +17,8 @@ error that names its query and row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from shotline.llm import shared
 
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 1024
+#: Bytes of a block of queries that is broadcast.
+BLOCK_BYTES = 32 << 20
 #: Rows of a shard after which the k-th best score so far is taken anew.
 STEP = 2048
 PROBE = 8
@@ -44,8 +48,8 @@ class Shard:
         self.postings = [None if f else np.flatnonzero(w) for f, w in zip(self.full, rows, strict=True)]
         self.low, self.high = self.weights.min(axis=1), self.weights.max(axis=1)
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the query's k best rows here, block by block; the bar rises with each block."""
+    def search(self, q: np.ndarray, own: int, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the query's k best rows: those it has from other shards, and this one's, block by block; the bar rises with each block."""
         n = len(self.ids)
         whole = self.weights.dtype == object
         q = np.array([int(x) for x in q], dtype=object) if whole else q.astype(self.weights.dtype)
@@ -53,10 +57,9 @@ class Shard:
         order = np.argsort(bound, kind="stable")
         order = order[q[order] != 0]
         upto = np.cumsum(bound[order])
-        best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.weights.dtype)
         at = 0
         while at < n:
-            to = min(n, at + (STEP if at else max(4 * k, 64)))
+            to = min(n, at + (STEP if at or len(ids) else max(4 * k, 64)))
             least = scores[-1] if len(scores) == k else None
             split = 0 if least is None or not len(upto) else int(np.searchsorted(upto, least, "left"))
             essential, rest = order[split:], order[:split][::-1]
@@ -73,7 +76,7 @@ class Shard:
             ahead = bound[rest].sum()
             for first in range(0, len(rest) + 1, PROBE):
                 if least is not None:
-                    keep = np.asarray(part + ahead > least, dtype=bool)  # a tie loses: ids rise
+                    keep = np.asarray(part + ahead >= least, dtype=bool)  # of equal scores the smaller id counts
                     live, part = live[keep], part[keep]
                 terms = rest[first : first + PROBE]
                 if not len(terms) or not len(live):
@@ -81,10 +84,10 @@ class Shard:
                 part = part + q[terms] @ self.weights[np.ix_(terms, live)]
                 ahead = max(0, ahead - bound[terms].sum())
             keep = self.ids[live] != own
-            best, scores = np.concatenate([best, live[keep]]), np.concatenate([scores, part[keep]])
-            top = np.lexsort((best, -scores))[:k] if not whole else np.array(sorted(range(len(best)), key=lambda i: (-scores[i], best[i]))[:k], dtype=np.int64)
-            best, scores, at = best[top], scores[top], to
-        return self.ids[best], scores
+            ids, scores = np.concatenate([ids, self.ids[live][keep]]), np.concatenate([scores, part[keep]])
+            top = np.lexsort((ids, -scores))[:k] if not whole else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+            ids, scores, at = ids[top], scores[top], to
+        return ids, scores
 
 
 def whole_numbers(scores: np.ndarray, query: int, ids: np.ndarray) -> np.ndarray:
@@ -107,29 +110,48 @@ def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sca
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the k best rows of each query; both have id and v (array of doubles that are whole numbers)."""
     sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).first()
-    n_queries = queries.count()
-    dim, reach = max(1, sizes["dim"] or 1), float(sizes["most"] or 0) ** 2 * (sizes["dim"] or 1)
-    shards, blocks = -(-max(1, sizes["n"]) // SHARD_ROWS), -(-max(1, n_queries) // BLOCK_QUERIES)
-    h = F.xxhash64("id")
-    dealt = rows.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "id", "v")
-
-    def search(table: pa.Table) -> pa.Table:
-        ids = shared.ints(table.column("id").combine_chunks())
-        vectors = table.column("v").combine_chunks()
-        size = np.asarray(vectors.value_lengths())
-        dense = np.zeros((len(ids), dim), dtype=np.float64)
-        dense[np.repeat(np.arange(len(ids)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.asarray(vectors.flatten())
-        asks = np.asarray(table.column("asks").combine_chunks().cast(pa.int8())) == 1
-        out = [(np.zeros(0, np.int64),) * 3]
-        if asks.any() and not asks.all():
-            shard = Shard(ids[~asks], dense[~asks], reach)
-            for i in np.flatnonzero(asks):
-                best, score = shard.search(dense[i], int(ids[i]), k)
-                out.append((np.full(len(best), ids[i]), best, whole_numbers(score, int(ids[i]), best)))
-        q, r, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"query_id": q, "id": r, "score": s})
-
-    found = dealt.union(asked).groupBy("shard", "block").applyInArrow(search, "query_id long, id long, score long")
+    dim = max(1, sizes["dim"] or 1, queries.agg(F.max(F.size("v"))).first()[0] or 1)
+    reach = float(sizes["most"] or 0) ** 2 * dim
+    stored = shared.materialize(rows.select("id", "v").repartition(-(-max(1, sizes["n"]) // SHARD_ROWS), "id"))
+    each = 8 * dim + 24 * k + 64
+    blocks = max(1, -(-queries.count() * each // BLOCK_BYTES))
+    h, found = F.xxhash64("id"), None
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    for b in range(blocks):
+        asked = queries.filter(F.pmod(h, F.lit(blocks)) == b).select("id", "v").orderBy("id").toArrow()
+        vectors = list(shared.dense(asked.column("v").combine_chunks(), dim)) if asked.num_rows else []
+        sent = rows.sparkSession.sparkContext.broadcast((shared.ints(asked.column("id").combine_chunks()), np.concatenate([np.zeros((0, dim)), *[x for _, x in vectors]])))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asks, q = sent.value
+            best: list = [(np.zeros(0, np.int64), None)] * len(asks)
+            waiting, n = [], 0
+
+            def meet() -> None:
+                ids = np.concatenate([shared.ints(w.column("id")) for w in waiting])
+                shard = Shard(ids, np.concatenate([x for w in waiting for _, x in shared.dense(w.column("v"), dim)]), reach)
+                for i, own in enumerate(asks):
+                    held, scores = best[i]
+                    best[i] = shard.search(q[i], int(own), k, held, np.zeros(0, dtype=shard.weights.dtype) if scores is None else scores)
+
+            for batch in batches:
+                for a in range(0, batch.num_rows, SHARD_ROWS):
+                    waiting.append(batch.slice(a, SHARD_ROWS))
+                    n += waiting[-1].num_rows
+                    if n >= SHARD_ROWS:
+                        meet()
+                        waiting, n = [], 0
+            if waiting:
+                meet()
+            if n or any(s is not None for _, s in best):
+                who = np.concatenate([np.zeros(0, np.int64), *(np.full(len(r), i) for i, (r, _) in zip(asks, best, strict=True))])
+                hits = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in best)])
+                scores = np.concatenate([np.zeros(0, np.int64), *(whole_numbers(s, int(i), r) for i, (r, s) in zip(asks, best, strict=True))])
+                yield pa.record_batch({"query_id": who, "id": hits, "score": scores})
+
+        part = stored.mapInArrow(search, "query_id long, id long, score long").withColumn("rank", rank).filter(F.col("rank") <= k)
+        if blocks > 1:
+            part = shared.materialize(part)
+            sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found.select("query_id", "rank", "id", "score")

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Numbers that one numpy pass over vectors works on.
+AT_ONCE = 1 << 19
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is set and all is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -87,3 +91,17 @@ def blobs(dtype: np.dtype, parts: int, at_once: int = 2_000_000) -> Callable[[It
 def unpack(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     """The records of a group's blobs."""
     return np.concatenate([np.frombuffer(x.as_py(), dtype=dtype) for chunk in table.column("blob").chunks for x in chunk])
+
+
+def dense(column: pa.Array, dim: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A list column as (first row, matrix of doubles), piece by piece; shorter lists are filled with zeros."""
+    size = np.asarray(column.value_lengths()).astype(np.int64)
+    flat = np.asarray(column.flatten()).astype(np.float64)
+    ends = np.cumsum(size)
+    step = max(1, AT_ONCE // max(dim, 1))
+    for a in range(0, len(size), step):
+        own = size[a : a + step]
+        begin = ends[a : a + step] - own
+        out = np.zeros((len(own), dim))
+        out[np.repeat(np.arange(len(own)), own), np.arange(own.sum()) - np.repeat(begin - begin[0], own)] = flat[begin[0] : begin[0] + own.sum()]
+        yield a, out

@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from shotline.llm import shared
 
-#: Numbers that one numpy pass works on.
-AT_ONCE = 1 << 19
 SCHEMA = "id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
 
 
@@ -56,20 +54,6 @@ def finite(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
-def dense(column: pa.Array, dim: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A list column as (first row, matrix of doubles), piece by piece; shorter lists are filled with zeros."""
-    size = np.asarray(column.value_lengths()).astype(np.int64)
-    flat = np.asarray(column.flatten()).astype(np.float64)
-    ends = np.cumsum(size)
-    step = max(1, AT_ONCE // max(dim, 1))
-    for a in range(0, len(size), step):
-        own = size[a : a + step]
-        begin = ends[a : a + step] - own
-        out = np.zeros((len(own), dim))
-        out[np.repeat(np.arange(len(own)), own), np.arange(own.sum()) - np.repeat(begin - begin[0], own)] = flat[begin[0] : begin[0] + own.sum()]
-        yield a, out
-
-
 def packed(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> Packed | None:
     """floor(scale * entry) of the vectors that take part; None if there are none with an entry."""
     rows = df.filter(finite(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -85,7 +69,7 @@ def packed(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, v in dense(b.column("v"), dim):
+            for a, v in shared.dense(b.column("v"), dim):
                 x = np.floor(scale * v).astype(dtype)
                 wide, raw = x.shape[1] * x.itemsize, x.tobytes()
                 each = [raw[i : i + wide] for i in range(0, len(raw), wide)]
@@ -97,7 +81,7 @@ def packed(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale:
 
 def matrix(column: pa.Array, p: Packed) -> Iterator[tuple[slice, np.ndarray]]:
     """Packed vectors as (rows, matrix of longs), piece by piece."""
-    step = max(1, AT_ONCE // p.dim)
+    step = max(1, shared.AT_ONCE // p.dim)
     for a in range(0, len(column), step):
         own = column.slice(a, step)
         yield slice(a, a + len(own)), np.frombuffer(b"".join(x.as_py() for x in own), dtype=p.dtype).reshape(-1, p.dim).astype(np.int64)
