@@ -27,16 +27,19 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotline.llm import shared, words
 from shotline.llm.quality import remainder
 
+if TYPE_CHECKING:
+    import tiktoken
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 IDS = 50_257
 END = 50_256
@@ -45,6 +48,8 @@ WIDTH = 16
 ROUNDS = 3
 #: Windows of a step at most; a part with few windows takes smaller steps, STEPS of them at least.
 BATCH, STEPS = 384, 200
+#: Weights that travel together from the training tasks to their mean.
+PIECE = 4096
 #: Ids of the corpus for each training task, which holds a part of ROUNDS of them at once.
 IDS_A_TASK = 9_000_000
 SPACE = np.zeros(256, dtype=bool)
@@ -59,6 +64,8 @@ _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 def encoder(path: str) -> tiktoken.Encoding:
     """The vocabulary at path; a word with the space before it is one piece."""
+    import tiktoken  # only here, so that other queries work without it
+
     if path not in _ENCODERS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -447,16 +454,26 @@ def train(docs: DataFrame, n_ids: int, classes: Classes, path: str) -> np.ndarra
             if texts:
                 found = list(Words(pa.chunked_array(texts).combine_chunks()).sequences(path))
                 ids, begin = np.concatenate([x[2] for x in found]), np.append(0, np.cumsum(np.concatenate([np.diff(x[3]) for x in found])))
-                new = learn(sent.value, ids, begin, tables.value, 0.02 / (step + 1), step)
-                yield pa.record_batch({"i": pa.array(np.arange(len(new), dtype=np.int32)), "w": pa.array(new)})
+                new = learn(sent.value, ids, begin, tables.value, 0.02 / (step + 1), step).astype("<f4")
+                at = range(0, len(new), PIECE)
+                yield pa.record_batch({"at": pa.array(at, pa.int32()), "weights": pa.array([new[a : a + PIECE].tobytes() for a in at], pa.binary())})
 
-        table = docs.filter(~F.col("held") & part).select("text").repartition(tasks).mapInArrow(run, "i int, w float").groupBy("i").agg(F.avg("w").alias("w")).toArrow()
+        kind = "at int, weights binary"
+        table = docs.filter(~F.col("held") & part).select("text").repartition(tasks).mapInArrow(run, kind).groupBy("at").applyInArrow(_mean, kind).toArrow()
         if table.num_rows:
-            flat = np.zeros_like(flat)
-            flat[np.asarray(table.column("i"))] = np.asarray(table.column("w"))
+            flat = np.frombuffer(b"".join(table.sort_by("at").column("weights").to_pylist()), dtype="<f4").copy()
     return flat
 
 
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of a piece's weights over all tasks."""
+    total, n = None, table.num_rows
+    for x in table.column("weights"):
+        w = np.frombuffer(x.as_py(), dtype="<f4").astype(np.float64)
+        total = w if total is None else total + w
+    return pa.table({"at": table.column("at").slice(0, 1), "weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     blocks = shared.partitions(docs, 8)
