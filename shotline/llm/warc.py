@@ -63,8 +63,11 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     large = rows.select("__page", "__digest").filter(F.col("__bytes") >= LEAST)
     groups = large.groupBy("__digest").agg(F.max("__page").alias("__last"), F.count("*").alias("n")).filter("n > 1 and __last is not null")
     groups = shared.materialize(groups.select("__digest", "__last"))
-    few = groups.count() <= FEW
-    joined = rows.join(F.broadcast(groups) if few else groups, "__digest", "left")
+    if groups.count() <= FEW:
+        joined = rows.join(F.broadcast(groups), "__digest", "left")
+    else:  # small pages stay where they are; of the others a popular one is split, as each has one row to meet
+        last = F.lit(None).cast("long").alias("__last")
+        joined = rows.filter(F.col("__bytes") >= LEAST).join(groups, "__digest", "left").unionByName(rows.filter(F.col("__bytes") < LEAST).select("*", last))
     again = (F.col("__bytes") >= LEAST) & F.col("__last").isNotNull() & ~F.col("__page").eqNullSafe(F.col("__last"))
     kind = F.when(again, "revisit").otherwise("response")
     written = F.when(again, 0).otherwise(F.col("__bytes")) + 1024
