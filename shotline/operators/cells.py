@@ -28,6 +28,8 @@ FIT_ROWS = 65_536
 CELL_ROWS = 65_536
 CENTRE_BYTES = 64 << 20
 SLACK = 1e-9
+#: Cells of the first round of an exact search.
+FIRST = 4
 
 
 class Cells(NamedTuple):
@@ -124,7 +126,7 @@ def search(index: Cells, queries: DataFrame, k: int = 20, effort: int | None = N
     visited, at = [], 0
     most = cells if effort is None else min(effort, cells)
     while at < most:
-        to = most if effort is not None else min(most, max(1, 2 * at))
+        to = most if effort is not None else min(most, max(FIRST, 2 * at))
         bar = hits.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
         due = order(index, unit, at, to).join(bar, "query_id", "left")
         due = materialize(due.filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK)).select("query_id", "cell"))

@@ -68,6 +68,28 @@ def latency(trace: DataFrame) -> DataFrame:
     return trace.groupBy("type", "stage").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.expr("percentile(seconds, 0.5)").alias("p50"), F.expr("percentile(seconds, 0.95)").alias("p95"), (F.count("*") / F.sum("seconds")).alias("per_second"))
 
 
+#: Share of ranks that a sketch's percentile may be off; with SKETCH_K entries a level the sketch's own bound is below it.
+RANK_ERROR, SKETCH_K = 0.02, 400
+
+
+def latency_sketches(trace: DataFrame, keys: list[str] | None = None, every: str = "1 hour") -> DataFrame:
+    """Trace (*keys, seconds, ts) as KLL sketches, a row for each key and hour: n and sketch; works on streams with a watermark, too.
+
+    Sketches of hours can be kept and merged later (merged_latency), where exact percentiles would need all rows again.  Seconds that are null or
+    NaN don't count.
+    """
+    keys = ["stage"] if keys is None else keys
+    rows = trace.filter(F.col("seconds").isNotNull() & ~F.isnan("seconds"))
+    return rows.groupBy(*keys, F.window("ts", every).alias("hour")).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("seconds").cast("double"), SKETCH_K).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n, hours, p50, p95) of kept sketches, merged."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.count_distinct("hour").alias("hours"), F.kll_merge_agg_double("sketch").alias("s"))
+    at = lambda q: F.kll_sketch_get_quantile_double(F.col("s"), F.lit(q))
+    return merged.select(*keys, "n", "hours", at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
 def reasons(checked: DataFrame) -> DataFrame:
     """How often each outcome of the grounding contract occurs."""
     return checked.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotline.operators import blocks, evaluate, postings, search, shots, temporal
+from shotline.operators import blocks, boxes, cells, evaluate, postings, search, shots, temporal
 
 FRAME = "point_id long, vector array<double>"
 
@@ -225,3 +225,63 @@ def test_token_match_against_brute_force(spark, monkeypatch, tmp_path, ids):
     every = postings.token_match(q, t, None)
     assert {(r.query_id, r.point_id, r.rank) for r in every.filter("rank <= 6").collect()} == want and every.filter("rank > 6").count() > 0
     assert postings.token_match(q, t.limit(0)).count() == 0 and postings.token_match(q.limit(0), t).count() == 0
+
+
+def test_cells_are_visited_in_order_of_bounds(spark, tmp_path):
+    """Frames in forty tight groups: an exact search reads fewer than half of the cells, and any effort finds nearly all."""
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 25, axis=0) + rng.normal(size=(1000, 16)) * 0.1
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0]), (5002, [float("nan")] * 16), (5003, [0.0] * 16), (5004, rows0 := [float(c) for c in x[3]]), (5005, rows0)]
+    asks = [(i, [float(c) for c in x[i] + 0.01]) for i in range(0, 1000, 50)] + [(7777, None)]
+    f, q = spark.createDataFrame(rows, FRAME), spark.createDataFrame(asks, "query_id long, vector array<double>")
+    cells.build(f, str(tmp_path / "cells"), 40)
+    index = cells.load(spark, str(tmp_path / "cells"))  # outlives its builder
+    n = index.centres.count()
+    want = {(r.query_id, r.point_id, r.rank) for r in search.knn(q, f, 10).collect()}
+    hits, reads = cells.search(index, q, 10)
+    assert {(r.query_id, r.point_id, r.rank) for r in hits.collect()} == want
+    assert sum(r.cells for r in reads.collect()) < n / 2 * reads.count() and reads.count() == 20
+    for effort in (2, 4, 8):
+        part, reads = cells.search(index, q, 10, effort)
+        assert len({(r.query_id, r.point_id) for r in part.collect()} & {x[:2] for x in want}) >= 0.9 * len(want) and {r.cells for r in reads.collect()} == {effort}
+    whole, _ = cells.search(index, q, 10, n)
+    assert {(r.query_id, r.point_id, r.rank) for r in whole.collect()} == want
+    none = cells.build(f.limit(0))
+    assert cells.search(none, q, 10)[0].count() == 0 and cells.search(index, q.limit(0), 10)[0].count() == 0
+
+
+@pytest.mark.parametrize(("least", "by_label"), [(0.3, True), (0.5, False), (1.0, True), (0.05, False)])
+def test_suppression_in_rounds_against_one_by_one(spark, least, by_label):
+    rng = random.Random(15)
+    rows = []
+    for frame in range(6):
+        for _ in range(60):
+            x, y, s = rng.uniform(-20, 40), rng.uniform(-20, 40), rng.choice([0.3, 3, 30, 30, 200])
+            rows.append((frame, rng.choice("ab"), [x, y, x + s * rng.uniform(0.4, 1), y + s * rng.uniform(0.4, 1)], round(rng.random(), 2)))
+    rows += [(1, "a", [5.0, 5.0, 5.0, 9.0], 0.9), (1, "a", [5.0, 5.0, 5.0, 9.0], 0.9), (2, "a", [0.0, 0.0, 8.0, 8.0], 0.99), (2, "a", [0.0, 0.0, 8.0, 8.0], 0.99), (2, "b", [float("nan"), 0.0, 1.0, 1.0], 0.1)]
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        inter = max(w, 0.0) * max(h, 0.0)
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+        return inter / union if union > 0 else 0.0
+
+    want = []
+    for frame in range(6):
+        kept = []
+        for b in sorted((r for r in rows if r[0] == frame), key=lambda r: (-r[3], r[1], r[2])):
+            if not any((k[1] == b[1] or not by_label) and overlap(k[2], b[2]) >= least for k in kept):
+                kept.append(b)
+        want += kept
+    df = spark.createDataFrame(rows, "frame_id int, label string, bbox array<double>, conf double").repartition(5)
+    got = boxes.suppress(df, least, by_label)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert boxes.suppress(df.limit(0), least).count() == 0
+
+
+def test_tiles_and_their_boxes(spark):
+    f = spark.createDataFrame([("f", 1000, 600)], "frame_id string, width int, height int")
+    assert sorted((r.x, r.y) for r in boxes.tiles(f, 640, 0.2).collect()) == [(0, 0), (360, 0)]
+    found = spark.createDataFrame([("f", 0, 0, "cat", [350.0, 10.0, 450.0, 110.0], 0.9), ("f", 360, 0, "cat", [0.0, 10.0, 90.0, 110.0], 0.8)], "frame_id string, x int, y int, label string, bbox array<double>, conf double")
+    assert [(r.bbox, r.conf) for r in boxes.suppress(boxes.placed(found)).collect()] == [([350.0, 10.0, 450.0, 110.0], 0.9)]  # cut by a tile's edge, found twice
