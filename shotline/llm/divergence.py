@@ -30,7 +30,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Bytes of a text from which its words are taken one by one rather than as a list.
 LONG = 1 << 22
 #: Counts that a task holds before it sends them on.
-HELD = 200_000
+HELD = 500_000
 #: Sources of a block, and counts of a part of the words, on average.
 BLOCK = 128
 PART = 200_000
