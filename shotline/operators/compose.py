@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.functions import text as T
@@ -156,3 +156,34 @@ def index_shots(points: DataFrame) -> DataFrame:
 
     names = points.groupBy("source_file", "scene_id").agg(F.min("shot_id").alias("shot_id"))
     return shots.shot_vectors(points).join(names, ["source_file", "scene_id"]).withColumn("point_id", ids.uuid5(F.col("shot_id")))
+
+
+def scenes_of(official: DataFrame, predictions: DataFrame, fps: float) -> DataFrame:
+    """(source_file, scene_id, start, end, official_id): a video's official shots (source_file, shot_id, start, end) or else those that its predictions cut."""
+    from pyspark.sql import Window
+
+    from shotline.operators import shots
+
+    given = official.select("source_file", "start", "end", F.col("shot_id").alias("official_id"))
+    cut = shots.shot_seconds(shots.stitch(predictions.join(official.select("source_file").distinct(), "source_file", "left_anti")), fps)
+    both = given.unionByName(cut.select("source_file", "start", "end", F.lit(None).cast("string").alias("official_id")))
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("start", "end", "official_id")) - 1
+    return both.withColumn("scene_id", place.cast("long"))
+
+
+def index_files(spark: SparkSession, root: str, frames: DataFrame, predictions: DataFrame, fps: float = 25.0, rate: float = 3.0) -> DataFrame:
+    """C4 whole, from files: the frames to be indexed of the videos under root.
+
+    root has media anywhere (S8) and assets in the folders msb (S2), asr (S3) and metadata (S4); a video's name is its file's without
+    ending.  frames: source_file, frame_idx, timestamp, vector, size, raw, caption, ocr_text, actions, dets, of all frames;
+    predictions: source_file, chunk_start, valid, preds, of the videos without official shots.  Scenes are sampled at rate (F7), then
+    indexed (index).
+    """
+    from shotline.operators import shots
+    from shotline.sources import files
+
+    videos = files.manifest(spark, root).filter("kind = 'video'").select(F.regexp_replace("name", r"\.[^.]*$", "").alias("source_file")).distinct()
+    scenes = scenes_of(files.shot_bounds(spark, f"{root}/msb"), predictions, fps).join(videos, "source_file", "left_semi")
+    sampled = shots.frame_step(frames, scenes, fps, rate).drop("start", "end", "official_id")
+    meta = files.metadata(spark, f"{root}/metadata")
+    return index(sampled, scenes.select("source_file", "scene_id", "official_id"), files.asr(spark, f"{root}/asr"), meta)

@@ -33,11 +33,11 @@ def shot_bounds(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(_stem(F.input_file_name()).alias("source_file"), "value")
     lines = files.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     used = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#"))
-    parts = F.filter(F.transform(F.split(F.regexp_replace("line", ",", "\t"), r"\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace("line", ",", "\t"), r"\s+"), lambda x: F.trim(x)), lambda x: x != "")
     numbers = F.filter(F.transform("parts", _number), lambda x: x.isNotNull())
     name = F.get(F.filter("parts", lambda x: _number(x).isNull()), F.lit(0))
     rows = used.withColumn("parts", parts).withColumn("n", numbers).filter(F.size("n") >= 2)
-    out = rows.select("source_file", F.coalesce(name, F.format_string("shot%06d", F.col("pos"))).alias("shot_id"), F.col("n")[0].alias("start"), F.col("n")[1].alias("end"))
+    out = rows.select("source_file", F.coalesce(name, F.format_string("shot%06d", F.col("pos"))).alias("shot_id"), F.get("n", F.lit(0)).alias("start"), F.get("n", F.lit(1)).alias("end"))
     return out.filter("end > start")
 
 
@@ -54,7 +54,7 @@ def asr(spark: SparkSession, path: str) -> DataFrame:
         plain = F.transform(fields, lambda x: F.trim(F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)))
         rows = lines.withColumn("f", plain).filter(F.size("f") >= 3)
         text = F.trim(F.array_join(F.filter(F.slice("f", 3, F.size("f")), lambda x: x != ""), " "))
-        rows = rows.select("source_file", _number(F.col("f")[0]).alias("start"), _number(F.col("f")[1]).alias("end"), text.alias("text")).filter("start < end and text <> ''")
+        rows = rows.select("source_file", _number(F.get("f", F.lit(0))).alias("start"), _number(F.get("f", F.lit(1))).alias("end"), text.alias("text")).filter("start < end and text <> ''")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -84,7 +84,7 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
     n = F.least(F.size("b"), F.size("l"), F.size("s"))
     each = named.filter(n > 0).select("source_file", "frame_id", F.explode(F.slice(F.arrays_zip("b", "l", "s"), F.lit(1), n)).alias("d")).filter(F.size("d.b") == 4)
     box = F.col("d.b")
-    return each.select("source_file", "frame_id", F.col("d.l").alias("label"), F.array(box[1], box[0], box[3], box[2]).alias("bbox"), F.col("d.s").alias("conf"))
+    return each.select("source_file", "frame_id", F.col("d.l").alias("label"), F.array(*[F.get(box, F.lit(k)) for k in (1, 0, 3, 2)]).alias("bbox"), F.col("d.s").alias("conf"))
 
 
 def keyframe_index(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,3 +94,27 @@ def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
 def append_log(lines: DataFrame, path: str) -> None:
     """K7."""
     lines.write.mode("append").json(path)
+
+
+def write_named(texts: DataFrame, path: str, ending: str) -> None:
+    """Texts (name, value) as files path/name + ending, one each; a name may hold folders.
+
+    Spark writes the files; then each is renamed, so that the driver handles names alone.
+    """
+    spark = texts.sparkSession
+    own = f"{path}/.{uuid.uuid4().hex}"
+    keyed = texts.select(F.hex(F.col("name").cast("binary")).alias("name"), "value")
+    keyed.repartition("name").write.partitionBy("name").text(own)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(own)):
+        if not folder.isDirectory():
+            continue
+        name = bytes.fromhex(folder.getPath().getName().split("=")[1]).decode()
+        files = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
+        if len(files) != 1:
+            raise ValueError(f"{name} has {len(files)} texts")
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{ending}")
+        fs.mkdirs(target.getParent())
+        fs.rename(files[0], target)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(own), True)
