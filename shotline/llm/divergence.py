@@ -43,14 +43,22 @@ def words_of(text: bytes) -> Counter[bytes]:
 
 
 def add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, source, n, text), equal keys side by side -> (lang, source, term, count, docs), summed as far as HELD allows."""
+    """(lang, key, source, n, text), equal keys side by side -> (lang, term, source, count, docs), summed as far as HELD allows; the last three are lists, so that a word travels once for all its sources."""
     held: dict[tuple[str, str], tuple[dict[bytes, int], dict[bytes, int]]] = {}
     size, before, words = 0, None, Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in held.items():
-            n = len(counts)
-            yield pa.record_batch({"lang": pa.array([lang] * n, pa.string()), "source": pa.array([source] * n, pa.string()), "term": pa.array(list(counts), pa.binary()).cast(pa.string()), "count": pa.array(list(counts.values()), pa.int64()), "docs": pa.array(list(docs.values()), pa.int64())})
+        for lang in {k[0] for k in held}:
+            own = [(source, counts, docs) for (x, source), (counts, docs) in held.items() if x == lang]
+            coded = pa.array([t for _, counts, _ in own for t in counts], pa.binary()).dictionary_encode()
+            code = np.asarray(coded.indices)
+            order = pa.array(np.argsort(code, kind="stable"))
+            at = pa.array(np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))), pa.int32())
+            listed = lambda x, kind, at=at, order=order: pa.ListArray.from_arrays(at, pa.array(x, kind).take(order))
+            yield pa.record_batch({
+                "lang": pa.array([lang] * len(coded.dictionary), pa.string()), "term": coded.dictionary.cast(pa.string()), "source": listed([s for s, counts, _ in own for _ in counts], pa.string()),
+                "count": listed([c for _, counts, _ in own for c in counts.values()], pa.int64()), "docs": listed([d for _, _, docs in own for d in docs.values()], pa.int64()),
+            })
         held.clear()
 
     for b in batches:
@@ -77,7 +85,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     copies = rows.groupBy("lang", "key", "source").agg(F.count("*").alias("n"))
     distinct = rows.groupBy("lang", "key").agg(F.first("text").alias("text"))
     each = distinct.join(copies, ["lang", "key"]).select("lang", "key", "source", "n", "text")
-    found = each.mapInArrow(add_terms, "lang string, source string, term string, count long, docs long")
+    packed = each.mapInArrow(add_terms, "lang string, term string, source array<string>, count array<long>, docs array<long>").repartition("lang", "term")
+    found = packed.select("lang", "term", F.explode(F.arrays_zip("source", "count", "docs")).alias("x")).select("lang", "term", "x.source", "x.count", "x.docs")
     return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
