@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from shotline.functions import vectors as V
 
@@ -69,3 +73,28 @@ def score_with(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], name:
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` double"])
     return df.mapInPandas(run, schema)
+
+
+def batch_model(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 256) -> Callable[[Column], Column]:
+    """U1 in batches: a column of vectors from a model that load makes, once a worker; it takes an array of batch inputs and returns a row for each.
+
+    A null input reaches the model as None.
+    """
+    return predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch)
+
+
+def word_digits() -> Callable[[np.ndarray], np.ndarray]:
+    """A model that needs no file: a text's words counted by the first digit of their MD5, of unit length; without words all zeros."""
+    digit: dict[str, int] = {}  # kept as long as the worker
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), 16))
+        for row, text in enumerate(texts):
+            for w in re.findall(r"\w+", (text or "").lower()):
+                if w not in digit:
+                    digit[w] = int(hashlib.md5(w.encode()).hexdigest()[0], 16)
+                out[row, digit[w]] += 1
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(size > 0, size, 1)
+
+    return predict

@@ -129,11 +129,18 @@ def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("frame_id", "label", *[F.round(b[k], 3).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))], r6("conf"))
 
 
+def text_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and every hundredth of them as a query through a model that workers load once; the five nearest of each."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), hooks.batch_model(hooks.word_digits)(F.col("text")).alias("vector"))
+    q = d.filter("point_id % 100 = 0").withColumnRenamed("point_id", "query_id")
+    return search.knn(q, d, 5).select("query_id", "point_id", r6("score"), "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         token_budgets, video_timeline, pending_clarifications, clarify_inputs, ocr_texts, merged_objects, region_boxes, sample_positions, decompositions,
-        verification_questions, modality_counts, video_coverage, latency_sketches, tile_boxes,
+        verification_questions, modality_counts, video_coverage, latency_sketches, tile_boxes, text_model_search,
     )
 }
 
@@ -174,4 +181,8 @@ SQL: dict[str, str] = {
         n AS (SELECT frame_id, list_reduce(d, lambda kept, b: CASE WHEN len(list_filter(kept, lambda o: o.label = b[1].label AND {oracle._AREAS} - {oracle._INTER} > 0 AND {oracle._INTER} / ({oracle._AREAS} - {oracle._INTER}) >= 0.3)) > 0 THEN kept ELSE list_concat(kept, b) END) AS kept FROM t),
         u AS (SELECT frame_id, unnest(kept) AS b FROM n)
         SELECT frame_id, b.label AS label, round(b.x1, 3) AS x1, round(b.y1, 3) AS y1, round(b.x2, 3) AS x2, round(b.y2, 3) AS y2, round(b.conf, 6) AS conf FROM u""",
+    "text_model_search": rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents), c AS (SELECT doc_id, md5(w)[1] AS g, count(*) AS n FROM w GROUP BY ALL),
+        k AS (SELECT unnest(string_split('0,1,2,3,4,5,6,7,8,9,a,b,c,d,e,f', ',')) AS g), v AS (SELECT doc_id, list(coalesce(n, 0)::DOUBLE ORDER BY g) AS v FROM documents CROSS JOIN k LEFT JOIN c USING (doc_id, g) GROUP BY doc_id),
+        s AS (SELECT q.doc_id AS query_id, d.doc_id AS point_id, round(coalesce(list_cosine_similarity(q.v, d.v), 0), 9) AS score FROM v q CROSS JOIN v d WHERE q.doc_id % 100 = 0),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INTEGER AS rank FROM s) SELECT query_id, point_id, round(score, 6) AS score, rank FROM h WHERE rank <= 5""",
 }

@@ -285,3 +285,37 @@ def test_tiles_and_their_boxes(spark):
     assert sorted((r.x, r.y) for r in boxes.tiles(f, 640, 0.2).collect()) == [(0, 0), (360, 0)]
     found = spark.createDataFrame([("f", 0, 0, "cat", [350.0, 10.0, 450.0, 110.0], 0.9), ("f", 360, 0, "cat", [0.0, 10.0, 90.0, 110.0], 0.8)], "frame_id string, x int, y int, label string, bbox array<double>, conf double")
     assert [(r.bbox, r.conf) for r in boxes.suppress(boxes.placed(found)).collect()] == [([350.0, 10.0, 450.0, 110.0], 0.9)]  # cut by a tile's edge, found twice
+
+
+def test_index_from_files_is_what_its_parts_say(spark, tmp_path):
+    """V0 has official shots, V1 is cut by predictions, V2 isn't among the media."""
+    from shotline.operators import compose
+
+    rng = random.Random(16)
+    frames = [(f"V{v}", i, i / 25.0, [rng.gauss(0, 1) for _ in range(4)], float(rng.randrange(90)), rng.random(), f"cap {i}", "", ["act"], [("dog",)]) for v in range(3) for i in range(200)]
+    kind = "source_file string, frame_idx long, timestamp double, vector array<double>, size double, raw double, caption string, ocr_text string, actions array<string>, dets array<struct<label:string>>"
+    f = spark.createDataFrame(frames, kind)
+    for name, text in (("raw/V0.mp4", "x"), ("raw/V1.MP4", "x"), ("msb/V0.txt", "# head\n0,3\nb 3.0 8.0\nnonsense\n"), ("asr/V0.csv", "0.5,1.0,hello\nbad\n"), ("metadata/V0.json", '{"title": "T"}'), ("metadata/V1.json", "[")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rises = {60, 61, 120}
+    chunks = [(f"V{v}", s, min(50, 200 - s), [0.9 if s + k - 25 in rises else 0.1 for k in range(100)]) for v in (0, 1) for s in range(0, 200, 50)]
+    preds = spark.createDataFrame(chunks, "source_file string, chunk_start long, valid int, preds array<double>")
+    got = compose.index_files(spark, str(tmp_path), f, preds, 25.0, 5.0)
+    scenes = [("V0", 0, 0.0, 3.0, "shot000001"), ("V0", 1, 3.0, 8.0, "b"), ("V1", 0, 0.0, 2.4, None), ("V1", 1, 2.4, 4.8, None), ("V1", 2, 4.8, 8.0, None)]
+    picked = [(*r, n) for r in frames for s, n, a, b, _ in scenes if r[0] == s and int(a * 25) <= r[1] < int(b * 25) and (r[1] - int(a * 25)) % 5 == 0]
+    c = spark.createDataFrame(picked, kind + ", scene_id long")
+    own = spark.createDataFrame([(s, n, o) for s, n, _, _, o in scenes], "source_file string, scene_id long, official_id string")
+    asr = spark.createDataFrame([("V0", 0.5, 1.0, "hello")], "source_file string, start double, end double, text string")
+    meta = spark.createDataFrame([("V0", {"title": "T"}), ("V1", {})], "source_file string, meta map<string,string>")
+    columns = ["point_id", "source_file", "scene_id", "shot_id", "frame_idx", "text_blob"]
+    want = sorted(map(str, compose.index(c, own, asr, meta).select(*columns).collect()))
+    assert sorted(map(str, got.select(*columns).collect())) == want and len(want) >= 5 and any("hello" in w for w in want)
+
+
+def test_shot_lines_that_begin_with_any_digit(spark, tmp_path):
+    from shotline.sources import files
+
+    (tmp_path / "a.txt").write_text("0.0,0.8\n1 2\nx 0 1\nshot\n3\n2.5,2.0\n")
+    got = sorted((r.shot_id, r.start, r.end) for r in files.shot_bounds(spark, str(tmp_path)).collect())
+    assert got == [("shot000000", 0.0, 0.8), ("shot000001", 1.0, 2.0), ("x", 0.0, 1.0)]
