@@ -2,7 +2,7 @@
 
 queries: query_id, type (1 known item, 2 question, 3 sequence of events), vector, text, hyde_vector, hyde_text (those of a
 hypothetical description) and second (the query in a second model); null parts search nothing.
-What several branches read, at most a hundred hits a query, is persisted.
+What several branches read, at most a hundred hits a query, is written to the shared folder once.
 frames: point_id, vector, second, text_blob, source_file, frame_idx, scene_id, timestamp.
 events: query_id, event, vector, for queries of type 3.  media: name of each file there is.
 score and answer: the caller's models, functions that take hits and return them with a column raw, the text of the model's
@@ -62,11 +62,12 @@ def interactive(queries: DataFrame, events: DataFrame, frames: DataFrame, media:
     item is a point, for sequences a video.  pending (query_id, point_id, answer): the candidates of a clarification that
     the query answers, a row each.  ask: whether a known-item search is so ambiguous that a clarification follows.
     """
-    found = fuse.diversify(fuse.coherence(retrieve(queries, frames, 15)).withColumn("score", F.col("boosted")), 100).persist()
+    found = search.materialize(fuse.diversify(fuse.coherence(retrieve(queries, frames, 15)).withColumn("score", F.col("boosted")), 100))
     kind = queries.select("query_id", "type")
     typed = found.join(kind, "query_id")
     one = typed.filter("type = 1").join(frames.select("point_id", "text_blob"), "point_id")
-    boosted = session.clarification_boost(one.drop("boosted"), pending.select("query_id", "point_id"), pending.select("query_id", "answer").distinct()).withColumn("score", F.col("boosted")).drop("old_rank").persist()
+    boosted = session.clarification_boost(one.drop("boosted"), pending.select("query_id", "point_id"), pending.select("query_id", "answer").distinct())
+    boosted = search.materialize(boosted.withColumn("score", F.col("boosted")).drop("old_rank"))
     asks = session.ambiguity(boosted).select("query_id", "ask")
     head = lambda hits, n: hits.filter(F.col("rank") <= n)
     scored = fuse.threshold(known_items(head(boosted, 10), score))
@@ -87,7 +88,7 @@ def batch(queries: DataFrame, events: DataFrame, frames: DataFrame, media: DataF
     No coherence boost.  Known items and questions: the first head are re-ordered by the model's scores, the rest stay
     as they are; the best question candidate's answer travels with all of its query's places.
     """
-    found = fuse.diversify(retrieve(queries, frames, k), k).join(queries.select("query_id", "type"), "query_id").persist()
+    found = search.materialize(fuse.diversify(retrieve(queries, frames, k), k).join(queries.select("query_id", "type"), "query_id"))
     reorder = lambda hits, scored: fuse.head_tail(hits, scored.select("query_id", "point_id", F.col("rerank_score").alias("new_score")), head, k)
     top = lambda hits: hits.filter(F.col("rank") <= head)
     name = T.frame_name(F.col("frame_idx"), F.col("timestamp"))
@@ -96,7 +97,8 @@ def batch(queries: DataFrame, events: DataFrame, frames: DataFrame, media: DataF
     one = found.filter("type = 1")
     firsts = reorder(one, known_items(top(one), score)).select(*plain(F.concat_ws(", ", "source_file", name)))
     two = queries.filter("type = 2")
-    wider = search.refine_in_videos(two, found.filter("type = 2"), frames).filter(F.col("rank") <= k).join(frames.select(*PLACE), "point_id").withColumn("type", F.lit(2)).persist()
+    wider = search.refine_in_videos(two, found.filter("type = 2"), frames).filter(F.col("rank") <= k).join(frames.select(*PLACE), "point_id")
+    wider = search.materialize(wider.withColumn("type", F.lit(2)))
     checked = questions(top(wider), media, answer)
     ordered = reorder(wider, checked)
     best = ordered.filter("rank = 1").select("query_id", "point_id").join(checked.select("query_id", "point_id", "vqa_answer"), ["query_id", "point_id"]).select("query_id", "vqa_answer")

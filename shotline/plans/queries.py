@@ -470,10 +470,11 @@ def setting(spark: SparkSession, sf_dir: str) -> Setting:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
     said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("text"), F.array_join(F.slice(words, 4, 2), " ").alias("hyde_text"))
     kind = (F.col("query_id") % 150 / 50 + 1).cast("int")
-    queries = q.join(hyde, "query_id", "left").join(said, "query_id", "left").select("query_id", kind.alias("type"), "vector", "text", "hyde_vector", "hyde_text", V.truncate(F.col("vector"), 16).alias("second"), "label").persist()
+    queries = q.join(hyde, "query_id", "left").join(said, "query_id", "left").select("query_id", kind.alias("type"), "vector", "text", "hyde_vector", "hyde_text", V.truncate(F.col("vector"), 16).alias("second"), "label")
+    queries = search.materialize(queries)
     at = F.col("vec_id") % 50
     events = e.filter(at < 3).select((F.col("vec_id") - at).alias("query_id"), at.cast("int").alias("event"), F.col("embedding").alias("vector")).filter("query_id % 150 = 100")
-    f = frames(spark, sf_dir).join(texts(spark, sf_dir), "point_id", "left").withColumn("second", V.truncate(F.col("vector"), 16))
+    f = search.materialize(frames(spark, sf_dir).join(texts(spark, sf_dir), "point_id", "left").withColumn("second", V.truncate(F.col("vector"), 16)))
     media = f.filter("label % 4 <> 3").select(F.col("source_file").alias("name")).distinct()
     p, n = F.col("point_id"), F.col("query_id")
     said_score = F.concat(F.lit("Score: "), (((p * 7 + n) % 11) / 10.0).cast("string"), F.lit(" of 1"))
