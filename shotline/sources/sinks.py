@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from shotline.operators.search import checkpoint
@@ -96,25 +100,63 @@ def append_log(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").json(path)
 
 
+def _files(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The store of path as tasks reach it, and the folder in it; None if only Spark reaches it."""
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        return None
+
+
 def write_named(texts: DataFrame, path: str, ending: str) -> None:
     """Texts (name, value) as files path/name + ending, one each; a name may hold folders.
 
-    Spark writes the files; then each is renamed, so that the driver handles names alone.
+    Each task writes the files of its names, under another name first, so that a task that runs again replaces whole files; nothing
+    passes through the driver.  In a store that only Spark reaches, Spark writes the files, and the driver renames them.
     """
+    if _files(path) is None:
+        return _write_renamed(texts, path, ending)
+
+    def write(rows: Iterator[Row]) -> Iterator[str]:
+        store, folder = _files(path)
+        made, twice = set(), None
+        for name, own in itertools.groupby(rows, lambda r: r["name"]):
+            value = next(own)["value"]
+            if next(own, None) is not None:
+                twice = name
+                continue
+            target = f"{folder}/{name}{ending}"
+            parent, _, last = target.rpartition("/")
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            hidden = f"{parent}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden, compression=None) as out:
+                out.write(f"{'' if value is None else value}\n".encode())
+            store.move(hidden, target)
+        if twice is not None:
+            yield twice
+
+    keyed = texts.select("name", "value").repartition("name").sortWithinPartitions("name")
+    if bad := keyed.rdd.mapPartitions(write).collect():  # one a task at most
+        raise ValueError(f"{bad[0]} has several texts")
+
+
+def _write_renamed(texts: DataFrame, path: str, ending: str) -> None:
     spark = texts.sparkSession
     own = f"{path}/.{uuid.uuid4().hex}"
     keyed = texts.select(F.hex(F.col("name").cast("binary")).alias("name"), "value")
     keyed.repartition("name").write.partitionBy("name").text(own)
     jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(own)):
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in store.listStatus(jvm.org.apache.hadoop.fs.Path(own)):
         if not folder.isDirectory():
             continue
         name = bytes.fromhex(folder.getPath().getName().split("=")[1]).decode()
-        files = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
+        files = [x.getPath() for x in store.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
         if len(files) != 1:
             raise ValueError(f"{name} has {len(files)} texts")
         target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{ending}")
-        fs.mkdirs(target.getParent())
-        fs.rename(files[0], target)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(own), True)
+        store.mkdirs(target.getParent())
+        store.rename(files[0], target)
+    store.delete(jvm.org.apache.hadoop.fs.Path(own), True)
