@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import hashlib
 import re
 import unicodedata
@@ -83,17 +84,22 @@ def batch_model(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: i
     return predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch)
 
 
+#: Words whose digits a worker keeps at hand.
+WORDS = 1 << 16
+
+
 def word_digits() -> Callable[[np.ndarray], np.ndarray]:
     """A model that needs no file: a text's words counted by the first digit of their MD5, of unit length; without words all zeros."""
-    digit: dict[str, int] = {}  # kept as long as the worker
+
+    @functools.lru_cache(maxsize=WORDS)  # kept as long as the worker
+    def digit(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[0], 16)
 
     def predict(texts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), 16))
         for row, text in enumerate(texts):
             for w in re.findall(r"\w+", (text or "").lower()):
-                if w not in digit:
-                    digit[w] = int(hashlib.md5(w.encode()).hexdigest()[0], 16)
-                out[row, digit[w]] += 1
+                out[row, digit(w)] += 1
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

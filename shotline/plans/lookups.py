@@ -132,6 +132,7 @@ def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and every hundredth of them as a query through a model that workers load once; the five nearest of each."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), hooks.batch_model(hooks.word_digits)(F.col("text")).alias("vector"))
+    d = search.materialize(d)  # the model reads a text once, however many blocks of queries there are
     q = d.filter("point_id % 100 = 0").withColumnRenamed("point_id", "query_id")
     return search.knn(q, d, 5).select("query_id", "point_id", r6("score"), "rank")
 

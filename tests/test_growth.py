@@ -1,9 +1,13 @@
 """What a query costs beside its result: calls of the driver, memory of a task, rows that travel."""
 
+import gc
 import itertools
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from shotline.functions import hooks
 from shotline.sources import files, sinks
 
 
@@ -25,3 +29,17 @@ def test_the_driver_does_not_handle_each_named_file(spark, monkeypatch, tmp_path
     got = {str(p.relative_to(tmp_path / "many")): p.read_text() for p in (tmp_path / "many").rglob("*") if p.is_file() and p.suffix == ".txt"}
     assert got == {f"sub/d{i % 3}/é{i}.txt": f"text {i}\n" if i else "\n" for i in range(60)}
     assert files.manifest(spark, str(tmp_path / "many")).count() == 0 and len(list((tmp_path / "few").rglob("*.txt"))) == 3
+
+
+def test_a_worker_keeps_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(hooks, "WORDS", 100, raising=False)
+    model = hooks.word_digits()
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(50)]
+    model(np.array(texts[:1], dtype=object))
+    gc.collect()
+    tracemalloc.start()
+    out = model(np.array(texts, dtype=object))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000  # 50,000 words take five times as much
+    assert out.shape == (50, 16) and np.allclose(np.linalg.norm(out, axis=1), 1)
