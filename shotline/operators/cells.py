@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.functions import vectors as V
-from shotline.operators.search import PLACES, _merge, _within, materialize, of_one_length, shared_dir
+from shotline.operators.search import PLACES, _merge, _scan, materialize, of_one_length, shared_dir
 
 #: Frames that centres are fitted on, frames of a cell on average, and bytes of all centres, at most.
 FIT_ROWS = 65_536
@@ -135,7 +135,7 @@ def search(index: Cells, queries: DataFrame, k: int = 20, effort: int | None = N
             break  # bounds fall: what comes later can't reach the bar either
         visited.append(due)
         frames = index.frames.filter(F.col("cell").isin(own))
-        found = _within(unit, frames, due.withColumn("skip", F.array().cast("array<long>")), ["cell"], k).select("query_id", "point_id", F.round("score", PLACES).alias("score"))
+        found = _scan(unit, frames, due.withColumn("skip", F.array().cast("array<long>")), "cell", k).select("query_id", "point_id", F.round("score", PLACES).alias("score"))
         hits = materialize(_merge(hits.drop("rank").unionByName(found), k))
         at = to
     reads = unit.select("query_id")

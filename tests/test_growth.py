@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shotline.functions import hooks
+from shotline.operators import cells, search
 from shotline.sources import files, sinks
 
 
@@ -43,3 +44,20 @@ def test_a_worker_keeps_a_bounded_number_of_words(monkeypatch):
     tracemalloc.stop()
     assert held < 1_000_000  # 50,000 words take five times as much
     assert out.shape == (50, 16) and np.allclose(np.linalg.norm(out, axis=1), 1)
+
+
+def test_videos_and_cells_are_searched_without_moving_frames(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vector = lambda: [float(x) for x in rng.normal(size=4)]
+    rows = [(i, "hot" if i % 3 else f"v{i % 5}", vector()) for i in range(200)] + [(900, None, vector()), (901, "hot", None)]
+    f = spark.createDataFrame(rows, "point_id long, source_file string, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(f"q{i}", "hot" if i % 4 else "v0", vector()) for i in range(20)], "query_id string, source_file string, vector array<double>")
+    hits = search.knn(q, f, 6)
+    taken = lambda df: {(r.query_id, r.point_id, r.rank) for r in df.collect()}
+    act = lambda: (taken(search.in_video(q, f, 5)), taken(search.refine_in_videos(q, hits, f, 2, 3)), taken(cells.search(cells.build(f, cells=5), q, 6)[0]))
+    monkeypatch.setattr(search, "_blocks", None)  # lists of vectors that would travel
+    once = act()
+    assert once[2] == taken(hits) and len(once[0]) == 100
+    for name, n in (("BLOCK_QUERIES", 7), ("SLOTS", 5), ("ROWS", 16), ("QUERIES", 2)):
+        monkeypatch.setattr(search, name, n)
+    assert act() == once
