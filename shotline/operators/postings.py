@@ -8,7 +8,7 @@ starts from each query's rarest token and meets the other tokens' blocks range b
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +23,8 @@ from shotline.operators.search import materialize, ranked, shared_dir
 RANGE = 65_536
 #: Queries that meet a range of ids in one task.
 ASKS = 16_384
+#: Words, or entries of lists, that a task sorts at once.
+WORK = 1 << 20
 
 
 class Index(NamedTuple):
@@ -61,9 +63,20 @@ def decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)) if len(end) else np.zeros(0, np.int64)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, words) -> (token, range, ids): each batch's distinct ids of a token in a range, as offsets."""
+def pieces(batches: Iterator[pa.RecordBatch], weights: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose rows weigh WORK together, or are one row; an Arrow batch is bounded in rows alone."""
     for b in batches:
+        upto = np.cumsum(np.asarray(weights(b).fill_null(0)).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORK, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, words) -> (token, range, ids): each slice's distinct ids of a token in a range, as offsets."""
+    for b in pieces(batches, lambda b: pc.list_value_length(b.column("words"))):
         words = b.column("words")
         size = np.asarray(words.value_lengths()).astype(np.int64)
         coded = words.flatten().dictionary_encode()
@@ -84,11 +97,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, range, parts) -> a row of the index each."""
-    for b in batches:
+    """(token, range, size, parts) -> a row of the index each; size: bytes of the parts."""
+    for b in pieces(batches, lambda b: pc.divide(b.column("size"), 2)):
         parts = b.column("parts")
-        if not b.num_rows:
-            continue
         bytes_of = np.asarray(pc.binary_length(parts.flatten())).astype(np.int64) // 2
         row = np.repeat(np.repeat(np.arange(b.num_rows), np.asarray(parts.value_lengths())), bytes_of)
         key = np.unique(row * RANGE + np.frombuffer(b"".join(parts.flatten().to_pylist()), dtype=np.uint16))
@@ -116,7 +127,7 @@ def build(texts: DataFrame, path: str | None = None) -> Index:
         ordered = texts.filter("point_id is not null").select("point_id").distinct().repartitionByRange("point_id").sortWithinPartitions("point_id")
         ordered.select(F.monotonically_increasing_id().alias("doc"), "point_id").write.parquet(f"{path}/names")
         rows = rows.join(spark.read.parquet(f"{path}/names"), "point_id").select("doc", "words")
-    parts = rows.mapInArrow(_lists, "token string, range long, ids binary").groupBy("token", "range").agg(F.collect_list("ids").alias("parts"))
+    parts = rows.mapInArrow(_lists, "token string, range long, ids binary").groupBy("token", "range").agg(F.sum(F.length("ids")).alias("size"), F.collect_list("ids").alias("parts"))
     lists = parts.mapInArrow(_merged, "token string, range long, least long, greatest long, n int, ids binary")
     lists.sortWithinPartitions("token", "range").write.parquet(f"{path}/lists")
     return load(spark, path)
@@ -160,7 +171,7 @@ def match(index: Index, queries: DataFrame, k: int | None = 20) -> DataFrame:
                 found = None
                 for i in own:
                     if i not in decoded:
-                        decoded[i] = decode(right.column("ids")[i].as_py())
+                        decoded[i] = decode(right.column("ids")[i].as_py()).astype(np.uint16)  # offsets in a range
                     ids = decoded[i]
                     if found is None:
                         found = ids
@@ -170,7 +181,7 @@ def match(index: Index, queries: DataFrame, k: int | None = 20) -> DataFrame:
                     if not len(found):
                         break
                 who += [row] * len(found[:k])
-                docs.append(found[:k] + start)
+                docs.append(found[:k].astype(np.int64) + start)
         return pa.table({"query_id": left.column("query_id").take(pa.array(who, pa.int64())), "doc": pa.array(np.concatenate(docs) if docs else np.zeros(0, np.int64), pa.int64())})
 
     found = asks.groupBy("range", "part").cogroup(held.groupBy("range", "part")).applyInArrow(meet, f"query_id {kind}, doc long")

@@ -5,10 +5,11 @@ import itertools
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shotline.functions import hooks
-from shotline.operators import cells, search
+from shotline.operators import cells, postings, search
 from shotline.sources import files, sinks
 
 
@@ -61,3 +62,29 @@ def test_videos_and_cells_are_searched_without_moving_frames(spark, monkeypatch)
     for name, n in (("BLOCK_QUERIES", 7), ("SLOTS", 5), ("ROWS", 16), ("QUERIES", 2)):
         monkeypatch.setattr(search, name, n)
     assert act() == once
+
+
+def peak(act):
+    gc.collect()
+    tracemalloc.start()
+    out = act()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most, out
+
+
+def test_an_index_is_built_in_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(postings, "WORK", 100_000, raising=False)
+    every = np.arange(0, 65_536, 2, dtype=np.uint16)
+    n = 100
+    parts = pa.record_batch({
+        "token": pa.array([f"t{i}" for i in range(n)]), "range": pa.array([1] * n, pa.int64()), "size": pa.array([2 * len(every)] * n, pa.int64()), "parts": pa.array([[every[:9].tobytes(), every[5:].tobytes()]] * n, pa.list_(pa.binary())),
+    })
+    most, rows = peak(lambda: [r for b in postings._merged(iter([parts, parts.slice(0, 0)])) for r in b.to_pylist()])
+    assert most < 40_000_000 and [r["token"] for r in rows] == [f"t{i}" for i in range(n)]
+    assert all((r["least"], r["greatest"], r["n"]) == (65_536, 131_070, 32_768) and (postings.decode(r["ids"]) == every).all() for r in rows[::30])
+    docs = pa.record_batch({"doc": pa.array(range(3000), pa.int64()), "words": pa.array([["red", f"w{i}", "red"] * 100 for i in range(3000)] + [])})
+    most, found = peak(lambda: [r for b in postings._lists(iter([docs])) for r in b.to_pylist()])
+    assert most < 20_000_000
+    red = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in found if r["token"] == "red"])
+    assert (np.sort(red) == np.arange(3000)).all() and sum(r["token"] != "red" for r in found) == 3000
