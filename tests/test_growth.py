@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions import hooks
 from shotline.operators import cells, postings, search
+from shotline.plans import assets
 from shotline.sources import files, sinks
 
 
@@ -88,3 +89,11 @@ def test_an_index_is_built_in_slices_of_a_batch(monkeypatch):
     assert most < 20_000_000
     red = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in found if r["token"] == "red"])
     assert (np.sort(red) == np.arange(3000)).all() and sum(r["token"] != "red" for r in found) == 3000
+
+
+def test_speech_of_many_users_costs_the_driver_no_more(spark, monkeypatch, tmp_path):
+    for n in (3, 60):
+        spark.range(2 * n).select(F.col("id").alias("event_id"), (F.col("id") % n).alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/{n}/events.parquet")
+    write = lambda n: assets._write_asr(spark, f"{tmp_path}/{n}", f"{tmp_path}/{n}/asr", F.concat(F.lit("u"), F.col("user_id")))
+    assert calls(spark, monkeypatch, lambda: write(60)) < calls(spark, monkeypatch, lambda: write(3)) + 30
+    assert sorted(r.source_file for r in files.asr(spark, f"{tmp_path}/60/asr").collect()) == sorted(f"u{i % 60}" for i in range(120))
