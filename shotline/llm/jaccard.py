@@ -33,6 +33,8 @@ SKETCH = 16
 ENTRY = np.dtype([("node", "<u8"), ("set", "<u8"), ("size", "<u4"), ("sketch", "<u2", (SKETCH,))])
 #: Paths that are split at most; the largest buckets come first, so this bounds a broadcast and drops nothing.
 HEAVY = 20_000
+#: Bits of their bitmap.
+HEAVY_BITS = 1 << 20
 _U = np.uint64
 _ALL = 2.0**64
 
@@ -86,21 +88,37 @@ def memberships(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, set long")
 
 
-def _chosen(x: Sets, path: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(number in x.hash, child path) of the tokens that each set chooses at its path; path has one number for each token."""
-    h = words.mix(x.hash ^ path)
-    limit = np.minimum(_ALL / (similarity * x.size), _ALL * (1 - 1e-12))[x.index]
-    at = np.flatnonzero(h.astype(np.float64) < limit)
-    return at, words.mix(h[at] + _U(1))
+class Heavy:
+    """A set of paths.  A bitmap tells most others apart, so that a lookup costs no sort of the whole set."""
 
+    def __init__(self, paths: np.ndarray):
+        self.paths = np.sort(paths)
+        at = self.paths & _U(HEAVY_BITS - 1)
+        self.bits = np.zeros(HEAVY_BITS // 64, dtype=_U)
+        np.bitwise_or.at(self.bits, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
 
-def _paths(x: Sets, runs: int, heavy: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(set numbers, leaf paths, depth): paths in heavy are split once more."""
+    def has(self, node: np.ndarray) -> np.ndarray:
+        out = setjoin.maybe_in(self.bits, node)
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.paths, node[at]), len(self.paths) - 1)
+            out[at] = self.paths[place] == node[at]
+        return out
+
+
+def _paths(x: Sets, runs: int, heavy: Heavy, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(set numbers, leaf paths, depth): paths in heavy are split once more.
+
+    A set chooses the tokens whose hash, drawn anew for each path, is below its limit; each leads to a child path.
+    """
+    most = np.minimum(_ALL / (similarity * x.size), _ALL * (1 - 1e-12)).astype(_U)
+    limit = most[x.index]
     for run in words.seeded(5, runs):
-        at, node = _chosen(x, np.full(len(x.hash), run, dtype=_U), similarity)
-        own, depth = x.index[at], 1
+        h = words.mix(x.hash ^ run)
+        at = np.flatnonzero(h < limit)
+        own, node, depth = x.index[at], words.mix(h[at] + _U(1)), 1
         while len(own):
-            split = np.isin(node, heavy) if len(heavy) else np.zeros(len(node), dtype=bool)
+            split = heavy.has(node)
             yield own[~split], node[~split], depth
             own, node, depth = own[split], node[split], depth + 1
             if len(own):
@@ -108,8 +126,7 @@ def _paths(x: Sets, runs: int, heavy: np.ndarray, similarity: float) -> Iterator
                 token = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.first[own], size)
                 which = np.repeat(np.arange(len(own)), size)
                 h = words.mix(x.hash[token] ^ node[which])
-                limit = np.minimum(_ALL / (similarity * size), _ALL * (1 - 1e-12))[which]
-                at = np.flatnonzero(h.astype(np.float64) < limit)
+                at = np.flatnonzero(h < most[own][which])
                 own, node = own[which[at]], words.mix(h[at] + _U(1))
 
 
@@ -125,7 +142,7 @@ def _buckets(docs: DataFrame, width: int, similarity: float, runs: int, limit: i
     heavy = np.zeros(0, dtype=_U)
     context = docs.sparkSession.sparkContext
     for level in range(1, depth):
-        sent = context.broadcast(np.sort(heavy))
+        sent = context.broadcast(Heavy(heavy))
 
         def nodes(parted: Iterator[pa.RecordBatch], sent=sent, level=level) -> Iterator[pa.RecordBatch]:
             for _, x in _each(parted, width):
@@ -140,7 +157,7 @@ def _buckets(docs: DataFrame, width: int, similarity: float, runs: int, limit: i
         if not len(found):
             break
         heavy = np.concatenate([heavy, np.asarray(found).view(_U)])
-    sent = context.broadcast(np.sort(heavy))
+    sent = context.broadcast(Heavy(heavy))
     parts = shared.partitions(docs, 64)
     pack = shared.blobs(ENTRY, parts, 500_000)
 

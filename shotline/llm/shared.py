@@ -67,6 +67,7 @@ def blobs(dtype: np.dtype, parts: int, at_once: int = 2_000_000) -> Callable[[It
 
     def pack(pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             part, rows = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
@@ -80,8 +81,10 @@ def blobs(dtype: np.dtype, parts: int, at_once: int = 2_000_000) -> Callable[[It
         for part, rows in pieces:
             if len(rows):
                 held.append((part, rows.astype(dtype, copy=False)))
-            if sum(len(x) for x, _ in held) >= at_once:
+                n += len(rows)
+            if n >= at_once:
                 yield from flush()
+                n = 0
         if held:
             yield from flush()
 

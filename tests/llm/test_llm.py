@@ -2,13 +2,15 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shotline.llm import decontam, jaccard, lines, lm, maxscore, mixing, quality, queries, urls, warc, words
+from shotline.llm import decontam, jaccard, lines, lm, maxscore, mixing, quality, queries, shared, urls, warc, words
 
 WORD = re.compile(r"[0-9a-z_\x80-\U0010ffff]+")
 SF = "/root/testdata/sf0.001"
@@ -509,3 +511,34 @@ def test_pipeline_stages_keep_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
     assert {"copy", "n_copies"} <= set(corpus_pipeline.run(spark, SF).columns)
+
+
+def test_jaccard_paths_cost_no_more_with_many_split_ones():
+    texts = pa.array([" ".join(f"w{(i * 31 + j * j) % 997}" for j in range(60)) for i in range(300)])
+    sets = [jaccard.Sets(b, 5) for b in words.batches(texts)]
+
+    def walk(heavy):
+        begin = time.process_time()
+        found = [(own.tolist(), node.tolist(), depth) for x in sets for own, node, depth in jaccard._paths(x, 32, heavy, 0.8)]
+        return time.process_time() - begin, found
+
+    none, many = jaccard.Heavy(np.zeros(0, np.uint64)), jaccard.Heavy(words.seeded(99, 40_000))
+    assert walk(none)[1] == walk(many)[1]
+    assert min(walk(many)[0] for _ in range(5)) < 4 * min(walk(none)[0] for _ in range(5)) + 0.05  # a sort of all for each lookup takes over twenty times as long
+    split = walk(none)[1][0][1][0]
+    some = walk(jaccard.Heavy(np.append(words.seeded(99, 40_000), np.uint64(split))))[1]
+    assert {d for _, _, d in some} == {1, 2} and all(split not in nodes for _, nodes, _ in some)
+
+
+def test_packing_many_small_pieces_costs_no_more():
+    pack = shared.blobs(lm.TOTAL, 4, 50_000)
+
+    def cost(pieces, rows):
+        e = np.zeros(rows, lm.TOTAL)
+        begin = time.process_time()
+        out = list(pack((np.arange(rows) % 4, e) for _ in range(pieces)))
+        assert sum(len(x.as_py()) for b in out for x in b.column("blob")) == pieces * rows * lm.TOTAL.itemsize
+        return (time.process_time() - begin) / pieces
+
+    cost(100, 4)
+    assert cost(12_000, 4) < 5 * cost(1_500, 4)  # what is held was counted anew for each piece
