@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -182,30 +185,64 @@ def motion_samples(frames: DataFrame, floor: float = 0.05, span: int = blocks.SP
     return every.unionByName(picked.distinct())
 
 
-def diverse_keyframes(frames: DataFrame, weight: float = 0.15) -> DataFrame:
-    """(source_file, scene_id, point_id, frame_idx, vector, sharpness, budget): greedy farthest picks, the first frame seeded.
-
-    Greedy by nature: a scene is one pandas group; scenes are short, and there are many.
-    """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "point_id"], kind="stable").reset_index(drop=True)
-        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+def _picks(batches: Iterator[pa.RecordBatch], weight: float) -> Iterator[pa.RecordBatch]:
+    """(source_file, scene_id, point_id, vector, sharpness, budget) in order, scene by scene -> the picks of each whole scene."""
+    held: list[pa.RecordBatch] = []  # rows of the scene that isn't over yet
+    key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, scenes = b.column("source_file").dictionary_encode().indices.fill_null(-1), b.column("scene_id")
+        changes = np.zeros(b.num_rows, dtype=bool)
+        for c in (np.asarray(names), np.asarray(scenes.fill_null(0)), np.asarray(scenes.is_null())):
+            changes[1:] |= c[1:] != c[:-1]
+        changes[0] = (b.column("source_file")[0].as_py(), scenes[0].as_py()) != key
+        key = (b.column("source_file")[-1].as_py(), scenes[-1].as_py())
+        edges = np.flatnonzero(changes)
+        if len(edges) and (held or edges[-1] > 0):
+            yield _pick([*held, b.slice(0, edges[-1])], weight)
+            held = []
+        held.append(b.slice(edges[-1]) if len(edges) else b)
+    if held:
+        yield _pick(held, weight)
+
+
+def _pick(parted: list[pa.RecordBatch], weight: float) -> pa.RecordBatch:
+    b = pa.Table.from_batches(parted).combine_chunks().to_batches()[0]
+    sizes = np.unique(np.asarray(b.column("vector").value_lengths().fill_null(-1)))
+    if len(sizes) > 1 or sizes[0] < 0:
+        raise ValueError("vectors of a scene that are null or differ in length")
+    every = np.asarray(b.column("vector").flatten()).astype(np.float64).reshape(b.num_rows, -1)
+    sharpness = np.asarray(b.column("sharpness").cast(pa.float64()).fill_null(0.0))
+    budget = np.asarray(b.column("budget").cast(pa.int64()))
+    names, scenes = (np.asarray(b.column(c).dictionary_encode().indices.fill_null(-1)) for c in ("source_file", "scene_id"))
+    edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (scenes[1:] != scenes[:-1])))
+    rows, picks = [], []
+    for first, last in zip(edges, np.append(edges[1:], b.num_rows), strict=True):
+        v, sharp = every[first:last], sharpness[first:last]
         size = np.linalg.norm(v, axis=1, keepdims=True)
         v = v / np.where(size > 0, size, 1)
-        sharp = pdf["sharpness"].fillna(0.0).to_numpy()
         chosen, near = [0], v @ v[0]
-        while len(chosen) < min(int(pdf["budget"].iloc[0]), len(pdf)):
+        while len(chosen) < min(int(budget[first]), len(v)):
             gain = np.round(1 - near + weight * sharp, 9)
             gain[chosen] = -np.inf
             chosen.append(int(gain.argmax()))
             near = np.maximum(near, v @ v[chosen[-1]])
-        out = pdf.loc[chosen, ["source_file", "scene_id", "point_id"]].copy()
-        out["pick"] = np.arange(len(chosen), dtype=np.int32)
-        return out
+        rows.append(first + np.array(chosen))
+        picks.append(np.arange(len(chosen), dtype=np.int32))
+    taken = b.select(["source_file", "scene_id", "point_id"]).take(pa.array(np.concatenate(rows)))
+    return pa.record_batch([*taken.columns, pa.array(np.concatenate(picks))], ["source_file", "scene_id", "point_id", "pick"])
 
-    cols = frames.select("source_file", F.col("scene_id").cast("long").alias("scene_id"), F.col("point_id").cast("long").alias("point_id"), "frame_idx", "vector", "sharpness", "budget")
-    return cols.groupBy("source_file", "scene_id").applyInPandas(pick, "source_file string, scene_id long, point_id long, pick int")
+
+def diverse_keyframes(frames: DataFrame, weight: float = 0.15) -> DataFrame:
+    """(source_file, scene_id, point_id, frame_idx, vector, sharpness, budget): greedy farthest picks, the first frame seeded.
+
+    Greedy by nature: a scene is picked from in one task; scenes are short, and there are many, so a task reads them in order and takes
+    those of an Arrow batch together.
+    """
+    rows = frames.select("source_file", F.col("scene_id").cast("long").alias("scene_id"), F.col("point_id").cast("long").alias("point_id"), "frame_idx", "vector", "sharpness", "budget")
+    ordered = rows.repartition("source_file", "scene_id").sortWithinPartitions("source_file", "scene_id", "frame_idx", "point_id").drop("frame_idx")
+    return ordered.mapInArrow(lambda batches: _picks(batches, weight), "source_file string, scene_id long, point_id long, pick int")
 
 
 def scene_times(frames: DataFrame) -> DataFrame:

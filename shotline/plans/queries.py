@@ -535,7 +535,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 over frames from embeddings; speech from view events, a user being a video; every other video has official shots."""
-    c = _candidates(spark, sf_dir)
+    c = search.materialize(_candidates(spark, sf_dir))
     scenes = c.select("source_file", "scene_id").distinct().withColumn("official_id", F.when(F.substring("source_file", 4, 1).cast("int") % 2 == 0, F.concat(F.lit("s"), F.col("scene_id"))))
     e = table(spark, sf_dir, "events").filter("event_type = 'view'")
     video = F.concat(F.lit("V"), F.lpad((F.col("user_id") % 10).cast("string"), 3, "0"), F.lit(".mp4"))

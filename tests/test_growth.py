@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shotline.functions import hooks
-from shotline.operators import cells, postings, search
-from shotline.plans import assets
+from shotline.operators import cells, postings, search, shots
+from shotline.plans import assets, queries
 from shotline.sources import files, sinks
 
 
@@ -97,3 +97,39 @@ def test_speech_of_many_users_costs_the_driver_no_more(spark, monkeypatch, tmp_p
     write = lambda n: assets._write_asr(spark, f"{tmp_path}/{n}", f"{tmp_path}/{n}/asr", F.concat(F.lit("u"), F.col("user_id")))
     assert calls(spark, monkeypatch, lambda: write(60)) < calls(spark, monkeypatch, lambda: write(3)) + 30
     assert sorted(r.source_file for r in files.asr(spark, f"{tmp_path}/60/asr").collect()) == sorted(f"u{i % 60}" for i in range(120))
+
+
+def test_an_index_picks_its_keyframes_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for name, rows in (("embeddings", [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(120)]),):
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(120).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 10).alias("user_id"), F.lit("view").alias("event_type"), F.lit("said").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    made = queries.index_shots(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan and "Generate" in plan  # what is picked is a table; the speech is joined once
+    assert plan.count("Generate") == 2 and made.count() == 12
+
+
+def test_keyframes_of_scenes_across_batches(spark):
+    rng = np.random.default_rng(7)
+    rows = [(None if s == 2 else f"v{s % 3}", s // 2, 100 * s + i, i // 2, [float(x) for x in np.round(rng.normal(size=3))], None if i % 4 == 0 else float(i % 3) / 2, s % 6 + 1) for s in range(12) for i in range(1 + 3 * s)]
+    f = spark.createDataFrame(rows, "source_file string, scene_id long, point_id long, frame_idx long, vector array<double>, sharpness double, budget int").repartition(5)
+    want = set()
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[3], r[2]))
+        v = np.array([r[4] for r in own])
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        chosen = [0]
+        while len(chosen) < min(own[0][6], len(own)):
+            gain = np.round(1 - (v @ v[chosen].T).max(axis=1) + 0.15 * np.array([r[5] or 0.0 for r in own]), 9)
+            gain[chosen] = -np.inf
+            chosen.append(int(gain.argmax()))
+        want |= {(*key, own[c][2], n) for n, c in enumerate(chosen)}
+    for size in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = shots.diverse_keyframes(f).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
