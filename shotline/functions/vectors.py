@@ -26,9 +26,12 @@ def norm(v: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    """Unit length; a zero vector stays.
+
+    The norm is bound to a variable of a lambda: an expression inside a lambda is computed anew for each component.
+    """
+    once = F.array(F.struct(doubles(v).alias("v"), norm(v).alias("n")))
+    return F.get(F.transform(once, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])), F.lit(0))
 
 
 def truncate(v: Column, dim: int | None) -> Column:

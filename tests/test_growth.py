@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shotline.functions import hooks
+from shotline.functions import vectors as V
 from shotline.operators import cells, postings, search, shots
 from shotline.plans import assets, queries
 from shotline.sources import files, sinks
@@ -133,3 +134,10 @@ def test_keyframes_of_scenes_across_batches(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_norm_is_computed_once_a_vector(spark):
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [2.0])]
+    unit = spark.createDataFrame(rows, "i int, v array<float>").select("i", V.normalise(F.col("v")).alias("u"))
+    assert unit._jdf.queryExecution().analyzed().toString().count("zip_with(") == 1
+    assert {r.i: r.u for r in unit.collect()} == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: None, 3: [], 4: [1.0, None], 5: [1.0]}
