@@ -41,22 +41,41 @@ def shot_bounds(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("end > start")
 
 
+def _named(path: Column) -> Column:
+    """Path of a file from its address, in which some characters are encoded; a plus sign is none of them."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
+# Bytes up to which a file is read at once.
+AT_ONCE = 1 << 24
+
+
+def _file_lines(spark: SparkSession, path: str, endings: str) -> DataFrame:
+    """(source_file, path, value): the lines of all files with these endings, without empty ones.
+
+    Files up to AT_ONCE bytes are read at once, which costs a fraction of what the text source does to set up each, and named
+    once; larger ones are read line by line.  Both filters are on sizes as listed, so that no file is opened twice.
+    """
+    size, glob = F.col("_metadata.file_size"), f"*.{endings}"
+    small = spark.read.format("binaryFile").load(path, pathGlobFilter=glob).filter(size <= AT_ONCE)
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")  # the text source leaves this mark out, too
+    lines = small.select(_stem(F.col("path")).alias("source_file"), "path", text.alias("text")).select("source_file", "path", F.explode(F.split("text", "\r\n|\r|\n")).alias("value"))
+    large = spark.read.text(path, pathGlobFilter=glob).filter(size > AT_ONCE).select(_named(F.col("_metadata.file_path")).alias("path"), "value")
+    return lines.unionByName(large.select(_stem(F.col("path")).alias("source_file"), "path", "value")).filter("value <> ''")
+
+
 def asr(spark: SparkSession, path: str) -> DataFrame:
     """S3: files of start, end and text, .csv by commas, .tsv and .txt by tabs, quoted as CSV is.
 
     The text is all further fields, trimmed, the empty ones left out, joined by a space.
     """
-    out = None
-    for ending, sep in (("csv", ","), ("{tsv,txt}", "\t")):
-        lines = spark.read.text(path, pathGlobFilter=f"*.{ending}").select(_stem(F.input_file_name()).alias("source_file"), "value")
-        quoted = rf'"(?:[^"]|"")*"|[^{sep}]*'
-        fields = F.regexp_extract_all("value", F.lit(rf"(?:^|{sep})({quoted})"), F.lit(1))
-        plain = F.transform(fields, lambda x: F.trim(F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)))
-        rows = lines.withColumn("f", plain).filter(F.size("f") >= 3)
-        text = F.trim(F.array_join(F.filter(F.slice("f", 3, F.size("f")), lambda x: x != ""), " "))
-        rows = rows.select("source_file", _number(F.get("f", F.lit(0))).alias("start"), _number(F.get("f", F.lit(1))).alias("end"), text.alias("text")).filter("start < end and text <> ''")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    quoted = lambda sep: F.regexp_extract_all("value", F.lit(rf'(?:^|{sep})("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+    fields = F.when(F.col("path").endswith(".csv"), quoted(",")).otherwise(quoted("\t"))
+    plain = F.transform("f", lambda x: F.trim(F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)))
+    lines = _file_lines(spark, path, "{csv,tsv,txt}").select("source_file", fields.alias("f"))
+    rows = lines.withColumn("f", plain).filter(F.size("f") >= 3)
+    text = F.trim(F.array_join(F.filter(F.slice("f", 3, F.size("f")), lambda x: x != ""), " "))
+    return rows.select("source_file", _number(F.get("f", F.lit(0))).alias("start"), _number(F.get("f", F.lit(1))).alias("end"), text.alias("text")).filter("start < end and text <> ''")
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:

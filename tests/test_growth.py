@@ -100,6 +100,19 @@ def test_speech_of_many_users_costs_the_driver_no_more(spark, monkeypatch, tmp_p
     assert sorted(r.source_file for r in files.asr(spark, f"{tmp_path}/60/asr").collect()) == sorted(f"u{i % 60}" for i in range(120))
 
 
+def test_small_speech_files_are_read_at_once_and_large_ones_by_lines(spark, monkeypatch, tmp_path):
+    (tmp_path / "a b+c%20é.csv").write_bytes('\ufeff0,1,"x, y"\r\n\n1,2,z\r2,3,w'.encode())
+    (tmp_path / "long d+%.txt").write_text("".join(f"{i}\t{i + 1}\tt{i}\n" for i in range(3000)))
+    (tmp_path / "none.tsv").write_text("")
+    want = sorted([("a b+c%20é", 0.0, "x, y"), ("a b+c%20é", 1.0, "z"), ("a b+c%20é", 2.0, "w"), *(("long d+%", float(i), f"t{i}") for i in range(3000))])
+    for most in (10, 1000, 1 << 24):
+        monkeypatch.setattr(files, "AT_ONCE", most, raising=False)
+        got = files.asr(spark, str(tmp_path))
+        assert sorted((r.source_file, r.start, r.text) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and plan.count("FileScan text") == 1
+
+
 def test_an_index_picks_its_keyframes_once(spark, tmp_path):
     rng = np.random.default_rng(5)
     for name, rows in (("embeddings", [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(120)]),):
